@@ -54,9 +54,9 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
     return M.fold_categories(raw_manifest(spark, sf), "content_category", "label", "category")
 
 
-def split_manifest(spark: SparkSession, sf: str) -> DataFrame:
+def split_manifest(spark: SparkSession, sf: str, folded: bool = True) -> DataFrame:
     """Manifest with split_unit = its source and a split drawn from hashes of source and file."""
-    m = manifest(spark, sf).withColumn("split_unit", F.col("source_path"))
+    m = (manifest if folded else raw_manifest)(spark, sf).withColumn("split_unit", F.col("source_path"))
     u = S.stable_fraction(F.col("source_path"), SEED)
     r = S.stable_fraction(F.col("source_file"), SEED)
     split = (F.when(u < 0.15, "val_xgen").when(u < 0.3, "val_stress").when(u < 0.45, "test")

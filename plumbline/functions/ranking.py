@@ -48,14 +48,19 @@ def _with_string_number(df: DataFrame, order: str) -> DataFrame:
     return df.withColumn("_num", F.conv(F.rpad(tail, 12, "0"), 16, 10).cast("double"))
 
 
-def running_total(df: DataFrame, groups: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
+def running_total(df: DataFrame, groups: Sequence[str], order: str, values: Sequence[str],
+                  tie: str | None = None, uniform: bool = False) -> DataFrame:
     """Add ``<v>_before`` (sum over smaller ``order`` in the group) and ``<v>_all`` (group sum).
 
-    (groups, order) must be unique; aggregate first. Row order is spread over buckets.
+    (groups, order, tie) must be unique; aggregate first. Row order is spread over buckets, which for
+    a ``uniform`` order on [0, 1) are equal slices.
     """
     groups = list(groups)
-    b = _with_buckets(df, order)
-    inside = Window.partitionBy(*groups, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    if uniform:
+        b = df.withColumn("_b", F.floor(F.col(order) * _default_buckets(df)).cast("int"))
+    else:
+        b = _with_buckets(df, order)
+    inside = Window.partitionBy(*groups, "_b").orderBy(order, *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, -1)
     for v in values:
         b = b.withColumn(f"{v}_before", F.coalesce(F.sum(v).over(inside), F.lit(0)))
     totals = b.groupBy(*groups, "_b").agg(*[F.sum(v).alias(f"_{v}_t") for v in values])
@@ -91,6 +96,32 @@ def hash_rank(df: DataFrame, groups: Sequence[str], fraction: str, tie: str, nam
             .withColumn(name, F.col("_r") + F.col("_o")).drop("_b", "_r", "_o"))
 
 
+def quota_cuts(df: DataFrame, groups: Sequence[str], fraction: str, tie: str, quota: str,
+               buckets: int = 4096) -> DataFrame:
+    """Where each group's first ``quota`` rows by (fraction, tie) end: (groups, cut_u, cut_tie).
+
+    Counts per slice of the fraction tell which slice holds the last wanted row; only that slice, one
+    part in ``buckets`` of a group, is ordered. Groups within their quota have no cut.
+    """
+    groups = list(groups)
+    b = df.select(*groups, fraction, tie, quota).withColumn("_b", F.floor(F.col(fraction) * buckets).cast("int"))
+    counts = b.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_n"), F.max(quota).alias("_q"))
+    upto = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    at = counts.withColumn("_s", F.sum("_n").over(upto)).withColumn("_t", F.sum("_n").over(Window.partitionBy(*groups)))
+    edge = at.filter("_t > _q and _s >= _q and _s - _n < _q").select(*groups, "_b", (F.col("_q") - F.col("_s") + F.col("_n")).alias("_need"))
+    inside = Window.partitionBy(*groups, "_b").orderBy(fraction, tie)
+    near = b.join(edge, [*groups, "_b"]).withColumn("_r", F.row_number().over(inside))
+    return near.filter("_r = _need").select(*groups, F.col(fraction).alias("cut_u"), F.col(tie).alias("cut_tie"))
+
+
+def keep_quota(df: DataFrame, groups: Sequence[str], fraction: str, tie: str, quota: str) -> DataFrame:
+    """Mark the first ``quota`` rows of each group as ``kept``; rows themselves are not moved or sorted."""
+    cuts = quota_cuts(df, groups, fraction, tie, quota)
+    u, t = F.col(fraction), F.col(tie)
+    inside = F.col("cut_u").isNull() | (u < F.col("cut_u")) | ((u == F.col("cut_u")) & (t <= F.col("cut_tie")))
+    return df.join(cuts, list(groups), "left").withColumn("kept", inside & (F.col(quota) > 0)).drop("cut_u", "cut_tie")
+
+
 def ordered_position(df: DataFrame, groups: Sequence[str], order: str, name: str = "position") -> DataFrame:
     """0-based position by a unique ``order`` in each group."""
     one = df.withColumn("_one", F.lit(1).cast("bigint"))

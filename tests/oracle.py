@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import os
+import signal
 import sys
 import time
 from collections import Counter
@@ -88,10 +90,17 @@ def main(argv):
     q, o = E.queries(), E.oracle_sql()
     bad = 0
     verbose, argv = "-v" in argv, [a for a in argv if a != "-v"]
+    limit = int(os.environ.get("QUERY_SECONDS", "60"))
+
+    def late(*_):
+        raise TimeoutError("too slow")
+
+    signal.signal(signal.SIGALRM, late)
     for name, fn in q.items():
         if argv and not any(name.startswith(a) for a in argv):
             continue
         t = time.time()
+        signal.alarm(limit)
         try:
             df = fn(spark, sf)
             if name in o:
@@ -101,6 +110,8 @@ def main(argv):
                 ok, msg = True, "(rows only)"
         except Exception as e:  # report and go on
             ok, msg, n = False, f"{type(e).__name__}: {str(e)[:700]}", -1
+            spark.sparkContext.cancelAllJobs()
+        signal.alarm(0)
         bad += not ok
         if not ok or n == 0:
             print(f"{'ok ' if ok else 'BAD'} {name} rows={n} {time.time() - t:.1f}s {msg}", flush=True)
