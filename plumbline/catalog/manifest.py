@@ -10,27 +10,10 @@ from plumbline.functions import scalar as S
 from plumbline.operators import ingest as I
 from plumbline.operators import manifest as M
 from plumbline.sources import metadata as MD
+from plumbline.catalog.base import r6, registrar, rows
 from plumbline.catalog.sqltext import MANIFEST, RAW, SPLIT, quantile, with_views
 
-Q, SQL = {}, {}
-
-
-def r6(c, name=None):
-    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
-
-
-def query(name, sql=None):
-    def put(fn):
-        Q[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-    return put
-
-
-def rows(spark, text, schema):
-    """A rule table: literal, of fixed size."""
-    return spark.createDataFrame([tuple(x.strip() or None for x in line.split("|")) for line in text.split(";")], schema)
+Q, SQL, query = registrar()
 
 
 # ---- scans --------------------------------------------------------------------------------------

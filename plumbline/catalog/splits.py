@@ -8,20 +8,10 @@ from plumbline import bindings as B
 from plumbline.functions import scalar as S
 from plumbline.operators import splits as P
 from plumbline.operators import units as U
-from plumbline.catalog.manifest import rows
+from plumbline.catalog.base import registrar, rows
 from plumbline.catalog.sqltext import MANIFEST, SPLIT, frac
 
-Q, SQL = {}, {}
-
-
-def query(name, sql=None):
-    def put(fn):
-        Q[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-    return put
-
+Q, SQL, query = registrar()
 
 CLIQUES = "q1|src1-en;q1|src2-de;q1|nowhere;q2|src7-fr;q2|src9-es;q3|src9-en;q3|src11-en"
 UNITS = MANIFEST + """, ds AS (SELECT DISTINCT dataset, source_path FROM m),
