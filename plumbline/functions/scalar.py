@@ -137,11 +137,10 @@ def fused_margin(d: Column, weights: Sequence[float]) -> Column:
     return _fold_sum([F.element_at(d, i + 1) * F.lit(v) for i, v in enumerate(w)])
 
 
-def margin_spread(d: Column, weights: Sequence[float]) -> Column:
+def margin_spread(d: Column, weights: Sequence[float], mean: Column) -> Column:
+    """Weighted standard deviation of branch margins about their fused ``mean``."""
     w = _shares(weights)
-    mean = fused_margin(d, weights)
-    return F.sqrt(_fold_sum([(F.element_at(d, i + 1) - mean) * (F.element_at(d, i + 1) - mean) * F.lit(v)
-                             for i, v in enumerate(w)]))
+    return F.sqrt(_fold_sum([F.pow(F.element_at(d, i + 1) - mean, F.lit(2.0)) * F.lit(v) for i, v in enumerate(w)]))
 
 
 def _shares(weights: Sequence[float]) -> list[float]:
