@@ -57,11 +57,12 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
 def split_manifest(spark: SparkSession, sf: str, folded: bool = True) -> DataFrame:
     """Manifest with split_unit = its source and a split drawn from hashes of source and file."""
     m = (manifest if folded else raw_manifest)(spark, sf).withColumn("split_unit", F.col("source_path"))
-    u = S.stable_fraction(F.col("source_path"), SEED)
-    r = S.stable_fraction(F.col("source_file"), SEED)
+    m = m.withColumn("_us", S.stable_fraction(F.col("source_path"), SEED)).withColumn(
+        "_uf", S.stable_fraction(F.col("source_file"), SEED))
+    u, r = F.col("_us"), F.col("_uf")
     split = (F.when(u < 0.15, "val_xgen").when(u < 0.3, "val_stress").when(u < 0.45, "test")
              .when(r < 0.2, "val_id").otherwise("train"))
-    return m.withColumn("split", split)
+    return m.withColumn("split", split).drop("_us", "_uf")
 
 
 def branch_margins(first: int) -> list:
