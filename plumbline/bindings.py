@@ -94,8 +94,8 @@ def scored_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return m.withColumn("d", F.array(*cols))
 
 
-def tallies(spark: SparkSession, sf: str, where=None) -> DataFrame:
-    """(truth, dataset, pred_label, n) counts of one classifier run."""
+def tallies(spark: SparkSession, sf: str, where=None, model=None) -> DataFrame:
+    """(truth, dataset, pred_label, n) counts of one classifier run, or of several told apart by ``model``."""
     e = table(spark, sf, "events")
     if where is not None:
         e = e.filter(where)
@@ -104,7 +104,7 @@ def tallies(spark: SparkSession, sf: str, where=None) -> DataFrame:
     mark = F.when(u % 7 == 0, "image-holdout-").when(u % 7 == 1, STREAM_MARKER).otherwise("")
     pred = (F.when(F.col("event_type").isin("view", "click"), "real")
             .when(F.col("event_type") == "purchase", "semisynthetic").otherwise("synthetic"))
-    return (e.select(truth.alias("truth"),
-                     F.concat(F.lit("set-"), mark, (u % 21).cast("string")).alias("dataset"),
-                     pred.alias("pred_label"))
-            .groupBy("truth", "dataset", "pred_label").agg(F.count(F.lit(1)).alias("n")))
+    keys = {"truth": truth, "dataset": F.concat(F.lit("set-"), mark, (u % 21).cast("string")), "pred_label": pred}
+    if model is not None:
+        keys = {"model": model, **keys}
+    return e.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(F.count(F.lit(1)).alias("n"))
