@@ -85,6 +85,7 @@ def _(spark, sf):
 @query("val_inheritance")
 def _(spark, sf):
     m = A.probe_frame(B.split_manifest(spark, sf), A.NUMERIC, ["ext", "file_format", "pil_mode"])
+    m = m.select("image_id", "split", "label", "features")
     s = A.fit_and_score(m.filter("split = 'train'"), m.filter("split in ('val_id', 'val_xgen', 'val_stress')"))
     a = R.rank_auc(s, ["split"], "oof", "label")
     ref = R.rank_auc(_oof(spark, sf), [], "oof", "target").select("auc").scalar()

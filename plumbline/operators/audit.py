@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import ranking as R
 from plumbline.functions import scalar as S
 from plumbline.operators import ledger as L
+from plumbline.session import cut_lineage
 
 NUMERIC = ("width", "height", "min_side", "max_side", "aspect", "megapixels", "bytes_per_pixel", "file_bytes", "m_eval")
 CATEGORICAL = ("ext", "file_format", "pil_mode", "source_format")
@@ -58,13 +59,15 @@ def _probe(kind: str, target: str):
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     if kind == "gbt":
         return GBTClassifier(featuresCol="features", labelCol=target, maxIter=200, seed=34)
-    return LogisticRegression(featuresCol="features", labelCol=target, maxIter=30, regParam=1e-4)
+    return LogisticRegression(featuresCol="features", labelCol=target, maxIter=20, tol=1e-4, regParam=1e-4)
 
 
 def oof_scores(frame: DataFrame, target: str, fold: str, folds: int, kind: str = "logistic") -> DataFrame:
     """Each row scored by a model that never saw its fold. A fold whose training side holds one
     class stays unscored (NULL)."""
     from pyspark.ml.functions import vector_to_array
+    # Read once per fold and iteration, so the narrow table of features is cut from its lineage.
+    frame = cut_lineage(frame.select("image_id", target, fold, "features"))
     sides = {(r[fold], r[target]): r["n"] for r in frame.groupBy(fold, target).agg(F.count(F.lit(1)).alias("n")).collect()}
     out = None
     for f in range(folds):
@@ -77,12 +80,13 @@ def oof_scores(frame: DataFrame, target: str, fold: str, folds: int, kind: str =
             part = model.transform(test).withColumn("oof", vector_to_array("probability")[1])
         part = part.select("image_id", target, "oof")
         out = part if out is None else out.unionByName(part)
-    return out
+    return cut_lineage(out)
 
 
 def fit_and_score(train: DataFrame, test: DataFrame, target: str = "label", kind: str = "logistic") -> DataFrame:
     from pyspark.ml.functions import vector_to_array
-    return _probe(kind, target).fit(train).transform(test).withColumn("oof", vector_to_array("probability")[1])
+    scored = _probe(kind, target).fit(train.select(target, "features")).transform(test)
+    return cut_lineage(scored.withColumn("oof", vector_to_array("probability")[1]).drop("rawPrediction", "probability"))
 
 
 def probe_verdict(oof: DataFrame, target: str, threshold: str) -> DataFrame:
