@@ -149,8 +149,9 @@ def test_view_plan_streams_are_independent(spark, sf):
     b = V.view_plan(rows, V.ViewPlan(effects_p=1.0, effects=(("banding", 1.0),), codec=False), [], 2, 1)
     keep = ["image_id", "epoch", "hflip", "vflip", "view_a", "ladder_level", "jitter_factor"]
     assert a.select(*keep).exceptAll(b.select(*keep)).count() == 0
-    guarded = a.filter("kind is null") if "kind" in a.columns else a
-    assert guarded.count() == 2 * rows.count()
+    assert a.count() == 2 * rows.count()
+    semi = a.join(rows.filter("kind = 'semisynthetic'").select("image_id"), "image_id", "left_semi").filter("view_a = 'ladder'")
+    assert semi.count() > 0 and semi.filter("crop_p > 0").count() == 0
 
 
 def test_arm_frequencies(spark):
