@@ -340,3 +340,35 @@ def _(spark, sf):
     e = B.table(spark, sf, "embeddings")
     lab = e.select("vec_id", F.when(F.col("label") >= 5, 1).otherwise(0).alias("label"))
     return A.stat_aucs(A.grid_stats(e, "vec_id", "embedding"), lab, "vec_id", A.GRID_STATS).select("stat", "n", r6("auc"))
+
+
+VARIANTS = """x AS (SELECT vec_id, label, 'plain' variant, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) a FROM embeddings),
+ y AS (SELECT * FROM x UNION ALL SELECT vec_id, label, 'smooth', list_transform(range(1,64), lambda i: (a[i]+a[i+1])/2) FROM x),
+ st AS (SELECT vec_id, label, variant, list_stddev_pop(a) std, list_max(a) high FROM y),
+ sa AS (SELECT variant, 'std' stat, round(std,9) sv, CASE WHEN label>=5 THEN 1 ELSE 0 END lb FROM st UNION ALL SELECT variant, 'high', round(high,9), CASE WHEN label>=5 THEN 1 ELSE 0 END FROM st)"""
+
+
+@query("variant_deltas", f"WITH {VARIANTS}, au AS (SELECT variant, stat, greatest(auc,1-auc) auc FROM " + auc_sql("sa", ["variant", "stat"], "sv", "lb")
+       + ") SELECT v.variant, v.stat, round(v.auc,6) auc, round(b.auc,6) auc_base, round(v.auc-b.auc,6) delta FROM au v JOIN au b ON v.stat=b.stat AND b.variant='plain' WHERE v.variant<>'plain'")
+def _(spark, sf):
+    e = B.table(spark, sf, "embeddings")
+    a = F.transform("embedding", lambda x: x.cast("double"))
+    smooth = F.zip_with(F.slice(a, 1, 63), F.slice(a, 2, 63), lambda x, y: (x + y) / 2)
+    made = F.explode(F.array(F.struct(F.lit("plain").alias("variant"), a.alias("a")), F.struct(F.lit("smooth").alias("variant"), smooth.alias("a"))))
+    v = e.select("vec_id", "label", made.alias("s")).select(F.concat_ws("|", "vec_id", "s.variant").alias("k"), "label", "s.variant", "s.a")
+    st = A.array_stats(v, "k", "a").select("k", F.round("std", 9).alias("std"), F.round("high", 9).alias("high"))
+    lab = v.select("k", "variant", F.when(F.col("label") >= 5, 1).otherwise(0).alias("label"))
+    d = A.variant_deltas(A.stat_aucs(st, lab, "k", ["std", "high"], ["variant"]), "plain")
+    return d.select("variant", "stat", r6("auc"), r6("auc_base"), r6("delta"))
+
+
+@query("nuisance_survival")
+def _(spark, sf):
+    """Statistics of the vectors against the format flags of the documents of the same number."""
+    m = B.split_manifest(spark, sf, folded=False).withColumn("vec_id", F.col("doc_id"))
+    st = A.array_stats(B.table(spark, sf, "embeddings"), "vec_id", "embedding")
+    rows = W.naive_folds(m, 3, B.SEED)
+    stats = st.join(rows.select("vec_id", "image_id"), "vec_id").select("image_id", "mean", "std", "low", "high", "edge")
+    flags = {"is_png": F.col("file_format") == "PNG", "non_rgb": F.col("pil_mode") != "RGB"}
+    s = A.survival(stats, rows, flags, ["mean", "std", "low", "high", "edge"])
+    return s.select("nuisance", r6("survival_auc"), r6("label_auc"), "unmeasurable", "live", "verdict")

@@ -212,11 +212,35 @@ def _(spark, sf):
     return R.spearman(m, ["split", "label"], "margin", "log_m").withColumn("rho", F.round("rho", 6))
 
 
-@query("auc_ceilings")
+def cdf_sql(x):
+    """functions.scalar.normal_cdf in SQL."""
+    t = f"(1/(1+0.3275911*abs({x})/sqrt(CAST(2 AS DOUBLE))))"
+    poly = "0"
+    for c in (1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592):
+        poly = f"(({poly}+({c}))*{t})"
+    return f"(0.5+CASE WHEN {x}>=0 THEN 0.5 ELSE -0.5 END*(1-{poly}*exp(-({x})*({x})/2)))"
+
+
+def probit_sql(p):
+    """functions.scalar.probit in SQL, for 0.02425 <= p <= 0.97575."""
+    def poly(coef, x):
+        out = f"CAST({coef[0]} AS DOUBLE)"
+        for c in coef[1:]:
+            out = f"({out}*{x}+({c}))"
+        return out
+    a = (-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02, 1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00)
+    b = (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02, 6.680131188771972e+01, -1.328068155288572e+01, 1.0)
+    r = f"(({p}-0.5)*({p}-0.5))"
+    return f"({poly(a, r)}*({p}-0.5)/{poly(b, r)})"
+
+
+@query("auc_ceilings", f"WITH {SCORED_MANIFEST}, a AS (SELECT * FROM " + auc_sql("sf", ["split"], "round(d,1)", "CASE WHEN file_format='PNG' THEN 1 ELSE 0 END")
+       + f"), z AS (SELECT split, auc, {probit_sql('auc')}/sqrt(CAST(2 AS DOUBLE)) x FROM a) SELECT split, round(auc,6) auc, round({cdf_sql('x')},5) ceiling FROM z")
 def _(spark, sf):
     m = fused_manifest(spark, sf)
-    a = R.rank_auc(m, ["split"], "margin", "label")
-    return a.select("split", r6("auc"), r6(S.auc_ceiling(F.col("auc")), "ceiling"))
+    m = m.withColumn("score", F.round("margin", 1)).withColumn("png", (F.col("file_format") == "PNG").cast("int"))
+    a = R.rank_auc(m, ["split"], "score", "png")
+    return a.select("split", r6("auc"), F.round(S.auc_ceiling(F.col("auc")), 5).alias("ceiling"))
 
 
 @query("margin_report", f"WITH {fused()}, k AS (SELECT *, CASE WHEN (d>0)=(y=1) THEN 1 ELSE 0 END ok, abs(d) sz FROM sc)" + f""", a AS {auc_sql('k', [], 'sz', 'ok')}, b AS {auc_sql('k', [], 'spread', '1-ok')}

@@ -277,9 +277,7 @@ HOLD = REGISTRY + f""", hold AS (SELECT CASE WHEN u<0.1 THEN 'val_xgen' WHEN u<0
 
 @query("holdout_names", "WITH " + RAW + HOLD + " SELECT split, side, name FROM hold")
 def _(spark, sf):
-    h = holdouts(spark, sf)
-    sides = h.groupBy("split", "side").agg(F.collect_list("name").alias("names"))
-    specs = sides.groupBy("split").agg(F.map_from_entries(F.collect_list(F.struct("side", "names"))).alias("spec"))
+    specs = holdouts(spark, sf).select("split", F.create_map("side", F.array("name")).alias("spec"))
     return M.names_from_spec(specs)
 
 

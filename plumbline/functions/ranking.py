@@ -16,7 +16,7 @@ COARSE_BUCKETS = 64
 FINE_BUCKETS = 32
 
 
-def _with_buckets(df: DataFrame, order: str) -> DataFrame:
+def _with_buckets(df: DataFrame, order: str, shared: bool = False) -> DataFrame:
     """Add ``_b``, a non-decreasing bucket number for ``order``, from approximate quantiles of the table.
 
     Only balance depends on the quantiles being approximate; the result of any caller does not.
@@ -26,7 +26,8 @@ def _with_buckets(df: DataFrame, order: str) -> DataFrame:
     else:
         numbered = df.withColumn("_num", F.col(order).cast("double"))
     cuts = [i / COARSE_BUCKETS for i in range(1, COARSE_BUCKETS)]
-    bounds = numbered.agg(F.percentile_approx("_num", cuts, F.lit(1000))).scalar()
+    used = F.when(F.xxhash64(*df.columns) > F.lit(-(2**63)), F.col("_num")) if shared else F.col("_num")
+    bounds = numbered.agg(F.percentile_approx(used, cuts, F.lit(1000))).scalar()
     at = numbered.withColumn("_bounds", bounds).withColumn(
         "_at", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col("_num"))), F.lit(0)))
     ends = (at.withColumn("_lo", F.when(F.col("_at") > 0, F.get("_bounds", F.col("_at") - 1)))
@@ -49,21 +50,25 @@ def _with_string_number(df: DataFrame, order: str) -> DataFrame:
 
 
 def running_total(df: DataFrame, groups: Sequence[str], order: str, values: Sequence[str],
-                  tie: str | None = None, uniform: bool = False) -> DataFrame:
+                  tie: str | None = None, uniform: bool = False, shared: bool = True) -> DataFrame:
     """Add ``<v>_before`` (sum over smaller ``order`` in the group) and ``<v>_all`` (group sum).
 
     (groups, order, tie) must be unique; aggregate first. Row order is spread over buckets, which for
-    a ``uniform`` order on [0, 1) are equal slices.
+    a ``uniform`` order on [0, 1) are equal slices. The table is read for its rows, its bucket totals
+    and its quantiles; with ``shared`` each reader touches every column, so that none is pruned
+    differently and all three reuse the one exchange of the aggregate below.
     """
     groups = list(groups)
     if uniform:
         b = df.withColumn("_b", F.floor(F.col(order) * _default_buckets(df)).cast("int"))
     else:
-        b = _with_buckets(df, order)
+        b = _with_buckets(df, order, shared)
+    base = b
     inside = Window.partitionBy(*groups, "_b").orderBy(order, *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, -1)
-    for v in values:
-        b = b.withColumn(f"{v}_before", F.coalesce(F.sum(v).over(inside), F.lit(0)))
-    totals = b.groupBy(*groups, "_b").agg(*[F.sum(v).alias(f"_{v}_t") for v in values])
+    b = b.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"{v}_before") for v in values])
+    totals = base.groupBy(*groups, "_b").agg(*[F.sum(v).alias(f"_{v}_t") for v in values],
+                                          F.max(F.xxhash64(*df.columns) if shared else F.lit(0)).alias("_h"))
+    totals = totals.filter("_h is not null")
     ahead = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
     offsets = totals.select(
@@ -125,7 +130,7 @@ def keep_quota(df: DataFrame, groups: Sequence[str], fraction: str, tie: str, qu
 def ordered_position(df: DataFrame, groups: Sequence[str], order: str, name: str = "position") -> DataFrame:
     """0-based position by a unique ``order`` in each group."""
     one = df.withColumn("_one", F.lit(1).cast("bigint"))
-    return (running_total(one, groups, order, ["_one"])
+    return (running_total(one, groups, order, ["_one"], shared=False)
             .withColumnRenamed("_one_before", name).drop("_one", "_one_all"))
 
 

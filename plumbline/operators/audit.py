@@ -55,6 +55,11 @@ def probe_frame(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[s
     return rows.withColumn("features", array_to_vector(F.array(*nums, *hots)))
 
 
+def _numeric_frame(rows: DataFrame, numeric: Sequence[str]) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+    return rows.withColumn("features", array_to_vector(F.array(*[F.col(c).cast("double") for c in numeric])))
+
+
 def _probe(kind: str, target: str):
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     if kind == "gbt":
@@ -307,3 +312,29 @@ def stat_aucs(stats: DataFrame, labels: DataFrame, key: str, names: Sequence[str
     s = F.explode(F.array(*[F.struct(F.lit(n).alias("stat"), F.col(n).alias("v")) for n in names])).alias("s")
     a = R.rank_auc(j.select(*by, "label", s).select(*by, "label", "s.stat", "s.v"), [*by, "stat"], "v", "label")
     return a.withColumn("auc", R.folded(F.col("auc")))
+
+
+def variant_deltas(aucs: DataFrame, base: str) -> DataFrame:
+    """How much each variant of the input moves the AUC of a statistic, against the ``base`` variant.
+    ``aucs(variant, stat, auc)``."""
+    b = aucs.filter(F.col("variant") == base).select("stat", F.col("auc").alias("auc_base"))
+    j = aucs.filter(F.col("variant") != base).join(b, "stat")
+    return j.select("variant", "stat", "auc", "auc_base", (F.col("auc") - F.col("auc_base")).alias("delta"))
+
+
+def survival(stats: DataFrame, rows: DataFrame, flags: Mapping[str, Column], numeric: Sequence[str], folds: int = 3) -> DataFrame:
+    """Can statistics of an item still tell a nuisance flag, and does the flag tell the label? Both means
+    a live shortcut. One out-of-fold probe per flag; ``stats`` and ``rows`` share image_id, rows have
+    label and fold."""
+    out = None
+    for name, flag in flags.items():
+        f = rows.withColumn("target", flag.cast("int"))
+        frame = _numeric_frame(stats.join(f.select("image_id", "label", "fold", "target"), "image_id"), numeric)
+        v = probe_verdict(oof_scores(frame, "target", "fold", folds), "target", "survival_auc")
+        lab = R.rank_auc(f, [], "target", "label").select(R.folded(F.col("auc"))).scalar()
+        live = ~F.col("unmeasurable") & (F.col("auc") > L.limits("survival_auc")[0]) & (lab > L.limits("metadata_feature_auc")[0])
+        row = v.select(F.lit(name).alias("nuisance"), F.col("auc").alias("survival_auc"), lab.alias("label_auc"), "unmeasurable",
+                       F.coalesce(live, F.lit(False)).alias("live"))
+        row = row.withColumn("verdict", F.when(F.col("live") | F.col("unmeasurable"), "warn").otherwise("ok"))
+        out = row if out is None else out.unionByName(row)
+    return out
