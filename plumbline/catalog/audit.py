@@ -21,7 +21,7 @@ Q, SQL, query = registrar()
 WEEK = "concat(isoyear(ts),'W',lpad(CAST(week(ts) AS VARCHAR),2,'0'))"
 
 
-@query("generator_census", f"SELECT {WEEK} week, event_type model_name, count(*) n FROM events GROUP BY 1,2")
+@query("generator_census", f"SELECT {WEEK} AS week, event_type AS model_name, count(*) n FROM events GROUP BY 1,2")
 def _(spark, sf):
     return I.generator_census(B.table(spark, sf, "events"), MD.iso_week(F.col("ts")), "event_type")
 

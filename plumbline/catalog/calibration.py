@@ -88,7 +88,7 @@ def _(spark, sf):
     return cap_scores(spark, sf).select(r6("q_max"), r6("score"))
 
 
-@query("type_cap_choice", CAPPED + ", bb AS (SELECT (SELECT sc FROM sco WHERE qm=0.001) b, qm, sc FROM sco WHERE qm<>0.001 ORDER BY sc DESC, qm LIMIT 1) SELECT round(CASE WHEN sc>b THEN qm ELSE 0.001 END,6) q_max, round(b,6) score_before, round(greatest(sc,b),6) score_after FROM bb")
+@query("type_cap_choice", CAPPED + ", bb AS (SELECT (SELECT sc FROM sco WHERE qm=0.001) b, qm, sc FROM sco WHERE qm<>0.001 ORDER BY round(sc,9) DESC, qm LIMIT 1) SELECT round(CASE WHEN sc>b THEN qm ELSE 0.001 END,6) q_max, round(b,6) score_before, round(greatest(sc,b),6) score_after FROM bb")
 def _(spark, sf):
     return K.pick_cap(cap_scores(spark, sf)).select(r6("q_max"), r6("score_before"), r6("score_after"))
 

@@ -134,7 +134,9 @@ def type_cap_scores(rows: DataFrame, semi_prior: float, temperature: float, bias
 
 
 def pick_cap(scores: DataFrame, q_min: float = 1e-3) -> DataFrame:
-    """Best cap when it beats the pinned posterior, else the pinned one."""
+    """Best cap when it beats the pinned posterior, else the pinned one; the smallest cap on ties, and
+    scores that differ in the tenth decimal are a tie, so that summation order decides nothing."""
+    scores = scores.withColumn("score", F.round("score", 9))
     pinned = F.max(F.when(F.col("q_max") == q_min, F.col("score")))
     best = F.max(F.when(F.col("q_max") != q_min, F.struct(F.col("score"), (-F.col("q_max")).alias("nq"))))
     s = scores.agg(pinned.alias("score_before"), best.alias("_b"))

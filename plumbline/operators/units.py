@@ -15,21 +15,24 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v", max_round
     Each round is checkpointed to the shared folder, so a lost executor costs one round at most.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
-    e = cut_lineage(e)
-    nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b).alias("node"))).distinct()
-    seen = None
+    nodes = edges.select(F.explode(F.array(F.col(a), F.col(b))).alias("node")).distinct()
     for _ in range(max_rounds):
         e = cut_lineage(_small_star(_large_star(e)))
-        mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == tuple(mark):
+        if _settled(e):
             break
-        seen = tuple(mark)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(e.withColumnRenamed("u", "node"), "node", "left").select(
         "node", F.coalesce("v", "node").alias("component"))
 
 
+def _settled(e: DataFrame) -> bool:
+    """Every node hangs on one parent and no parent hangs on anything: each component is a star."""
+    twice = e.groupBy("u").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("u")
+    chained = e.select(F.col("v").alias("u")).distinct().join(e.select("u"), "u", "left_semi")
+    return twice.union(chained).isEmpty()
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = _pairs(e, F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))

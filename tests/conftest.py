@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 @pytest.fixture(scope="session")
 def spark():
-    s = (SparkSession.builder.master("local[8]").appName("tests").config("spark.sql.shuffle.partitions", "4")
+    s = (SparkSession.builder.master("local[8]").appName("tests").config("spark.sql.shuffle.partitions", "3")
          .config("spark.ui.enabled", "false").config("spark.driver.memory", "6g")
          .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")

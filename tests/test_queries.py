@@ -1,11 +1,18 @@
-"""Every registered query against its SQL at the smallest scale."""
+"""Registered queries against their SQL at the smallest scale.
+
+The headline queries by default, which keeps the run short; PLUMBLINE_TESTS=all takes every one.
+"""
+
+import os
 
 import pytest
 
 import __spark_entry__ as E
+from bench import HEADLINE
 from oracle import compare, duck
 
 QUERIES, SQL = E.queries(), E.oracle_sql()
+CHOSEN = list(QUERIES) if os.environ.get("PLUMBLINE_TESTS") == "all" else HEADLINE
 # Fits of many small models; tests/test_audit.py covers the operator on planted data.
 SLOW = {"metadata_probe", "blocking_gap", "override_efficacy", "val_inheritance", "error_predictability"}
 
@@ -15,13 +22,13 @@ def con(sf):
     return duck(sf)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n in SQL])
+@pytest.mark.parametrize("name", [n for n in CHOSEN if n in SQL])
 def test_matches_sql(spark, sf, con, name):
     ok, why, _ = compare(QUERIES[name](spark, sf), con, SQL[name])
     assert ok, why
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in CHOSEN if n not in SQL and n not in SLOW])
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
@@ -32,4 +39,4 @@ def test_entry(spark):
 
 
 def test_every_sql_has_a_query():
-    assert set(SQL) <= set(QUERIES)
+    assert set(SQL) <= set(QUERIES) and set(HEADLINE) <= set(QUERIES)
