@@ -80,9 +80,9 @@ def _(spark, sf):
     return E.share_weights(B.scored(spark, sf), "y3", E.three_class_targets(0.1)).select("vec_id", F.round("weight", 9).alias("weight"))
 
 
-@query("carried_weights", WEIGHTED + ", b AS (SELECT dataset, max(w) w FROM wt WHERE vec_id%3<>0 AND dataset<>'emb-1-1' GROUP BY 1) SELECT vec_id, round(coalesce(b.w,1),9) weight FROM pr LEFT JOIN b USING (dataset)")
+@query("carried_weights", WEIGHTED + ", b AS (SELECT dataset, max(w) w FROM wt WHERE dataset<>'emb-1-1' GROUP BY 1) SELECT vec_id, round(coalesce(b.w,1),9) weight FROM pr LEFT JOIN b USING (dataset)")
 def _(spark, sf):
-    base = E.share_weights(provenance_rows(spark, sf), "cls", SHARES).filter("vec_id % 3 <> 0 and dataset <> 'emb-1-1'")
+    base = E.share_weights(provenance_rows(spark, sf), "cls", SHARES).filter("dataset <> 'emb-1-1'")
     return E.carry_weights(fused_scored(spark, sf, "robust"), base, "dataset").select("vec_id", F.round("weight", 9).alias("weight"))
 
 

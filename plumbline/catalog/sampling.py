@@ -37,12 +37,12 @@ def _(spark, sf):
     return W.random_subset(B.raw_manifest(spark, sf), 100, B.SEED).select("image_id")
 
 
-@query("pair_side_cap", "WITH " + SPLIT + f""", mx AS (SELECT split_unit FROM s WHERE kind<>'synthetic' GROUP BY 1 HAVING count(DISTINCT label)=2 AND count(*)%2=0),
+@query("pair_side_cap", "WITH " + SPLIT + f""", mx AS (SELECT split_unit FROM s GROUP BY 1 HAVING count(DISTINCT label)=2 AND count(*) FILTER (WHERE label=0)>=13),
  r AS (SELECT s.image_id, mx.split_unit IS NOT NULL in_pair, row_number() OVER (PARTITION BY s.split_unit, label ORDER BY {frac('image_id')}, image_id) rk FROM s LEFT JOIN mx ON s.split_unit=mx.split_unit)
  SELECT image_id, in_pair FROM r WHERE NOT in_pair OR rk<=10""")
 def _(spark, sf):
     s = B.split_manifest(spark, sf, folded=False)
-    mixed = U.mixed_units(s.filter("kind <> 'synthetic'")).filter("(real_rows + fake_rows) % 2 = 0")
+    mixed = U.mixed_units(s).filter("real_rows >= 13")
     return W.cap_sides(s, mixed, 10, B.SEED).select("image_id", "in_pair")
 
 
@@ -57,12 +57,11 @@ def _(spark, sf):
     return W.naive_folds(B.raw_manifest(spark, sf), 5, B.SEED).select("image_id", "fold")
 
 
-@query("group_folds", "WITH " + RAW + """, g AS (SELECT DISTINCT source_path, label FROM raw WHERE kind<>'synthetic' OR source_path<'repo/src5'),
+@query("group_folds", "WITH " + RAW + """, g AS (SELECT DISTINCT source_path, label FROM raw),
  n AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY source_path)-1)%3 f FROM g)
  SELECT source_path, CAST(arg_min(f,label) AS INT) fold FROM n GROUP BY 1""")
 def _(spark, sf):
-    m = B.raw_manifest(spark, sf).filter("kind <> 'synthetic' or source_path < 'repo/src5'")
-    return W.group_folds(m, "source_path", "label", 3)
+    return W.group_folds(B.raw_manifest(spark, sf), "source_path", "label", 3)
 
 
 # ---- weights ------------------------------------------------------------------------------------

@@ -70,9 +70,9 @@ def _(spark, sf):
     return U.unit_sizes(B.split_manifest(spark, sf, folded=False))
 
 
-@query("mixed_units", "WITH " + SPLIT + " SELECT split_unit, count(*) FILTER (WHERE label=0) real_rows, count(*) FILTER (WHERE label=1) fake_rows FROM s WHERE kind<>'synthetic' GROUP BY 1 HAVING count(DISTINCT label)=2")
+@query("mixed_units", "WITH " + SPLIT + " SELECT split_unit, count(*) FILTER (WHERE label=0) real_rows, count(*) FILTER (WHERE label=1) fake_rows FROM s GROUP BY 1 HAVING count(DISTINCT label)=2")
 def _(spark, sf):
-    return U.mixed_units(B.split_manifest(spark, sf, folded=False).filter("kind <> 'synthetic'"))
+    return U.mixed_units(B.split_manifest(spark, sf, folded=False))
 
 
 def _blocks(size: str) -> str:

@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v", max_round
 
     Each round is checkpointed to the shared folder, so a lost executor costs one round at most.
     """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
+    e = cut_lineage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct())
     nodes = edges.select(F.explode(F.array(F.col(a), F.col(b))).alias("node")).distinct()
     for _ in range(max_rounds):
         e = cut_lineage(_small_star(_large_star(e)))
