@@ -30,12 +30,11 @@ def _with_buckets(df: DataFrame, order: str, shared: bool = False) -> DataFrame:
     bounds = numbered.agg(F.percentile_approx(used, cuts, F.lit(1000))).scalar()
     at = numbered.withColumn("_bounds", bounds).withColumn(
         "_at", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col("_num"))), F.lit(0)))
-    ends = (at.withColumn("_lo", F.when(F.col("_at") > 0, F.get("_bounds", F.col("_at") - 1)))
-            .withColumn("_hi", F.get("_bounds", F.col("_at"))))
+    ends = at.select("*", F.when(F.col("_at") > 0, F.get("_bounds", F.col("_at") - 1)).alias("_lo"),
+                     F.get("_bounds", F.col("_at")).alias("_hi"))
     step = F.floor((F.col("_num") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (FINE_BUCKETS - 1))
     fine = F.when(F.col("_hi") > F.col("_lo"), F.least(F.greatest(step, F.lit(0)), F.lit(FINE_BUCKETS - 1)))
-    return ends.withColumn("_b", (F.col("_at") * FINE_BUCKETS + F.coalesce(fine, F.lit(0))).cast("int")).drop(
-        "_num", "_bounds", "_at", "_lo", "_hi")
+    return ends.select(*df.columns, (F.col("_at") * FINE_BUCKETS + F.coalesce(fine, F.lit(0))).cast("int").alias("_b"))
 
 
 def _with_string_number(df: DataFrame, order: str) -> DataFrame:

@@ -162,6 +162,8 @@ def pair_drop(rows: DataFrame) -> DataFrame:
 
 def pair_confounds(units: DataFrame) -> DataFrame:
     """Does the margin gap of units follow their format or resolution difference? Needs four units."""
+    # One row per unit, read many times by the ranks.
+    units = cut_lineage(units.select("png_delta", "log_res_ratio", "margin_gap"))
     two = units.select(F.explode(F.array(F.struct(F.lit("png_delta").alias("against"), F.col("png_delta").alias("x")),
                                          F.struct(F.lit("log_res_ratio").alias("against"), F.col("log_res_ratio").alias("x")))).alias("s"), "margin_gap")
     r = R.spearman(two.select("s.against", "s.x", "margin_gap"), ["against"], "x", "margin_gap").filter("n >= 4")

@@ -217,8 +217,8 @@ def side_quantiles(m: DataFrame, column: str, groups: Sequence[str] = ("label",)
 def resample_bins(m: DataFrame, bins: int = 12, need: int = 50) -> DataFrame:
     """Log-spaced bins of m_eval between its 1% and 99% quantiles, clipped, counted by label."""
     ends = R.exact_quantiles(m.select("m_eval"), [], "m_eval", {"lo": .01, "hi": .99})
-    both_ends = ends.select(F.struct("lo", "hi")).scalar()
-    lo, hi = both_ends.getField("lo"), both_ends.getField("hi")
+    m = m.select("m_eval", "label").withColumn("_e", ends.select(F.struct("lo", "hi")).scalar())
+    lo, hi = F.col("_e.lo"), F.col("_e.hi")
     place = F.floor(F.lit(bins) * F.log(F.col("m_eval") / lo) / F.log(hi / lo))
     b = F.least(F.greatest(place, F.lit(0)), F.lit(bins - 1)).cast("int")
     c = (m.filter((lo > 0) & (hi > lo)).select(b.alias("bin"), "label").groupBy("bin").agg(
