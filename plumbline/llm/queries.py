@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from plumbline.catalog.base import registrar
-from plumbline.llm import exact_dedup, mixing
+from plumbline.llm import decontaminate, exact_dedup, mixing, url_filter
 
 Q, SQL, query = registrar()
 
@@ -40,3 +42,44 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
  doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256 FROM d""")
 def op6(spark, sf):
     return exact_dedup.exact_groups(table(spark, sf, "documents"))
+
+
+TERM = r"""regexp_matches(u, '(^|[^a-z0-9])({})([^a-z0-9]|$)')"""
+
+
+@query("op5_url_filter", rf"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path,
+ translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u FROM pages),
+r AS (SELECT *, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+ WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+ WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+ WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+ WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule,
+ {TERM.format("|".join(url_filter.STRICT))} AS strict,
+ {" + ".join(f"CASE WHEN {TERM.format(t)} THEN 1 ELSE 0 END" for t in url_filter.SOFT)} AS n,
+ {" + ".join(f"CASE WHEN {TERM.format(t)} THEN {w}::DOUBLE ELSE 0 END" for t, w in url_filter.SOFT.items())} AS weight FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+ WHEN strict OR (n > 1 AND weight >= {url_filter.LIMIT}) THEN 'block' ELSE 'allow' END AS verdict FROM r""")
+def op5(spark, sf):
+    return url_filter.judge(table(spark, sf, "pages")).drop("strict_terms", "soft_terms")
+
+
+@query("op7_decontamination", rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, list_slice(w, i, i + least(len(w), 13) - 1) AS g
+  FROM b, unnest(range(1, greatest(len(w) - 13, 0) + 2)) t(i) WHERE len(w) > 0),
+k AS (SELECT DISTINCT n FROM g),
+x AS (SELECT r, i, k.n, list_slice(w, i, i + k.n - 1) AS g FROM d, k, unnest(range(1, len(w) - k.n + 2)) t(i) WHERE len(w) >= k.n),
+h AS (SELECT x.r, x.i, x.n, g.item_id FROM x JOIN g ON x.n = g.n AND x.g = g.g),
+p AS (SELECT r, count(DISTINCT q) AS n_hit FROM h, unnest(range(i, i + n)) t(q) GROUP BY r),
+s AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY r)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+ sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN p USING (r) LEFT JOIN s USING (r)""")
+def op7(spark, sf):
+    found = decontaminate.scan(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
