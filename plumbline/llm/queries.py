@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from plumbline.catalog.base import registrar
-from plumbline.llm import decontaminate, exact_dedup, mixing, url_filter
+from plumbline.llm import decontaminate, exact_dedup, mixing, quality, toxicity, url_filter
 
 Q, SQL, query = registrar()
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def table(spark, sf, name):
+    """A given table; Python workers started from now on find this package where it isn't installed."""
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in path.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{path}:{ROOT}".strip(":")
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -83,3 +91,14 @@ def op7(spark, sf):
     found = decontaminate.scan(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op9_toxicity")
+def op9(spark, sf):
+    docs = table(spark, sf, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+
+
+@query("op10_quality")
+def op10(spark, sf):
+    return quality.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
