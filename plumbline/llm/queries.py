@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from plumbline.catalog.base import registrar
-from plumbline.llm import decontaminate, exact_dedup, mixing, quality, toxicity, url_filter
+from plumbline.llm import decontaminate, exact_dedup, mixing, near_dedup, quality, toxicity, url_filter
 
 Q, SQL, query = registrar()
 
@@ -102,3 +102,8 @@ def op9(spark, sf):
 @query("op10_quality")
 def op10(spark, sf):
     return quality.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op1_near_dedup")
+def op1(spark, sf):
+    return near_dedup.near_groups(table(spark, sf, "documents"))
