@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from plumbline.catalog.base import registrar
-from plumbline.llm import decontaminate, exact_dedup, mixing, near_dedup, quality, toxicity, url_filter
+from plumbline.llm import decontaminate, exact_dedup, mixing, near_dedup, quality, secret_scan, toxicity, url_filter
 
 Q, SQL, query = registrar()
 
@@ -107,3 +107,8 @@ def op10(spark, sf):
 @query("op1_near_dedup")
 def op1(spark, sf):
     return near_dedup.near_groups(table(spark, sf, "documents"))
+
+
+@query("op8_secret_scan")
+def op8(spark, sf):
+    return secret_scan.counted(secret_scan.scan(table(spark, sf, "documents")))
