@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from plumbline.catalog.base import registrar
-from plumbline.llm import decontaminate, exact_dedup, mixing, near_dedup, quality, secret_scan, toxicity, url_filter
+from plumbline.llm import decontaminate, exact_dedup, mixing, near_dedup, pii, quality, secret_scan, toxicity, url_filter
 
 Q, SQL, query = registrar()
 
@@ -112,3 +112,9 @@ def op1(spark, sf):
 @query("op8_secret_scan")
 def op8(spark, sf):
     return secret_scan.counted(secret_scan.scan(table(spark, sf, "documents")))
+
+
+@query("op4_pii")
+def op4(spark, sf):
+    docs = table(spark, sf, "documents")
+    return pii.counted(pii.scan(docs, pii.fit(docs)))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Items of a running sum that are added one by one; whole blocks of as many come from a second level.
 BLOCK = 256
+SPANS = "array<struct<kind:int,start:int,end:int>>"
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -50,7 +51,7 @@ def found(text: Column, pattern: str) -> Column:
 def kept(spans: Column, kind: int, keep: Callable[[Column], Column]) -> Column:
     """array<struct<kind:int,start:int,end:int>> of the spans whose value passes."""
     return F.transform(F.filter(spans, lambda s: keep(s["value"])), lambda s: F.struct(
-        F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+        F.lit(kind), s["start"], s["end"])).cast(SPANS)  # names given inside nested functions are not always kept
 
 
 def joined(spans: Column, names: Sequence[str]) -> Column:
