@@ -8,8 +8,9 @@ pair meets under no key with probability 7e-6.
 
 Texts with equal sets are one class, and only classes are indexed. Under a key nobody is paired with everybody:
 members are compared with one of them, linked classes get a common label, and only keys that still hold several
-labels are looked at again, with another member, then with all pairs of different labels. Pairs go through a filter on
-set sizes and on a second, 512-bit signature before the sets themselves are fetched and compared. Texts are shuffled only
+labels are looked at again, with another member, then with all pairs of different labels. Pairs go through exact bounds
+from set sizes and from the shingles that a set has to itself, and through a second, 512-bit signature, before the sets
+themselves are compared. The bounds leave out the many pairs of a large group of remoter copies, each edited in its own way. Texts are shuffled only
 where a bounded Bloom filter says that their set may be needed.
 """
 
@@ -121,15 +122,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           "items": pa.array(s, pa.list_(pa.int64()))})
 
 
-def near(a: str = "a", b: str = "b") -> Column:
-    """Whether two classes may be alike, from their set sizes and two-bit signatures."""
+def near(a: str = "a", b: str = "b", own: bool = True) -> Column:
+    """Whether two classes may be alike: no set can share more than the smaller size, nor what it has to itself,
+    and their two-bit signatures are not too far apart."""
     odd = F.lit(0x5555555555555555)
     apart = F.lit(0)
     for i in range(LONGS):
         x = F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])
         apart = apart + F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(odd))
-    low, high = F.least(F.col(f"{a}.n"), F.col(f"{b}.n")), F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
-    return (low * 100 >= high * SHARE) & (apart <= MOST_APART)
+    both = F.least(*[F.col(f"{x}.n") - F.col(f"{x}.own") if own else F.col(f"{x}.n") for x in (a, b)])
+    return (both * 100 >= (F.col(f"{a}.n") + F.col(f"{b}.n") - both) * SHARE) & (apart <= MOST_APART)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -156,6 +158,16 @@ def _candidates(left: DataFrame, right: DataFrame, known: DataFrame, apart: Colu
     return met.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
 
 
+def _with_own(known: DataFrame, sets: DataFrame) -> DataFrame:
+    """``own``: how many of a class's shingles no other of these classes has; 0 for an id with several classes."""
+    sets = sets.join(known.select("rep"), "rep", "left_semi")
+    items = sets.select("rep", F.explode("items").alias("item"))
+    once = items.groupBy("item").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).filter("rep = last")
+    single = sets.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter("n = 1")
+    own = once.groupBy("rep").agg(F.count(F.lit(1)).alias("own")).join(single, "rep", "left_semi")
+    return cut_lineage(known.join(own, "rep", "left").fillna(0, ["own"]))
+
+
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n, cls, index, bits) of every row: set size, digest of the set, indexed and filter signature."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -178,9 +190,10 @@ def linked_classes(docs: DataFrame, signed: DataFrame, key: str = "doc_id", text
     differ = F.col("a.label") != F.col("b.label")
     first = members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     x, y = known.alias("x"), known.alias("y")
-    first = first.join(y, F.col("b") == F.col("y.rep")).join(x, F.col("a") == F.col("x.rep")).filter(near("x", "y")).select("a", "b")
+    first = first.join(y, F.col("b") == F.col("y.rep")).join(x, F.col("a") == F.col("x.rep")).filter(near("x", "y", own=False)).select("a", "b")
     links = _confirmed(first, sets)
     mixed = _labelled(members, links)
+    known = _with_own(known.join(mixed.select("rep").distinct(), "rep", "left_semi"), sets)
     other = mixed.groupBy("key").agg(F.min_by(F.struct("rep", "label"), F.xxhash64("rep", "key")).alias("h")).select("key", "h.rep", "h.label")
     links = cut_lineage(links.union(_confirmed(_candidates(cut_lineage(other), mixed, known, differ), sets)))
     mixed = _labelled(mixed, links)
