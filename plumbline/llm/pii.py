@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.spans import SPANS, count_of, found, joined, kept, let, luhn
+from plumbline.llm.spans import SPANS, count_of, covered, found, joined, kept, let, luhn
 from plumbline.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -38,7 +38,7 @@ PROPOSE = (_RUN + r"\x20?(?:@|\((?:at|AT)\)|\[(?:at|AT)\])\x20?[A-Za-z0-9-]++(?:
            r"(?:(?<![0-9+(])|\G)[+(]?[0-9](?:[\x20()./-]{0,3}[0-9]){6,14}(?![0-9])")
 CONTEXT = (r"tel|phone|call|fax|mobil|llam|appel", r"mail|contact|write|schreib|escrib", r"card|visa|karte|carte|tarjeta|pay|iban",
            r"\bip\b|host|server|addr|adress|login|version")
-PROPOSALS = "array<struct<kind:int,start:int,end:int,f:array<double>>>"
+PROPOSALS = "array<struct<kind:int,start:int,end:int,value:string,before:string,after:string>>"
 
 
 def _digits(v: Column) -> Column:
@@ -58,32 +58,37 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[kept(found(text, p), k, lambda v, k=k: _valid(k, v)) for k, p in enumerate(BASE)])
 
 
-def features(text: Column, kind: int, s: Column) -> Column:
+def features(p: Column) -> Column:
     """Format and context of a proposal as numbers."""
-    v, before = s["value"], F.lower(F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24))))
-    last, after = F.right(before, F.lit(1)), F.substring(text, s["end"] + 1, F.lit(1))
+    v, before = p["value"], F.lower(p["before"])
+    last, after = F.right(before, F.lit(1)), F.left(p["after"], F.lit(1))
     groups = F.filter(F.split(v, "[^A-Za-z0-9]+", -1), lambda g: F.length(g) > 0)
     sizes = F.transform(groups, F.length)
-    numbers = F.transform(groups, lambda g: F.coalesce(F.try_to_number(F.right(g, F.lit(9)), F.lit("999999999")).cast("int"), F.lit(0)))
+    numbers = F.transform(groups, lambda g: F.coalesce(F.right(g, F.lit(9)).try_cast("int"), F.lit(999_999_999)))
     d = _digits(v)
     yes = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    return F.array(*[F.lit(1.0 if kind == k else 0.0) for k in range(len(KINDS))], *[x.cast("double") for x in (
+    return F.array(*[yes(p["kind"] == k) for k in range(len(KINDS))], *[F.coalesce(x.cast("double"), F.lit(0.0)) for x in (
         F.char_length(v), F.length(d), F.size(groups), F.get(sizes, 0), F.get(sizes, F.size(sizes) - 1), F.array_max(sizes), F.array_min(sizes),
         F.array_max(numbers))], yes(luhn(d)), yes(v.rlike(r"[.,:/-]")), yes(v.contains(" ")), yes(v.contains("(")),
         yes(last.rlike("[A-Za-z0-9]")), yes(last.rlike(r"\s")), yes(last == ""), yes(after.rlike("[A-Za-z0-9]")), yes(after.rlike(r"\s")),
         yes(after == ""), *[yes(before.rlike(c)) for c in CONTEXT])
 
 
-def _meets(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
-
-
 def proposals(text: Column) -> Column:
-    """array<struct<kind, start, end, f>>: what the generators propose, overlaps included; nothing for texts without a digit or at sign."""
+    """array<struct<kind, start, end, value, before, after>>: what the generators propose, overlaps included."""
     def of(kind: int) -> Column:
-        return F.transform(found(text, PROPOSE[kind]), lambda s: F.struct(F.lit(kind), s["start"], s["end"], features(text, kind, s))).cast(PROPOSALS)
-    none = F.array().cast(PROPOSALS)
-    return F.when(text.rlike(r"[0-9@]|\((?:at|AT)\)|\[(?:at|AT)\]"), F.concat(*map(of, range(len(KINDS))))).otherwise(none)
+        return F.transform(found(text, PROPOSE[kind], 24), lambda s: F.struct(
+            F.lit(kind), s["start"], s["end"], s["value"], s["before"], s["after"])).cast(PROPOSALS)
+    return F.concat(*map(of, range(len(KINDS))))
+
+
+def may_hold(text: Column) -> Column:
+    """False for texts that no pattern can match."""
+    return text.rlike(r"[0-9@]|\((?:at|AT)\)|\[(?:at|AT)\]")
+
+
+def _of_kind(spans: Column, kind: int | Column) -> Column:
+    return F.filter(spans, lambda s: s["kind"] == kind)
 
 
 def _tree(node, f: Column) -> Column:
@@ -106,13 +111,10 @@ class Model:
             margin = margin + _tree(t, f) * float(w)
         return 1 / (1 + F.exp(-2 * margin))
 
-    def chosen(self, s: Column) -> Column:
+    def chosen(self, p: Column) -> Column:
         """Whether a proposal's score reaches its kind's threshold."""
-        out = F.lit(False)
-        for k, t in enumerate(self.thresholds):
-            if t is not None:
-                out |= (s["kind"] == k) & (self.probability(s["f"]) >= t)
-        return out
+        least = F.array(*[F.lit(2.0 if t is None else float(t)) for t in self.thresholds])
+        return let(features(p), self.probability) >= F.get(least, p["kind"])
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH,
@@ -123,9 +125,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     body = F.coalesce(F.col(text), F.lit(""))
     part = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.col(text)), F.lit(SEED)), F.lit(1 << 40))
     rows = docs.select(part.alias("part"), body.alias("text")).filter(F.col("part") < share)
-    rows = rows.select("part", base_spans(F.col("text")).alias("base"), F.explode(proposals(F.col("text"))).alias("p"))
-    confirmed = F.exists("base", lambda b: (b["kind"] == F.col("p.kind")) & _meets(b, F.col("p"))).cast("double")
-    rows = cut_lineage(rows.select((F.col("part") % 4 == 3).alias("late"), F.col("p.kind").alias("kind"), F.col("p.f").alias("f"), confirmed.alias("y")))
+    judged = let(base_spans(F.col("text")), lambda base: let(F.array(*[_of_kind(base, k) for k in range(len(KINDS))]), lambda by: F.transform(
+        proposals(F.col("text")), lambda p: F.struct(p["kind"], features(p), covered(F.get(by, p["kind"]), p["start"], p["end"]).cast("double")))))
+    rows = rows.filter(may_hold(F.col("text"))).select((F.col("part") % 4 == 3).alias("late"), F.explode(
+        judged.cast("array<struct<kind:int,f:array<double>,y:double>>")).alias("p"))
+    rows = cut_lineage(rows.select("late", "p.kind", "p.f", "p.y"))
     early = rows.filter("not late").select(array_to_vector("f").alias("features"), "y")
     if early.select("y").distinct().count() < 2:
         return Model()
@@ -153,7 +157,15 @@ def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     body = F.col("text")
 
     def resolved(base: Column) -> Column:
-        new = F.filter(proposals(body), lambda p: model.chosen(p) & ~F.exists(base, lambda b: _meets(b, p)))
+        return let(F.array(*[_of_kind(base, k) for k in range(len(KINDS))]), lambda by: with_added(base, by))
+
+    def with_added(base: Column, by: Column) -> Column:
+        def free(p: Column) -> Column:
+            out = ~covered(F.get(by, F.lit(0)), p["start"], p["end"])
+            for k in range(1, len(KINDS)):
+                out &= ~covered(F.get(by, F.lit(k)), p["start"], p["end"])
+            return out
+        new = F.filter(proposals(body), lambda p: free(p) & model.chosen(p))
         ordered = F.array_sort(F.transform(new, lambda p: F.struct(p["start"], p["kind"], p["end"])).cast(ORDERED))
         none = F.struct(F.lit(0).alias("upto"), F.array().cast(ORDERED).alias("out"))
         apart = F.aggregate(ordered, none, lambda s, p: F.when(p["start"] >= s["upto"], F.struct(
@@ -162,7 +174,7 @@ def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
         return F.struct(base, F.array_sort(F.concat(base, added)))
     both = let(base_spans(body), resolved if model.trees else lambda b: F.struct(b, b)).cast(BOTH)
     none = F.array().cast(SPANS)
-    some = F.when(body.rlike(r"[0-9@]|\((?:at|AT)\)|\[(?:at|AT)\]"), both).otherwise(F.struct(none, none).cast(BOTH))
+    some = F.when(may_hold(body), both).otherwise(F.struct(none, none).cast(BOTH))
     return rows.select(F.col("id").alias(key), some.alias("both")).select(key, "both.base", "both.spans")
 
 

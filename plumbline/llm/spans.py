@@ -37,15 +37,21 @@ def running_sums(values: Column) -> Column:
     return let(values, lambda v: let(blocks_of(v), lambda blocks: with_blocks(v, blocks)))
 
 
-def found(text: Column, pattern: str) -> Column:
-    """array<struct<start:int,end:int,value:string>> of the leftmost non-overlapping matches, in order."""
+def found(text: Column, pattern: str, context: int = 0) -> Column:
+    """array<struct<start:int,end:int,value:string>> of the leftmost non-overlapping matches, in order; with ``context`` also
+    ``before`` and ``after``: so many characters at most on either side, up to the neighbouring match."""
+    kind = "start:int,end:int,value:string" + ",before:string,after:string" * bool(context)
+
     def of(matches: Column, pieces: Column) -> Column:
-        sizes = F.zip_with(matches, F.slice(pieces, 1, F.size(matches)), lambda m, p: F.char_length(m) + F.char_length(p))
-        return F.zip_with(matches, running_sums(sizes), lambda m, e: F.struct(
-            (e - F.char_length(m)).alias("start"), e.alias("end"), m.alias("value")))
+        first, next_ = F.slice(pieces, 1, F.size(matches)), F.slice(pieces, 2, F.size(matches))
+        sizes = F.zip_with(matches, first, lambda m, p: F.char_length(m) + F.char_length(p))
+        spans = F.zip_with(matches, running_sums(sizes), lambda m, e: F.struct(e - F.char_length(m), e, m).cast("struct<s:int,e:int,v:string>"))
+        if not context:
+            return spans
+        around = F.zip_with(first, next_, lambda a, b: F.struct(F.right(a, F.lit(context)), F.left(b, F.lit(context))).cast("struct<b:string,a:string>"))
+        return F.zip_with(spans, around, lambda s, c: F.struct(s["s"], s["e"], s["v"], c["b"], c["a"]))
     some = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: let(F.split(text, pattern, -1), lambda p: of(m, p)))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.when(text.rlike(pattern), some).otherwise(none)
+    return F.when(text.rlike(pattern), some.cast(f"array<struct<{kind}>>")).otherwise(F.array().cast(f"array<struct<{kind}>>"))
 
 
 def kept(spans: Column, kind: int, keep: Callable[[Column], Column]) -> Column:
@@ -61,6 +67,14 @@ def joined(spans: Column, names: Sequence[str]) -> Column:
         ":", F.element_at(name, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def covered(sorted_spans: Column, start: Column, end: Column) -> Column:
+    """Whether one of an array's spans, in order and apart from each other, meets [start, end). A binary search."""
+    steps = F.array(*[F.lit(2**k) for k in range(30, -1, -1)])
+    size = F.size(sorted_spans)
+    before = F.aggregate(steps, F.lit(0), lambda n, k: F.when((n + k <= size) & (F.get(sorted_spans, n + k - 1)["start"] < end), n + k).otherwise(n))
+    return let(before, lambda n: F.coalesce(F.get(sorted_spans, n - 1)["end"] > start, F.lit(False)))
+
+
 def count_of(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
@@ -73,4 +87,4 @@ def luhn(digits: Column) -> Column:
         d = F.substring(digits, i, F.lit(1)).cast("int")
         twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
         return s + F.when((n - i) % 2 == 1, twice).otherwise(d)
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10 == 0
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10 == 0).otherwise(F.lit(False))
