@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SMALL_ROWS = 200_000
 #: Bits in one bitmap of a filter.
 BITMAP = 32_768
+#: Bytes of text that a Python worker unpacks at a time, beside the Arrow batch that Spark hands it.
+SLICE_BYTES = 4_000_000
 
 
 def ascii_lower(text: Column) -> Column:
@@ -69,3 +74,12 @@ def maybe_in(rows: DataFrame, key: Column, table: DataFrame, bits: int, hashes:
     drop = [f"_{x}{j}" for j in range(hashes) for x in ("block", "bitmap", "slot")]
     return rows.withColumn(flag, seen).drop(*drop)
 
+
+
+def sliced(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Parts of the batches with the column's texts as UTF-8, about SLICE_BYTES of them or one text at a time."""
+    for batch in batches:
+        column = batch.column(text).cast(pa.binary())
+        rows = max(1, len(batch) * SLICE_BYTES // max(column.nbytes, 1))
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows), column.slice(i, rows).to_pylist()

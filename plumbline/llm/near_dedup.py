@@ -8,10 +8,10 @@ pair meets under no key with probability 7e-6.
 
 Texts with equal sets are one class, and only classes are indexed. Under a key nobody is paired with everybody:
 members are compared with one of them, linked classes get a common label, and only keys that still hold several
-labels are looked at again, with another member, then with all pairs of different labels. Pairs go through exact bounds
-from set sizes and from the shingles that a set has to itself, and through a second, 512-bit signature, before the sets
-themselves are compared. The bounds leave out the many pairs of a large group of remoter copies, each edited in its own way. Texts are shuffled only
-where a bounded Bloom filter says that their set may be needed.
+labels are looked at again, with another member, then with all pairs of different labels. Before two sets are fetched and
+compared they pass an exact bound: a set's bitmap holds the parity of its shingles' hashes, and sets differ in at least as
+many shingles as their bitmaps differ in bits. That leaves out nearly all pairs of a large group of remoter copies. Texts are
+shuffled only where a bounded Bloom filter says that their set may be needed.
 """
 
 from __future__ import annotations
@@ -24,16 +24,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import carried, filter_bits, key_filter, maybe_in
+from plumbline.llm.common import carried, filter_bits, key_filter, maybe_in, sliced
 from plumbline.operators.units import connected_components
 from plumbline.session import cut_lineage
 
 SHINGLE, SHARE = 3, 85
 CHUNKS, WIDTH, ERRORS = 8, 6, 1
-#: Minhashes of the filter, two bits each; the indexed ones are the first of them.
-HASHES, LONGS = 256, 8
-#: Differing two-bit minhashes up to which a pair is compared: five standard deviations above the mean of 28.8 at 0.85.
-MOST_APART = 55
+HASHES = CHUNKS * WIDTH
+#: Bits of a set's bitmap.
+PARITY = 1_024
 PER_ROW, MOST_BITS = 16, 2**31
 _rng = np.random.default_rng(11)
 _MUL, _ADD = _rng.integers(0, 2**32, HASHES, np.uint32) | np.uint32(1), _rng.integers(0, 2**32, HASHES, np.uint32)
@@ -44,7 +43,7 @@ class _Words(dict):
     """Hashes of words met before; emptied when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -72,23 +71,19 @@ def minhashes(sets: np.ndarray) -> np.ndarray:
     return low ^ (low >> np.uint32(15))
 
 
-def _binary(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
-    return batch.column(name).cast(pa.binary()).to_pylist()
-
-
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Words()
-    for batch in batches:
+    for batch, texts in sliced(batches, "text"):
         ids, n, cls, index, bits = batch.column("id"), [], [], [], []
-        for t in _binary(batch, "text"):
+        for t in texts:
             s = shingles(t, known)
             n.append(len(s))
             if len(s):
                 m = minhashes(s)
-                two = (m >> np.uint32(30)).astype(np.uint8).reshape(-1, 4)
+                odd = np.bincount((s & np.uint64(PARITY - 1)).view(np.int64), minlength=PARITY) & 1
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()))
-                index.append((m[: CHUNKS * WIDTH] & np.uint32(0xFFFF)).astype(np.uint16).tobytes())
-                bits.append((two << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).view(np.int64))
+                index.append((m & np.uint32(0xFFFF)).astype(np.uint16).tobytes())
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             else:
                 cls.append(None)
                 index.append(None)
@@ -99,10 +94,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row (key, rep) for each chunk and each choice of the one place left out."""
-    for batch in batches:
-        if not len(batch):
-            continue
-        c = np.frombuffer(b"".join(_binary(batch, "index")), np.uint16).reshape(-1, CHUNKS, WIDTH).astype(np.uint64)
+    for batch, index in sliced(batches, "index"):
+        c = np.frombuffer(b"".join(index), np.uint16).reshape(-1, CHUNKS, WIDTH).astype(np.uint64)
         rep = np.asarray(batch.column("rep"))
         for chunk in range(CHUNKS):
             for out in range(WIDTH):
@@ -116,22 +109,19 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Words()
-    for batch in batches:
-        s = [shingles(t, known).view(np.int64) for t in _binary(batch, "text")]
+    for batch, texts in sliced(batches, "text"):
+        s = [shingles(t, known).view(np.int64) for t in texts]
         yield pa.RecordBatch.from_pydict({"rep": batch.column("id"), "cls": pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in s], pa.binary()),
                                           "items": pa.array(s, pa.list_(pa.int64()))})
 
 
-def near(a: str = "a", b: str = "b", own: bool = True) -> Column:
-    """Whether two classes may be alike: no set can share more than the smaller size, nor what it has to itself,
-    and their two-bit signatures are not too far apart."""
-    odd = F.lit(0x5555555555555555)
+def near(a: str = "a", b: str = "b") -> Column:
+    """Whether two classes may be alike: false only if their sizes or the differing bits of their bitmaps rule it out."""
     apart = F.lit(0)
-    for i in range(LONGS):
-        x = F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])
-        apart = apart + F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(odd))
-    both = F.least(*[F.col(f"{x}.n") - F.col(f"{x}.own") if own else F.col(f"{x}.n") for x in (a, b)])
-    return (both * 100 >= (F.col(f"{a}.n") + F.col(f"{b}.n") - both) * SHARE) & (apart <= MOST_APART)
+    for i in range(PARITY // 64):
+        apart = apart + F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i]))
+    low, high = F.least(F.col(f"{a}.n"), F.col(f"{b}.n")), F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
+    return (low * 100 >= high * SHARE) & ((low + high) * (100 - SHARE) >= apart * (100 + SHARE))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -158,18 +148,8 @@ def _candidates(left: DataFrame, right: DataFrame, known: DataFrame, apart: Colu
     return met.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
 
 
-def _with_own(known: DataFrame, sets: DataFrame) -> DataFrame:
-    """``own``: how many of a class's shingles no other of these classes has; 0 for an id with several classes."""
-    sets = sets.join(known.select("rep"), "rep", "left_semi")
-    items = sets.select("rep", F.explode("items").alias("item"))
-    once = items.groupBy("item").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).filter("rep = last")
-    single = sets.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter("n = 1")
-    own = once.groupBy("rep").agg(F.count(F.lit(1)).alias("own")).join(single, "rep", "left_semi")
-    return cut_lineage(known.join(own, "rep", "left").fillna(0, ["own"]))
-
-
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, cls, index, bits) of every row: set size, digest of the set, indexed and filter signature."""
+    """(id, n, cls, index, bits) of every row: set size, digest of the set, indexed signature and bitmap."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     return cut_lineage(rows.mapInArrow(_sign, "id long, n long, cls binary, index binary, bits array<long>"))
 
@@ -190,10 +170,9 @@ def linked_classes(docs: DataFrame, signed: DataFrame, key: str = "doc_id", text
     differ = F.col("a.label") != F.col("b.label")
     first = members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     x, y = known.alias("x"), known.alias("y")
-    first = first.join(y, F.col("b") == F.col("y.rep")).join(x, F.col("a") == F.col("x.rep")).filter(near("x", "y", own=False)).select("a", "b")
+    first = first.join(y, F.col("b") == F.col("y.rep")).join(x, F.col("a") == F.col("x.rep")).filter(near("x", "y")).select("a", "b")
     links = _confirmed(first, sets)
     mixed = _labelled(members, links)
-    known = _with_own(known.join(mixed.select("rep").distinct(), "rep", "left_semi"), sets)
     other = mixed.groupBy("key").agg(F.min_by(F.struct("rep", "label"), F.xxhash64("rep", "key")).alias("h")).select("key", "h.rep", "h.label")
     links = cut_lineage(links.union(_confirmed(_candidates(cut_lineage(other), mixed, known, differ), sets)))
     mixed = _labelled(mixed, links)
