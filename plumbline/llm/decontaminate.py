@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import sliced
+
 WINDOW, BLOCK_CHARS = 13, 32_000_000
 #: Contaminated: found words are at least one in so many.
 ONE_IN = 20
@@ -98,8 +100,8 @@ def _scanner(items: list, window: int, name: str):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _automaton(token, items, window)
-        for batch in batches:
-            rows = [_scan(t, *machine) for t in batch.column(name).cast(pa.binary()).to_pylist()]
+        for batch, texts in sliced(batches, name):
+            rows = [_scan(t, *machine) for t in texts]
             cols = {c: batch.column(c) for c in batch.schema.names if c != name}
             cols |= {"n_words": pa.array([r[0] for r in rows], pa.int64()),
                      "hits": pa.array([r[1] for r in rows], pa.list_(pa.struct([(k, pa.int32()) for k in ("first", "last", "start", "end")]))),
@@ -173,9 +175,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _automaton(token, items, window)
-        for batch in batches:
+        for batch, texts in sliced(batches, text):
             keep = []
-            for t in batch.column(text).cast(pa.binary()).to_pylist():
+            for t in texts:
                 n, hits, _ = _scan(t, *machine)
                 n_hit = sum(h["last"] - h["first"] + 1 for h in hits)
                 keep.append(not n_hit or n_hit * ONE_IN < n)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import sliced
 from plumbline.llm.toxicity import held_out, training_labels
 from plumbline.session import cut_lineage
 
@@ -91,8 +92,8 @@ def isotonic(at: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
 def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, x): the statistics of every text, in a table of its own since a row of them is short."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [statistics(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        for batch, texts in sliced(batches, "text"):
+            rows = [statistics(t) for t in texts]
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "x": pa.array(rows, pa.list_(pa.float64()))})
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     return cut_lineage(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, x array<double>"))
@@ -177,8 +178,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     model = fit(document_statistics(docs, key, text), labels, key, label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [statistics(t) for t in batch.column(text).cast(pa.binary()).to_pylist()]
-            good = model(np.array(rows)) >= threshold if rows else np.zeros(0, bool)
+        for batch, texts in sliced(batches, text):
+            good = model(np.array([statistics(t) for t in texts])) >= threshold
             yield batch.filter(pa.array(good, pa.bool_()))
     return docs.mapInArrow(run, docs.schema)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import sliced
 from plumbline.session import cut_lineage
 
 LENGTHS, BITS = (3, 7), 18
@@ -70,15 +71,11 @@ def buckets(text: bytes | None, lengths: tuple[int, int], bits: int) -> np.ndarr
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def _binary(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
-    return batch.column(name).cast(pa.binary()).to_pylist()
-
-
 def _counter(lengths: tuple[int, int], bits: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, 2**bits), np.int64)
-        for batch in batches:
-            for t, y in zip(_binary(batch, "text"), batch.column("y").to_pylist(), strict=True):
+        for batch, texts in sliced(batches, "text"):
+            for t, y in zip(texts, batch.column("y").to_pylist(), strict=True):
                 n[int(y > 0), np.unique(buckets(t, lengths, bits))] += 1
         at = np.flatnonzero(n.any(0))
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int64()), "clean": pa.array(n[0, at]), "toxic": pa.array(n[1, at])})
@@ -87,9 +84,9 @@ def _counter(lengths: tuple[int, int], bits: int):
 
 def _chosen(lengths: tuple[int, int], bits: int, order: np.ndarray):
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in sliced(batches, "text"):
             rows = []
-            for t in _binary(batch, "text"):
+            for t in texts:
                 at = order[buckets(t, lengths, bits)]
                 rows.append(np.unique(at[at >= 0]))
             yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "at": pa.array(rows, pa.list_(pa.int32()))})
@@ -165,8 +162,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     scores; an empty table gives an empty result; other columns are not read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "score": pa.array(scores(_binary(batch, "text"), model))})
+        for batch, texts in sliced(batches, "text"):
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "score": pa.array(scores(texts, model))})
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     found = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
     return found.select(F.col("id").alias(key), held_out(F.col("id")).alias("held_out"), "score",
