@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ascii_lower, bitmaps, carried, filter_bits, maybe_in, slots
+from plumbline.llm.common import ascii_lower, bitmaps, carried, filter_bits, lookup, maybe_in, slots
 from plumbline.session import cut_lineage
 
 PER_ROW, MOST_BITS, HASHES = 16, 2**31, 2
@@ -47,7 +47,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
     flagged = flag_possible(rows, rows.select("sha"), per_row, most_bits)
     again = flagged.filter("possible").drop("possible")
     groups = again.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    repeated = again.join(groups, "sha").select("id", "keep_id", "group_size", "sha")
+    groups = cut_lineage(groups.withColumnRenamed("sha", "group_sha"))
+    repeated = lookup(again, groups, F.col("sha") == F.col("group_sha")).select("id", "keep_id", "group_size", "sha")
     single = flagged.filter("not possible").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long"), "sha")
     return repeated.union(single).select(
         F.col("id").alias(key), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
