@@ -105,7 +105,7 @@ NORM = "lower(trim(regexp_replace(text,'\\s+',' ','g')))"
 
 @query("ingest_dedup", f"""WITH k AS (SELECT doc_id, source, sha1(text) h FROM documents WHERE n_chars>=256),
  f AS (SELECT h, min(doc_id) doc_id FROM k GROUP BY 1)
- SELECT k.doc_id, source source_file, concat('item_', lpad(CAST(row_number() OVER (ORDER BY k.doc_id)-1 AS VARCHAR),9,'0')) fname
+ SELECT k.doc_id, source source_file, concat('item_', lpad(CAST(row_number() OVER (ORDER BY k.doc_id)-1 AS VARCHAR),CAST(greatest(length(CAST(row_number() OVER (ORDER BY k.doc_id)-1 AS VARCHAR)),9) AS INT),'0')) fname
  FROM k JOIN f USING (doc_id)""")
 def _(spark, sf):
     d = B.table(spark, sf, "documents").withColumnRenamed("source", "source_file")
@@ -124,7 +124,7 @@ def _(spark, sf):
 @query("ingest_capped", """WITH k AS (SELECT doc_id, source, sha1(text) h FROM documents WHERE n_chars>=256),
  f AS (SELECT h, source, min(doc_id) doc_id FROM k GROUP BY 1,2),
  r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id)-1 i FROM f)
- SELECT doc_id, source source_file, concat('img_', lpad(CAST(i AS VARCHAR),6,'0')) fname FROM r WHERE i<30""")
+ SELECT doc_id, source source_file, concat('img_', lpad(CAST(i AS VARCHAR),CAST(greatest(length(CAST(i AS VARCHAR)),6) AS INT),'0')) fname FROM r WHERE i<30""")
 def _(spark, sf):
     d = B.table(spark, sf, "documents").withColumnRenamed("source", "source_file")
     kept = I.ingest(d, content="text", size="n_chars", order="doc_id", min_side=256, by=["source_file"], max_n=30)
@@ -167,7 +167,7 @@ def _(spark, sf):
 @query("file_indexes", """SELECT doc_id, CASE WHEN doc_id%5=0 THEN -1 WHEN doc_id%5=1 THEN -1 ELSE doc_id END file_index FROM documents""")
 def _(spark, sf):
     d = B.table(spark, sf, "documents").select("doc_id")
-    n = F.lpad(F.col("doc_id").cast("string"), 6, "0")
+    n = S.padded(F.col("doc_id"), 6)
     name = (F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("a_b/plain"), n, F.lit(".png")))
             .when(F.col("doc_id") % 5 == 1, F.concat(F.lit("img_"), n, F.lit("x.jpg")))
             .otherwise(F.concat(F.lit("d/img_"), n, F.lit(".jpg"))))
@@ -393,7 +393,7 @@ def _(spark, sf):
 def build_inputs(spark, sf):
     m = B.raw_manifest(spark, sf)
     meta = m.select("dataset", F.lit("").alias("iso_week"),
-                    F.concat(F.lit("img_"), F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.lit("."), F.col("ext")).alias("file"),
+                    F.concat(F.lit("img_"), S.padded(F.col("doc_id"), 6), F.lit("."), F.col("ext")).alias("file"),
                     F.col("image_id").alias("path"), "source_file")
     files = m.filter("width >= 200").select(F.col("image_id").alias("path"), "width", "height", "file_format", "pil_mode", "file_bytes")
     reg = registry(spark, sf).filter("name <> 'src3-fr'").withColumn("source_format", F.lit("zip")).withColumn(
@@ -406,7 +406,7 @@ def build_inputs(spark, sf):
   CASE name WHEN 'src1-en' THEN 'aerial' ELSE content_category END fx, path,
   CASE WHEN name IN ('src1-en','src2-en') THEN 'src1-en' ELSE name END release FROM reg WHERE name<>'src3-fr'),
  fo AS (SELECT fx, count(DISTINCT label) k FROM dim GROUP BY 1)
- SELECT concat(dataset,'/img_',lpad(CAST(doc_id AS VARCHAR),6,'0'),'.',ext) image_id, dataset, dim.label, dim.kind, dim.fx content_category_fixed,
+ SELECT concat(dataset,'/img_',lpad(CAST(doc_id AS VARCHAR),CAST(greatest(length(CAST(doc_id AS VARCHAR)),6) AS INT),'0'),'.',ext) image_id, dataset, dim.label, dim.kind, dim.fx content_category_fixed,
   CASE WHEN k<2 THEN 'diverse' ELSE dim.fx END category, release, path source_path, source_file, file_index, ext, min_side,
   round(CAST(512 AS DOUBLE)/min_side,6) m_eval
  FROM raw JOIN dim ON dataset=name JOIN fo USING (fx) WHERE width>=200""")

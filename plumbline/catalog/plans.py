@@ -69,7 +69,7 @@ EK = "concat(dataset,'|',CAST(job AS VARCHAR))"
 
 @query("edit_plan", "WITH " + SPLIT + f""", x AS (SELECT * FROM s WHERE split='train'), n AS (SELECT dataset, count(*) n FROM x GROUP BY 1), j AS (SELECT dataset, job, job%n row_no FROM n, (SELECT unnest(range(30)) job)),
  nr AS (SELECT image_id, dataset, row_number() OVER (PARTITION BY dataset ORDER BY {frac('image_id', '34|order')}, image_id)-1 row_no FROM x)
- SELECT dataset, CAST(job AS INT) job, concat('img_',lpad(CAST(job AS VARCHAR),6,'0'),'.jpg') fname, image_id, CASE job%2 WHEN 0 THEN 'first' ELSE 'second' END editor, {frac(EK, '34|face')}<0.5 want_face,
+ SELECT dataset, CAST(job AS INT) job, concat('img_',lpad(CAST(job AS VARCHAR),CAST(greatest(length(CAST(job AS VARCHAR)),6) AS INT),'0'),'.jpg') fname, image_id, CASE job%2 WHEN 0 THEN 'first' ELSE 'second' END editor, {frac(EK, '34|face')}<0.5 want_face,
  CAST({pick(EK, 'quality', 9)}+88 AS INT) quality, {pick(EK, 'seed', 2147483648)} job_seed, concat(dataset,'#blk',CAST(job//64 AS VARCHAR)) source_file FROM j JOIN nr USING (dataset, row_no)""")
 def _(spark, sf):
     return J.edit_plan(B.split_manifest(spark, sf, folded=False), 30, ["first", "second"], B.SEED)
@@ -79,7 +79,7 @@ def _(spark, sf):
  nr AS (SELECT image_id, dataset, row_number() OVER (PARTITION BY dataset ORDER BY {frac('image_id', '34|order')}, image_id)-1 row_no FROM raw),
  j AS (SELECT job, {pick('job', 'dst', 't')} d, {pick('job', 'src', '(t-1)')} st, t FROM (SELECT unnest(range((SELECT count(*)//2 FROM raw))) job), t),
  k AS (SELECT job, s.dataset src_dataset, e.dataset dst_dataset, {pick('job', 'srcrow', 's.n')} sn, {pick('job', 'dstrow', 'e.n')} en FROM j JOIN n s ON s.a=(d+1+st)%t JOIN n e ON e.a=d)
- SELECT job, concat('img_',lpad(CAST(job AS VARCHAR),6,'0'),'.jpg') fname, src_dataset, p.image_id src_id, dst_dataset, q.image_id dst_id, CAST({pick('job', 'quality', 9)}+88 AS INT) quality, concat(dst_dataset,'#blk',CAST(job//64 AS VARCHAR)) source_file
+ SELECT job, concat('img_',lpad(CAST(job AS VARCHAR),CAST(greatest(length(CAST(job AS VARCHAR)),6) AS INT),'0'),'.jpg') fname, src_dataset, p.image_id src_id, dst_dataset, q.image_id dst_id, CAST({pick('job', 'quality', 9)}+88 AS INT) quality, concat(dst_dataset,'#blk',CAST(job//64 AS VARCHAR)) source_file
  FROM k JOIN nr p ON p.dataset=src_dataset AND p.row_no=sn JOIN nr q ON q.dataset=dst_dataset AND q.row_no=en""")
 def _(spark, sf):
     m = B.raw_manifest(spark, sf)

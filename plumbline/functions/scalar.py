@@ -14,6 +14,12 @@ PROB_EPS = 1e-7
 HOLDOUT_MARKER = "-holdout-"
 
 
+def padded(n: Column, digits: int) -> Column:
+    """A number with leading zeros to at least so many digits; longer numbers stay whole."""
+    s = n.cast("string")
+    return F.lpad(s, F.greatest(F.length(s), F.lit(digits)), F.lit("0"))
+
+
 def stable_fraction(key: Column, seed: int | str) -> Column:
     """Uniform [0, 1) from the first 52 bits of md5(key|seed); same value on every run and layout."""
     digest = F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))

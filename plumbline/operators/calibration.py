@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import metrics as X
 from plumbline.functions import scalar as S
+from plumbline.functions.lookup import small_join
 from plumbline.operators import evaluation as E
 
 # Fixed values of the search.
@@ -147,10 +148,12 @@ def pick_cap(scores: DataFrame, q_min: float = 1e-3) -> DataFrame:
 
 # ---- cross-fit, mixture, headroom ---------------------------------------------------------------
 
-def crossfit_temperatures(rows: DataFrame, fold: str, y: str = "y", grid: Sequence[float] | None = None, max_ratio: float = 2.0) -> DataFrame:
+def crossfit_temperatures(rows: DataFrame, fold: str, y: str = "y", grid: Sequence[float] | None = None, max_ratio: float = 2.0,
+                          group: str | None = None, min_groups: int = 4) -> DataFrame:
     """fold -> temperature fitted on the other folds; all folds from one pass of additive sums.
 
-    When the folds differ by more than ``max_ratio`` the fit on all rows stands in for each.
+    The fit on all rows stands in for a fold whose other folds hold one class only, and for every fold when the folds
+    differ by more than ``max_ratio`` or there are fewer than ``min_groups`` values of ``group``.
     """
     grid = grid or geometric(*TEMPERATURES)
     sums = temperature_sums(rows, ["view", fold], y, "margin", y, grid)
@@ -164,10 +167,28 @@ def crossfit_temperatures(rows: DataFrame, fold: str, y: str = "y", grid: Sequen
     per = pick_temperature(blend_views(class_weighted(others.filter("n > 0"), ["view", fold, "i", "t"], y, E.class_targets()),
                                        [fold, "i", "t"]), [fold], len(grid))
     one = Window.partitionBy(F.lit(1))
-    ratio = F.max("temperature").over(one) / F.min("temperature").over(one)
     whole = full.select("temperature").scalar()
-    return per.select(fold, ratio.alias("fold_ratio"), F.col("temperature").alias("fitted"), whole.alias("pooled")).withColumn(
-        "temperature", F.when(F.col("fold_ratio") > max_ratio, F.col("pooled")).otherwise(F.col("fitted")))
+    classes = others.filter("n > 0").groupBy("view", fold).agg(F.count_distinct(y).alias("_c")).groupBy(fold).agg(F.min("_c").alias("_c"))
+    per = classes.join(per, fold, "left").select(fold, F.when(F.col("_c") > 1, F.col("temperature")).otherwise(whole).alias("fitted"))
+    ratio = F.max("fitted").over(one) / F.min("fitted").over(one)
+    few = F.lit(False) if group is None else rows.agg(F.count_distinct(F.col(group).cast("string"))).scalar() < min_groups
+    return per.select(fold, ratio.alias("fold_ratio"), "fitted", whole.alias("pooled")).withColumn(
+        "temperature", F.when((F.col("fold_ratio") > max_ratio) | few, F.col("pooled")).otherwise(F.col("fitted")))
+
+
+def crossfit_platt(rows: DataFrame, fold: str, folds: int, y: str = "y", margin: str = "margin") -> DataFrame:
+    """(fold, a, b): the sigmoid fitted on the other folds, (1, 0) where those hold one class only."""
+    out = []
+    for f in range(folds):
+        rest = rows.filter(F.col(fold) != f)
+        two = rest.select(y).distinct().count() > 1
+        out.append((f, *(fit_platt(rest, y, margin) if two else (1.0, 0.0))))
+    return rows.sparkSession.createDataFrame(out, f"{fold} int, a double, b double")
+
+
+def apply_platt(rows: DataFrame, fits: DataFrame, fold: str, margin: str = "margin", out: str = "p_fake") -> DataFrame:
+    """Every row's probability by the fit of its own fold."""
+    return small_join(rows, fits, [fold], "inner").withColumn(out, 1 / (1 + F.exp(-(F.col("a") * F.col(margin) + F.col("b"))))).drop("a", "b")
 
 
 def mixture_temperature(rows: DataFrame, pool: str, shares: Mapping[str, float], y: str = "y", grid: Sequence[float] | None = None) -> DataFrame:

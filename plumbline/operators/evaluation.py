@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import metrics as X
 from plumbline.functions import ranking as R
 from plumbline.functions import scalar as S
+from plumbline.functions.lookup import small_join
 
 
 # ---- weights ------------------------------------------------------------------------------------
@@ -26,7 +27,7 @@ def share_weights(rows: DataFrame, column: str, targets: Mapping[object, float],
     c = c.withColumn("_sum", F.sum("_t").over(one)).withColumn("_all", F.sum("_n").over(one))
     w = F.when(F.col("_t").isNull() | F.col("_sum").isNull(), 1.0).otherwise(
         F.col("_t") / F.col("_sum") * F.col("_all") / F.col("_n"))
-    return rows.join(c.select(column, w.alias(out)), column)
+    return small_join(rows, c.select(column, w.alias(out)), [column], "inner")
 
 
 def class_targets(p_fake: float = 0.5) -> dict[int, float]:
@@ -137,9 +138,10 @@ def slice_accuracy(rows: DataFrame, slices: Sequence[str], y: str, margin: str)
     hit = ((F.col(margin) > 0) == (F.col(y) == 1)).cast("double")
     g = rows.groupingSets([[s] for s in slices], *slices).agg(
         F.count(F.lit(1)).alias("n"), F.avg(hit).alias("acc"), F.avg(F.when(F.col(y) == 0, hit)).alias("acc_real"),
-        F.avg(F.when(F.col(y) == 1, hit)).alias("acc_fake"))
-    name = F.coalesce(*[F.when(F.col(s).isNotNull(), F.lit(s)) for s in slices])
-    return g.select(name.alias("slice"), F.coalesce(*[F.col(s).cast("string") for s in slices]).alias("value"),
+        F.avg(F.when(F.col(y) == 1, hit)).alias("acc_fake"), *[F.grouping(s).alias(f"_off_{s}") for s in slices])
+    on = [(F.col(f"_off_{s}") == 0, s) for s in slices]
+    return g.select(F.coalesce(*[F.when(is_on, F.lit(s)) for is_on, s in on]).alias("slice"),
+                    F.coalesce(*[F.when(is_on, F.col(s).cast("string")) for is_on, s in on]).alias("value"),
                     "n", "acc", "acc_real", "acc_fake")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import ranking as R
+from plumbline.functions import scalar as S
 
 # Name prefix of each role.
 ROLE_PREFIX = {"probe": "probe-", "train": "local-"}
@@ -32,7 +33,7 @@ def ingest(items: DataFrame, *, content: str, size: str, order: str, min_side: i
     numbered = R.ordered_position(first_copies(big, content, order, by), by, order)
     if max_n is not None:
         numbered = numbered.filter(F.col("position") < max_n)
-    name = F.concat(F.lit(stem), F.lpad(F.col("position").cast("string"), digits, "0"))
+    name = F.concat(F.lit(stem), S.padded(F.col("position"), digits))
     keep = numbered.select(order, "content_hash", name.alias("fname"))
     return items.drop(content).join(keep, order)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import ranking as R
 from plumbline.functions import scalar as S
+from plumbline.functions.lookup import small_join
 
 
 # ---- registry rules -----------------------------------------------------------------------------
@@ -50,9 +51,12 @@ def release_groups(registry: DataFrame, shards: DataFrame) -> DataFrame:
 
     ``shards(shard_id, pos, name)``.
     """
+    def in_order(c: str) -> Column:
+        """By the number that the value ends in, so that 10 follows 9."""
+        return F.struct(F.regexp_extract(F.col(c).cast("string"), "([0-9]*)$", 1).try_cast("bigint"), F.col(c))
     present = shards.join(registry.select("name"), "name", "left_semi")
-    first = present.groupBy("shard_id").agg(F.min_by("name", "pos").alias("release"))
-    owner = present.join(first, "shard_id").groupBy("name").agg(F.max_by("release", "shard_id").alias("release"))
+    first = present.groupBy("shard_id").agg(F.min_by("name", in_order("pos")).alias("release"))
+    owner = present.join(first, "shard_id").groupBy("name").agg(F.max_by("release", in_order("shard_id")).alias("release"))
     return registry.join(owner, "name", "left").withColumn(
         "group", F.coalesce("release", "name")).drop("release")
 
@@ -65,8 +69,7 @@ def folded_categories(rows: DataFrame, category: str, label: str) -> DataFrame:
 
 
 def fold_categories(rows: DataFrame, category: str, label: str, out: str) -> DataFrame:
-    return (rows.join(folded_categories(rows, category, label), category)
-            .withColumnRenamed("folded", out))
+    return small_join(rows, folded_categories(rows, category, label), [category], "inner").withColumnRenamed("folded", out)
 
 
 # ---- manifest build -----------------------------------------------------------------------------

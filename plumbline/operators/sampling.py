@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import ranking as R
 from plumbline.functions import scalar as S
+from plumbline.functions.lookup import small_join
 
 CELL = ["label", "category", "kind", "group"]
 
@@ -16,25 +17,26 @@ CELL = ["label", "category", "kind", "group"]
 def eval_cap(rows: DataFrame, cap: int, seed: int) -> DataFrame:
     """About ``cap`` rows, proportional over (dataset, label), at least one per cell. A row's place
     depends on its own id only, so a larger table never swaps the rows that stay."""
-    n = rows.count()
-    if cap <= 0 or n <= cap:
+    if cap <= 0:
         return rows
-    return _proportional(rows, cap / n, F.concat(F.lit("evalcap|"), F.col("image_id")), seed)
+    return _proportional(rows, cap, F.concat(F.lit("evalcap|"), F.col("image_id")), seed)
 
 
 def stratified_sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """Proportional sample over (label, dataset) of about n rows, at least one per cell."""
-    total = rows.count()
-    if total <= n:
-        return rows
-    return _proportional(rows, n / total, F.col("image_id"), seed)
+    return _proportional(rows, n, F.col("image_id"), seed)
 
 
-def _proportional(rows: DataFrame, share: float, key: Column, seed: int) -> DataFrame:
+def _proportional(rows: DataFrame, wanted: int, key: Column, seed: int) -> DataFrame:
+    """Every cell's share of ``wanted`` rows, all rows if there are no more; one plan for every size. NULL is a
+    dataset or label like any other."""
     cell = ["dataset", "label"]
-    quota = rows.groupBy(*cell).agg(F.greatest(F.lit(1.0), F.bround(F.count(F.lit(1)) * F.lit(share), 0)).alias("_q"))
-    r = rows.withColumn("_u", S.stable_fraction(key, seed)).join(quota, cell)
-    return R.keep_quota(r, cell, "_u", "image_id", "_q").filter("kept").drop("_u", "_q", "kept")
+    share = F.least(F.lit(1.0), F.lit(float(wanted)) / rows.agg(F.count(F.lit(1))).scalar())
+    quota = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    quota = quota.withColumn("_q", F.greatest(F.lit(1.0), F.bround(F.col("_n") * share, 0)))
+    r = rows.withColumn("_u", S.stable_fraction(key, seed))
+    cuts = R.quota_cuts(r, cell, "_u", "image_id", quota.drop("_n"))
+    return R.up_to_cut(r, cuts, cell, "_u", "image_id").filter("kept").drop("_u", "kept")
 
 
 def random_subset(rows: DataFrame, n: int, seed: int, key: str = "image_id") -> DataFrame:
@@ -45,14 +47,11 @@ def random_subset(rows: DataFrame, n: int, seed: int, key: str = "image_id") ->
 
 def cap_sides(rows: DataFrame, mixed: DataFrame, cap: int, seed: int) -> DataFrame:
     """Rows of mixed units, at most ``cap`` per side, marked in_pair; rows of other units marked out."""
-    r = rows.join(mixed.select("split_unit", F.lit(True).alias("in_pair")), "split_unit", "left")
-    r = r.withColumn("in_pair", F.coalesce("in_pair", F.lit(False)))
-    r = r.withColumn("_u", S.stable_fraction(F.col("image_id"), seed)).withColumn("_q", F.lit(cap))
-    cuts = R.quota_cuts(r.filter("in_pair"), ["split_unit", "label"], "_u", "image_id", "_q")
-    j = r.join(cuts, ["split_unit", "label"], "left")
-    inside = F.col("cut_u").isNull() | (F.col("_u") < F.col("cut_u")) | (
-        (F.col("_u") == F.col("cut_u")) & (F.col("image_id") <= F.col("cut_tie")))
-    return j.filter(inside).drop("_u", "_q", "cut_u", "cut_tie")
+    r = small_join(rows, mixed.select("split_unit", F.lit(True).alias("in_pair")), ["split_unit"])
+    r = r.withColumn("in_pair", F.coalesce("in_pair", F.lit(False))).withColumn("_u", S.stable_fraction(F.col("image_id"), seed))
+    cuts = R.quota_cuts(r.filter("in_pair"), ["split_unit", "label"], "_u", "image_id", cap)
+    j = R.up_to_cut(r, cuts, ["split_unit", "label"], "_u", "image_id")
+    return j.filter(~F.col("in_pair") | F.col("kept")).drop("_u", "kept")
 
 
 # ---- folds --------------------------------------------------------------------------------------
@@ -159,7 +158,7 @@ def cap_weights(cells: DataFrame, max_replay: float) -> DataFrame:
 
 def weigh(rows: DataFrame, cells: DataFrame) -> DataFrame:
     """Rows with their cell's weight."""
-    return rows.join(cells.select(*CELL, "w"), CELL)
+    return small_join(rows, cells.select(*CELL, "w"), CELL, "inner")
 
 
 def one_kind(rows: DataFrame) -> DataFrame:
@@ -211,7 +210,7 @@ def batch_kind_weights(rows: DataFrame, batch: str, kind: str) -> DataFrame:
     c = rows.groupBy(batch, kind).agg(F.count(F.lit(1)).alias("_n"))
     t = c.groupBy(batch).agg(F.sum("_n").alias("_b"), F.count(F.lit(1)).alias("_k"))
     w = c.join(t, batch).select(batch, kind, (F.col("_b") / (F.col("_k") * F.col("_n"))).alias("kind_weight"))
-    return rows.join(w, [batch, kind])
+    return small_join(rows, w, [batch, kind], "inner")
 
 
 # ---- draws --------------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import ranking as R
 from plumbline.functions import scalar as S
+from plumbline.functions.lookup import small_join
 from plumbline.operators import units as U
 from plumbline.session import cut_lineage
 
@@ -33,13 +34,11 @@ def dataset_stats(rows: DataFrame) -> DataFrame:
 
 
 def _with_block(rows: DataFrame, stats: DataFrame, blocks: int, size_rows) -> DataFrame:
-    r = rows.join(stats, "dataset")
-    index = F.col("file_index")
-    if not stats.filter("_by_pos").isEmpty():
-        # Only datasets without usable indexes are ordered, by position of their image_id.
-        pos = R.ordered_position(r.filter("_by_pos").select("dataset", "image_id"), ["dataset"], "image_id", "_pos")
-        r = r.join(pos.select("image_id", "_pos"), "image_id", "left")
-        index = F.coalesce("_pos", "file_index")
+    r = small_join(rows, stats, ["dataset"], "inner")
+    # Only datasets without usable indexes are ordered, by position of their image_id; the other rows stay where they are.
+    placed = R.ordered_position(r.filter("_by_pos"), ["dataset"], "image_id", "_pos")
+    r = r.filter("not _by_pos").withColumn("_pos", F.col("file_index").cast("bigint")).unionByName(placed)
+    index = F.col("_pos")
     size = F.greatest(F.lit(8), F.floor(size_rows / blocks))
     key = F.when(F.col("_by_file"), F.col("source_file")).otherwise(
         F.floor(F.greatest(index, F.lit(0)) / size).cast("string"))
@@ -108,12 +107,11 @@ def cap_train(rows: DataFrame, cap: int, seed: int, exempt: Sequence[str] = ())
     free = F.lit(False)
     for part in exempt:
         free = free | F.col("dataset").contains(part)
-    r = rows.withColumn("_u", S.stable_fraction(F.col("image_id"), seed)).withColumn("_cap", F.lit(cap))
-    cuts = R.quota_cuts(r.filter((F.col("split") == "train") & ~free), ["dataset"], "_u", "image_id", "_cap")
-    over = (F.col("_u") > F.col("cut_u")) | ((F.col("_u") == F.col("cut_u")) & (F.col("image_id") > F.col("cut_tie")))
-    return (r.join(cuts, "dataset", "left")
-            .withColumn("split", F.when((F.col("split") == "train") & over, "unused").otherwise(F.col("split")))
-            .drop("_u", "_cap", "cut_u", "cut_tie"))
+    r = rows.withColumn("_u", S.stable_fraction(F.col("image_id"), seed))
+    cuts = R.quota_cuts(r.filter((F.col("split") == "train") & ~free), ["dataset"], "_u", "image_id", cap)
+    return (R.up_to_cut(r, cuts, ["dataset"], "_u", "image_id")
+            .withColumn("split", F.when((F.col("split") == "train") & ~F.col("kept"), "unused").otherwise(F.col("split")))
+            .drop("_u", "kept"))
 
 
 def assign(rows: DataFrame, cliques: DataFrame, holdouts: DataFrame, *, seed: int = 34, val_id_frac: float = 0.06,
@@ -142,8 +140,10 @@ def _carve_train(r: DataFrame, val_id_frac: float, val_cal_frac: float, seed: in
 # ---- checks and reports -------------------------------------------------------------------------
 
 def summary(rows: DataFrame) -> DataFrame:
-    """One pass over both levels: per split, and per split and category (category NULL = the split)."""
-    return rows.groupingSets([["split"], ["split", "category"]], "split", "category").agg(
+    """One pass over both levels: per split, and per split and category (category NULL = the split); a category that is
+    itself NULL is reported as 'unknown'."""
+    r = rows.withColumn("category", F.coalesce("category", F.lit("unknown")))
+    return r.groupingSets([["split"], ["split", "category"]], "split", "category").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("dataset").alias("datasets"),
         F.avg("label").alias("p_fake"), F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("real_rows"),
         F.count_distinct("label").alias("labels"))

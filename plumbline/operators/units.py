@@ -58,12 +58,14 @@ def split_units(rows: DataFrame, cliques: DataFrame, key: str = "dataset", path:
     ``cliques(clique_id, name)``; names that do not occur are ignored.
     """
     ds = rows.select(key, path).distinct()
-    by_path = ds.select(F.concat(F.lit("~p:"), F.col(path)).alias("u"), F.col(key).alias("v"))
+    node = F.concat(F.lit("d:"), F.col(key))
+    by_path = ds.select(F.concat(F.lit("p:"), F.col(path)).alias("u"), node.alias("v"))
     there = ds.select(F.col(key).alias("name")).distinct()
     by_clique = cliques.join(there, "name", "left_semi").select(
-        F.concat(F.lit("~c:"), F.col("clique_id")).alias("u"), F.col("name").alias("v"))
+        F.concat(F.lit("c:"), F.col("clique_id")).alias("u"), F.concat(F.lit("d:"), F.col("name")).alias("v"))
     comp = connected_components(by_path.unionByName(by_clique))
-    mine = comp.filter(~F.startswith("node", F.lit("~")))
+    name = F.col("node").substr(F.lit(3), F.length("node"))
+    mine = comp.filter(F.startswith("node", F.lit("d:"))).select(name.alias("node"), "component")
     names = mine.groupBy("component").agg(F.min("node").alias("split_unit"))
     return mine.join(names, "component").select(F.col("node").alias(key), "split_unit")
 

@@ -19,7 +19,7 @@ BLOCK = 64
 
 
 def _file(i: Column) -> Column:
-    return F.concat(F.lit("img_"), F.lpad(i.cast("string"), 6, "0"), F.lit(".jpg"))
+    return F.concat(F.lit("img_"), S.padded(i, 6), F.lit(".jpg"))
 
 
 def edit_plan(rows: DataFrame, per_source: int, editors: Sequence[str], seed: int, quality: tuple[int, int] = (88, 96)) -> DataFrame:

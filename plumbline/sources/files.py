@@ -32,7 +32,7 @@ def dataset_dirs(spark: SparkSession, root: str) -> DataFrame:
     base = root.rstrip("/")
     info = list_files(spark, base, "dataset_info.json").select(
         F.regexp_replace("path", "/dataset_info.json$", "").alias("dir"))
-    rel = F.split(F.substring(F.col("dir"), len(base) + 2, 4096), "/")
+    rel = F.split(F.col("dir").substr(F.lit(len(base) + 2), F.length("dir")), "/")
     d = info.select("dir", F.get(rel, F.lit(0)).alias("dataset"), F.coalesce(F.get(rel, F.lit(1)), F.lit("")).alias("iso_week"), F.size(rel).alias("_n"))
     d = d.filter("_n <= 2 and dataset <> ''")
     tops = d.filter("_n = 1").select("dataset", F.lit(True).alias("_top"))
@@ -50,7 +50,7 @@ def metadata_files(spark: SparkSession, dirs: DataFrame, root: str) -> DataFrame
 def image_pool(spark: SparkSession, root: str) -> DataFrame:
     """Images below root/real and root/fake: (path, dataset, label)."""
     f = list_files(spark, root).filter(F.col("path").rlike(_IMAGE))
-    side = F.regexp_extract(F.substring(F.col("path"), len(root.rstrip("/")) + 2, 4096), "^(real|fake)/", 1)
+    side = F.regexp_extract(F.col("path").substr(F.lit(len(root.rstrip("/")) + 2), F.length("path")), "^(real|fake)/", 1)
     return f.filter(side != "").select("path", side.alias("dataset"), F.when(side == "real", 0).otherwise(1).alias("label"))
 
 
@@ -60,7 +60,7 @@ def folder_items(spark: SparkSession, root: str, seed: int) -> DataFrame:
     name = base.rsplit("/", 1)[-1]
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     r = r.select(_plain(F.col("path")).alias("path"), "content").filter(F.col("path").rlike(_IMAGE))
-    parent = F.regexp_extract(F.substring(F.col("path"), len(base) + 2, 4096), "^(.*)/[^/]*$", 1)
+    parent = F.regexp_extract(F.col("path").substr(F.lit(len(base) + 2), F.length("path")), "^(.*)/[^/]*$", 1)
     return r.withColumn("source_file", F.when(parent == "", name).otherwise(parent)).withColumn(
         "place", S.stable_fraction(F.col("path"), seed))
 
@@ -86,6 +86,7 @@ def zip_items(spark: SparkSession, path: str, seed: int) -> DataFrame:
     return out.withColumn("place", S.stable_fraction(F.col("member"), seed))
 
 
+HEAD_BYTES = 16_384
 HEADER = "path string, width bigint, height bigint, file_format string, pil_mode string, file_bytes bigint"
 
 
@@ -97,8 +98,8 @@ def probe_headers(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
 
 
 def probe_contents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The same for a table (path, length, content). Only the head of each file leaves the JVM, except
-    for JPEG, whose size may sit behind metadata of any length."""
+    """The same for a table (path, length, content). First only the head of each file leaves the JVM; files whose size
+    is not in it, as in JPEG behind long metadata, are read whole in a second pass."""
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
@@ -107,8 +108,9 @@ def probe_contents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
             got = [image_header(bytes(c)) for c in pdf["content"]]
             yield pd.DataFrame({"path": pdf["path"], "width": [g[0] for g in got], "height": [g[1] for g in got],
                                 "file_format": [g[2] for g in got], "pil_mode": [g[3] for g in got], "file_bytes": pdf["length"]})
-    jpeg = F.hex(F.substring("content", 1, 2)) == "FFD8"
-    head = files.withColumn("content", F.when(jpeg, F.col("content")).otherwise(F.substring("content", 1, 4096)))
-    probed = head.mapInPandas(run, HEADER)
     ok = (F.col("width") > 0) & (F.col("height") > 0)
+    head = files.withColumn("content", F.substring("content", 1, HEAD_BYTES)).mapInPandas(run, HEADER)
+    open_ = files.filter(F.length("content") > HEAD_BYTES).join(head.filter(~ok).select("path"), "path", "left_semi")
+    whole = open_.select("path", "length", "content").mapInPandas(run, HEADER)
+    probed = head.join(whole.select("path"), "path", "left_anti").unionByName(whole)
     return probed.filter(ok), probed.filter(~ok).select("path")
