@@ -50,7 +50,8 @@ def _(spark, sf):
 
 def _oof(spark, sf, target=None, naive=False, extra=(), fused_=False):
     m = fused_manifest(spark, sf) if fused_ else B.split_manifest(spark, sf)
-    m = m.withColumn("target", F.col("label") if target is None else target)
+    m = m.withColumn("target", F.col("label") if target is None else target).withColumn(
+        "content_category_fixed", F.when(F.col("dataset").isin("src1-es", "src6-es"), "c1").otherwise(F.col("content_category")))
     frame = A.probe_frame(m, A.NUMERIC, ["ext", "file_format", "pil_mode", *extra])
     if naive:
         frame = W.naive_folds(frame, 5, B.SEED)
@@ -76,8 +77,9 @@ def _(spark, sf):
 
 @query("override_efficacy")
 def _(spark, sf):
+    """Categories as recorded against categories corrected by rule for two datasets."""
     raw = R.rank_auc(_oof(spark, sf, extra=["content_category"]), [], "oof", "target").select(F.col("auc").alias("auc_raw"))
-    fixed = R.rank_auc(_oof(spark, sf, extra=["category"]), [], "oof", "target").select("auc").scalar()
+    fixed = R.rank_auc(_oof(spark, sf, extra=["content_category_fixed"]), [], "oof", "target").select("auc").scalar()
     g = raw.withColumn("auc_fixed", fixed)
     return g.select(r6("auc_raw"), r6("auc_fixed"), r6(F.col("auc_fixed") - F.col("auc_raw"), "delta"))
 
@@ -239,7 +241,8 @@ LEDGER = f"""lg AS (SELECT date_trunc('week',ts) ts, concat('slices|value|events
  lt AS (SELECT * FROM prev QUALIFY row_number() OVER (PARTITION BY key_str ORDER BY ts DESC)=1)"""
 
 
-def ledger(spark, sf):
+def ledger(spark, sf, planted=True):
+    """(newest week, earlier weeks); with ``planted`` one key family has no earlier rows and is a baseline."""
     e = B.table(spark, sf, "events")
     g = e.groupBy(F.date_trunc("week", "ts").alias("ts"), "event_type", (F.col("user_id") % 5).alias("part")).agg(
         (F.avg("value") / 100).alias("value"), F.count(F.lit(1)).alias("n"))
@@ -247,12 +250,19 @@ def ledger(spark, sf):
     g = g.withColumn("key_str", L.key_string(F.lit("slices"), F.lit("value"), F.lit("events"), key)).withColumn("seq", F.lit(0))
     g = g.withColumn("headline", F.lit("acc")).withColumn("test", F.lit("value")).withColumn("mode", F.lit("slices"))
     last = g.agg(F.max("ts")).scalar()
-    return g.filter(F.col("ts") == last), g.filter((F.col("ts") < last) & ~((F.col("part") == 0) & (F.col("event_type") == "signup")))
+    new = (F.col("part") == 0) & (F.col("event_type") == "signup") & F.lit(planted)
+    return g.filter(F.col("ts") == last), g.filter((F.col("ts") < last) & ~new)
 
 
-@query("latest_ledger", f"WITH {LEDGER} SELECT key_str, ts, round(value,6) AS value, n FROM lt")
+def whole_ledger(spark, sf):
+    """Every week and key of the ledger."""
+    cur, prev = ledger(spark, sf, planted=False)
+    return cur.unionByName(prev)
+
+
+@query("latest_ledger", f"WITH {LEDGER} SELECT key_str, ts, round(value,6) AS value, n FROM lg QUALIFY row_number() OVER (PARTITION BY key_str ORDER BY ts DESC)=1")
 def _(spark, sf):
-    return L.latest(ledger(spark, sf)[1]).select("key_str", "ts", r6("value"), "n")
+    return L.latest(whole_ledger(spark, sf)).select("key_str", "ts", r6("value"), "n")
 
 
 VERDICT = "CASE WHEN c.value>0.52 THEN 'warn' ELSE 'ok' END"
@@ -267,11 +277,10 @@ def _(spark, sf):
 
 
 @query("threshold_verdicts", f"""WITH {LEDGER}, th AS (SELECT * FROM (VALUES {','.join(f"('{n}',CAST({w} AS DOUBLE),CAST({h if h is not None else 'NULL'} AS DOUBLE))" for n, w, h in L.THRESHOLDS)}) t(threshold,warn,hard))
- SELECT key_str, threshold, CASE WHEN value>hard THEN 'hard' WHEN value>warn THEN 'warn' ELSE 'ok' END verdict FROM cur, th WHERE hard IS NOT NULL""")
+ SELECT key_str, ts, threshold, CASE WHEN value>hard THEN 'hard' WHEN value>warn THEN 'warn' ELSE 'ok' END verdict FROM lg, th""")
 def _(spark, sf):
-    cur, _ = ledger(spark, sf)
-    tests = [F.struct(F.lit(n).alias("threshold"), L.bucket(F.col("value"), n).alias("verdict")) for n, w, h in L.THRESHOLDS if h is not None]
-    return cur.select("key_str", F.explode(F.array(*tests)).alias("s")).select("key_str", "s.threshold", "s.verdict")
+    tests = [F.struct(F.lit(n).alias("threshold"), L.bucket(F.col("value"), n).alias("verdict")) for n, _, _ in L.THRESHOLDS]
+    return whole_ledger(spark, sf).select("key_str", "ts", F.explode(F.array(*tests)).alias("s")).select("key_str", "ts", "s.threshold", "s.verdict")
 
 
 # ---- probe suite --------------------------------------------------------------------------------
@@ -329,17 +338,44 @@ def _(spark, sf):
     return A.stat_aucs(s, lab, "vec_id", names).select("stat", "n", r6("auc"))
 
 
-@query("grid_stats")
+def _power(u, v):
+    return "+".join(f"pow(list_sum(list_transform(range(64), lambda i: a[i+1]*{f}(2*pi()*((({u})*(i//8)+({v})*(i%8))%8)/8))),2)" for f in ("cos", "sin"))
+
+
+def _mean(pairs):
+    return f"list_avg([{','.join(f'abs(a[{x + 1}]-a[{y + 1}])' for x, y in pairs)}])"
+
+
+_WAVES = A.frequencies(8)
+_BANDS = [[i for i, w in enumerate(_WAVES) if lo <= w[2] < hi] for lo, hi in zip(A.BAND_ENDS, A.BAND_ENDS[1:], strict=False)]
+_SUM = lambda ids: "(" + ("+".join(f"w[{i + 1}]" for i in ids) or "0.0::DOUBLE") + ")"
+_ACROSS = {x: [(8 * y + x + 1, 8 * y + x) for y in range(8)] for x in range(7)}
+_DOWN = {y: [(8 * y + 8 + x, 8 * y + x) for x in range(8)] for y in range(7)}
+_ON = lambda steps, on: _mean([p for k, v in steps.items() if on is None or ((k + 1) % 4 == 0) == on for p in v])
+GRID_SQL = f"""x AS (SELECT vec_id, label, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) a FROM embeddings),
+ p AS (SELECT *, [{','.join(_power(u, v) for u, v, _ in _WAVES)}] w, list_min(a) lo, greatest(list_max(a)-list_min(a),CAST(1e-12 AS DOUBLE)) wd FROM x),
+ g AS (SELECT vec_id, label, {','.join(f"ln(1+{_SUM(b)}/{max(len(b), 1)}) band_{k}" for k, b in enumerate(_BANDS))},
+  ln(1+{_SUM([i for i, w in enumerate(_WAVES) if w[2] > A.HIGH_FROM])}/greatest({_SUM([i for i, w in enumerate(_WAVES) if 0 < w[2] <= A.LOW_TO])},CAST(1e-9 AS DOUBLE))) hf_lf,
+  ({'+'.join(f"{_ON(s, True)}/greatest({_ON(s, False)},CAST(1e-9 AS DOUBLE))" for s in (_ACROSS, _DOWN))})/2 blockiness,
+  ({'+'.join(_ON(s, None) for s in (_ACROSS, _DOWN))})/2 edge_density,
+  (SELECT -sum(c/CAST(64 AS DOUBLE)*log2(c/CAST(64 AS DOUBLE))) FROM (SELECT count(*) c FROM (SELECT unnest(a) e) GROUP BY least(floor((e-lo)/wd*16),15))) entropy FROM p)"""
+
+
+@query("grid_stats", f"WITH {GRID_SQL} SELECT vec_id, {', '.join(f'round({c},6) {c}' for c in A.GRID_STATS)} FROM g")
 def _(spark, sf):
     s = A.grid_stats(B.table(spark, sf, "embeddings"), "vec_id", "embedding")
     return s.select("vec_id", *[r6(c) for c in A.GRID_STATS])
 
 
-@query("grid_stat_aucs")
+_GA = " UNION ALL ".join(f"SELECT '{c}' stat, round({c},6) sv, CASE WHEN label>=5 THEN 1 ELSE 0 END y FROM g" for c in A.GRID_STATS)
+
+
+@query("grid_stat_aucs", f"WITH {GRID_SQL}, sa AS ({_GA}) SELECT stat, n, round(greatest(auc,1-auc),6) auc FROM " + auc_sql("sa", ["stat"], "sv", "y"))
 def _(spark, sf):
     e = B.table(spark, sf, "embeddings")
     lab = e.select("vec_id", F.when(F.col("label") >= 5, 1).otherwise(0).alias("label"))
-    return A.stat_aucs(A.grid_stats(e, "vec_id", "embedding"), lab, "vec_id", A.GRID_STATS).select("stat", "n", r6("auc"))
+    s = A.grid_stats(e, "vec_id", "embedding").select("vec_id", *[r6(c) for c in A.GRID_STATS])
+    return A.stat_aucs(s, lab, "vec_id", A.GRID_STATS).select("stat", "n", r6("auc"))
 
 
 VARIANTS = """x AS (SELECT vec_id, label, 'plain' variant, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) a FROM embeddings),
@@ -364,11 +400,12 @@ def _(spark, sf):
 
 @query("nuisance_survival")
 def _(spark, sf):
-    """Statistics of the vectors against the format flags of the documents of the same number."""
-    m = B.split_manifest(spark, sf, folded=False).withColumn("vec_id", F.col("doc_id"))
-    st = A.array_stats(B.table(spark, sf, "embeddings"), "vec_id", "embedding")
-    rows = W.naive_folds(m, 3, B.SEED)
-    stats = st.join(rows.select("vec_id", "image_id"), "vec_id").select("image_id", "mean", "std", "low", "high", "edge")
-    flags = {"is_png": F.col("file_format") == "PNG", "non_rgb": F.col("pil_mode") != "RGB"}
+    """Statistics of every document's word lengths against its three format flags, on folds that keep datasets whole."""
+    m = B.split_manifest(spark, sf, folded=False)
+    lengths = F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+"), F.length)
+    d = B.table(spark, sf, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("image_id"), lengths.alias("a"))
+    stats = A.array_stats(d, "image_id", "a")
+    rows = m.join(W.blocked_folds(m, 3, "dataset").select(F.col("block").alias("dataset"), "fold"), "dataset")
+    flags = {"is_png": F.col("file_format") == "PNG", "non_rgb": F.col("pil_mode") != "RGB", "upsampled": F.col("m_eval") > 1}
     s = A.survival(stats, rows, flags, ["mean", "std", "low", "high", "edge"])
     return s.select("nuisance", r6("survival_auc"), r6("label_auc"), "unmeasurable", "live", "verdict")

@@ -63,7 +63,7 @@ def _(spark, sf):
  e AS (SELECT i, a, j, b, s, avg(pow({sigmoid('m/a+b')}-s,2)) e FROM f, ga, gb GROUP BY ALL), w AS (SELECT i, a, j, b, sum(CASE s WHEN 1 THEN CAST(0.2 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END*e) br FROM e GROUP BY ALL)
  SELECT round(a,6) type_temperature, round(b,6) type_bias, round(0.2*pow(CAST(0.999 AS DOUBLE),2)+0.8*pow(CAST(0.001 AS DOUBLE),2),6) brier_before, round(br,6) brier_after FROM w ORDER BY br, i, j LIMIT 1""")
 def _(spark, sf):
-    r = K.fit_type_margin(fused_scored(spark, sf), 0.2)
+    r = K.fit_type_margin(fused_scored(spark, sf), 0.2).drop("pinned")
     return r.select(*[r6(c) for c in r.columns])
 
 
@@ -106,14 +106,14 @@ def folded_views(spark, sf):
 
 @query("crossfit_temperatures", XFIT + " SELECT CAST(fold AS INT) fold, round(ra,6) fold_ratio, round(fitted,6) fitted, round(pooled,6) pooled, round(temperature,6) temperature FROM fin")
 def _(spark, sf):
-    r = K.crossfit_temperatures(folded_views(spark, sf), "fold")
+    r = K.crossfit_temperatures(folded_views(spark, sf), "fold", group="dataset")
     return r.select("fold", r6("fold_ratio"), r6("fitted"), r6("pooled"), r6("temperature"))
 
 
 @query("crossfit_scores", XFIT + f", a0 AS (SELECT view, y, {sigmoid('d/temperature')} p FROM v JOIN fo USING (dataset) JOIN fin USING (fold)), {BAL.replace('FROM v ', 'FROM a0 ')} SELECT view, round({MCC},6) mcc, round(br,6) brier, round({quality(MCC, 'br')},6) score FROM b")
 def _(spark, sf):
     v = folded_views(spark, sf)
-    t = K.crossfit_temperatures(v, "fold").select("fold", "temperature")
+    t = K.crossfit_temperatures(v, "fold", group="dataset").select("fold", "temperature")
     s = v.join(t, "fold").withColumn("p", S.sigmoid(F.col("margin") / F.col("temperature")))
     return E.balanced_scores(s, ["view"], "y", "p").select("view", r6("mcc"), r6("brier"), r6("score"))
 
@@ -175,15 +175,16 @@ def _(spark, sf):
 @query("scenario_points")
 def _(spark, sf):
     """Scenario pools beside the plain one: a clean and an inverted hidden class as large as the table."""
-    rows_ = scenario_rows(spark, sf)
     own = fused_scored(spark, sf).select("vec_id", "y", F.col("p").alias("p_fake"))
     n1, n0 = own.filter("y = 1").count(), own.filter("y = 0").count()
     wrong = own.filter("y = 1 and p_fake < 0.5")
     out = None
+    base = provenance_rows(spark, sf).select("dataset", "y", "cls", F.col("p").alias("p_fake"))
     for share in (0.0, 0.1):
-        pool = K.scenario_pool(own, share, B.SEED, n1, n0, wrong)
-        extra = pool.select(F.lit("base").alias("view"), "y", "p_fake", F.lit(1.0).alias("weight"))
-        s = rows_.select("view", "y", "p_fake", "weight").unionByName(extra).withColumn("scenario", F.lit(f"inv-{share}"))
+        pool = K.scenario_pool(own, share, B.SEED, n1, n0, wrong).withColumn("cls", S.provenance(F.col("dataset"), B.STREAM_MARKER))
+        both = E.share_weights(base.unionByName(pool.select(*base.columns)), "cls", SHARES)
+        aug = E.carry_weights(fused_scored(spark, sf, "robust"), both, "dataset").select(F.lit("aug").alias("view"), "y", F.col("p").alias("p_fake"), "weight")
+        s = both.select(F.lit("base").alias("view"), "y", "p_fake", "weight").unionByName(aug).withColumn("scenario", F.lit(f"inv-{share}"))
         out = s if out is None else out.unionByName(s)
     return K.recommend(K.operating_points(out), "inv-0.0").select(r6("t"), r6("p_min"), r6("p_max"), r6("min_gain"))
 
@@ -195,12 +196,41 @@ def _(spark, sf):
     return K.parity(s, recorded, ["part"], 0.05).select("part", r6("score"), r6("drift"), "failed")
 
 
-@query("platt_scores")
+def newton(source, by="", keep=""):
+    """Steps of Newton's method for (a, b) of a sigmoid over source(y, d); ``by`` is a grouping column."""
+    g = by + ", " if by else ""
+    return f"""(SELECT {g.replace(by, "it." + by) if by else ""}i+1 i, a+(h22*g1-h12*g2)/(h11*h22-h12*h12) a, b+(h11*g2-h12*g1)/(h11*h22-h12*h12) b FROM (SELECT {g}i, a, b, sum((y-p)*d) g1, sum(y-p) g2,
+  sum(p*(1-p)*d*d) h11, sum(p*(1-p)*d) h12, sum(p*(1-p)) h22 FROM (SELECT {("it." + by + ", ") if by else ""}it.i, it.a, it.b, x.y, x.d, 1/(1+exp(-(it.a*x.d+it.b))) p FROM it, {source} x WHERE it.i<25{keep}) GROUP BY {g}i, a, b) it)"""
+
+
+def r4(c):
+    return F.round(c, 4).alias(c)
+
+
+PLATT = f"""WITH RECURSIVE {fused()}, it AS (SELECT 0 i, CAST(0 AS DOUBLE) a, CAST(0 AS DOUBLE) b UNION ALL {newton("sc")}), ab AS (SELECT a, b FROM it ORDER BY i DESC LIMIT 1),
+ v AS (SELECT 'all' view, y, {sigmoid("a*d+b")} p FROM sc, ab), {BAL}"""
+
+
+@query("platt_scores", PLATT + f" SELECT n, round(tp+tn,4) accuracy, round({MCC},4) mcc, round(br,4) brier, round({quality(MCC, 'br')},4) score FROM b")
 def _(spark, sf):
     s = fused_scored(spark, sf)
     a, b = K.fit_platt(s)
     s = s.withColumn("p", S.sigmoid(F.lit(a) * F.col("margin") + F.lit(b)))
-    return E.balanced_scores(s, [], "y", "p").select("n", r6("accuracy"), r6("mcc"), r6("brier"), r6("score"))
+    return E.balanced_scores(s, [], "y", "p").select("n", r4("accuracy"), r4("mcc"), r4("brier"), r4("score"))
+
+
+XPLATT = f"""WITH RECURSIVE {fused()}, g AS (SELECT DISTINCT dataset, y FROM sc), fo AS (SELECT dataset, arg_min(f,y) fold FROM (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY dataset)-1)%2 f FROM g) GROUP BY 1),
+ sf AS (SELECT sc.*, fold FROM sc JOIN fo USING (dataset)),
+ it AS (SELECT fold, 0 i, CAST(0 AS DOUBLE) a, CAST(0 AS DOUBLE) b FROM (SELECT DISTINCT fold FROM fo) UNION ALL {newton("sf", "fold", " AND x.fold<>it.fold")}), ab AS (SELECT fold, a, b FROM it WHERE i=25),
+ v AS (SELECT 'all' view, y, {sigmoid("a*d+b")} p FROM sf JOIN ab USING (fold)), {BAL}"""
+
+
+@query("crossfit_platt_scores", XPLATT + f" SELECT n, round(tp+tn,4) accuracy, round({MCC},4) mcc, round(br,4) brier, round({quality(MCC, 'br')},4) score FROM b")
+def _(spark, sf):
+    s = fused_scored(spark, sf)
+    s = s.join(W.group_folds(s, "dataset", "y", 2), "dataset")
+    s = K.apply_platt(s, K.crossfit_platt(s, "fold", 2), "fold", out="p")
+    return E.balanced_scores(s, [], "y", "p").select("n", r4("accuracy"), r4("mcc"), r4("brier"), r4("score"))
 
 
 CKPT = f"""WITH {fused()}, ck AS (SELECT concat('step-',CAST(c AS VARCHAR)) checkpoint, CASE WHEN vec_id%3=0 THEN 'val_id' WHEN vec_id%3=1 THEN 'val_xgen' ELSE 'val_stress' END split, 'base' view, y, CASE WHEN vec_id%7<c THEN -d ELSE d END d FROM sc, (SELECT unnest(range(1,4)) c)),

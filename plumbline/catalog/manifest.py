@@ -314,12 +314,11 @@ def _(spark, sf):
     return B.table(spark, sf, "pages").select("page_id", S.normal_url(F.col("url")).alias("url"))
 
 
-@query("disjoint_origins", """SELECT source name, 'shared' status FROM (SELECT DISTINCT source FROM documents WHERE doc_id%3=0)
- SEMI JOIN (SELECT DISTINCT source FROM documents WHERE doc_id%3=1 AND CAST(substring(source,4) AS INT)%3=0) USING (source)""")
+@query("disjoint_origins", """SELECT source name, 'shared' status FROM (SELECT DISTINCT source FROM documents WHERE lang='es')
+ SEMI JOIN (SELECT DISTINCT source FROM documents WHERE lang<>'es') USING (source)""")
 def _(spark, sf):
-    d = B.table(spark, sf, "documents").select("doc_id", F.col("source").alias("name"))
-    probes = d.filter("doc_id % 3 = 0").select("name")
-    train = d.filter("doc_id % 3 = 1 and cast(substring(name, 4) as int) % 3 = 0").select("name")
+    d = B.table(spark, sf, "documents").select("lang", F.col("source").alias("name"))
+    probes, train = d.filter("lang = 'es'").select("name"), d.filter("lang <> 'es'").select("name")
     return I.isolation_violations(probes, train).withColumn("status", F.lit("shared"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -268,44 +269,61 @@ def array_stats(rows: DataFrame, key: str, column: str) -> DataFrame:
     r = rows.select(key, a.alias("_a"), n.alias("_n"), (total / n).alias("mean"))
     var = F.aggregate("_a", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))) / F.col("_n")
     steps = F.zip_with(F.slice("_a", F.lit(2), F.col("_n") - 1), F.slice("_a", F.lit(1), F.col("_n") - 1), lambda x, y: F.abs(x - y))
-    edge = F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / (F.col("_n") - 1)
+    edge = F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.col("_n") - 1, F.lit(1))
     return r.select(key, "mean", F.sqrt(var).alias("std"), F.array_min("_a").alias("low"), F.array_max("_a").alias("high"), edge.alias("edge"))
 
 
-GRID_STATS = ("band_0", "band_1", "band_2", "band_3", "hf_lf", "blockiness", "entropy")
+# Ends of the eight log-spaced bands of frequency, in cycles per step, and where low and high ones end and begin.
+BAND_ENDS = tuple(0.01 * 70.0 ** (k / 8) for k in range(9))
+LOW_TO, HIGH_FROM, LEVELS = 0.2, 0.35, 16
+GRID_STATS = (*(f"band_{k}" for k in range(8)), "hf_lf", "blockiness", "edge_density", "entropy")
+
+
+def frequencies(side: int) -> list[tuple[int, int, float]]:
+    """(row wave, column wave, cycles per step) of the real Fourier transform of a side x side grid."""
+    return [(u, v, math.hypot(min(u, side - u), v) / side) for u in range(side) for v in range(side // 2 + 1)]
 
 
 def grid_stats(rows: DataFrame, key: str, column: str, side: int = 8) -> DataFrame:
-    """Spectral bands, high/low ratio, blockiness at half-size tiles and entropy of a side x side grid.
-    NumPy on Arrow batches; each row stands alone."""
-    names = list(GRID_STATS)
-    schema = f"{key} {dict(rows.dtypes)[key]}, " + ", ".join(f"{n} double" for n in names)
-
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-        f = np.hypot(np.abs(np.fft.fftfreq(side))[:, None], np.fft.rfftfreq(side)[None, :])
-        cuts = np.linspace(1e-9, f.max() + 1e-9, 5)
-        edge = (np.arange(side - 1) + 1) % (side // 2) == 0
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf[column].to_numpy()).astype(float).reshape(-1, side, side)
-            power = np.abs(np.fft.rfft2(x)) ** 2
-            out = {key: pdf[key].to_numpy()}
-            for k in range(4):
-                m = (f >= cuts[k]) & (f < cuts[k + 1])
-                out[f"band_{k}"] = np.log1p(power[:, m].mean(axis=1))
-            out["hf_lf"] = np.log1p(power[:, f > 0.35].sum(axis=1) / np.maximum(power[:, (f > 0) & (f <= 0.2)].sum(axis=1), 1e-9))
-            step = np.abs(np.diff(x, axis=2)).mean(axis=1)
-            out["blockiness"] = step[:, edge].mean(axis=1) / np.maximum(step[:, ~edge].mean(axis=1), 1e-9)
-            lo, hi = x.min(axis=(1, 2), keepdims=True), x.max(axis=(1, 2), keepdims=True)
-            b = np.minimum(((x - lo) / np.maximum(hi - lo, 1e-12) * 16).astype(int), 15).reshape(len(x), -1)
-            p = np.stack([(b == i).mean(axis=1) for i in range(16)], axis=1)
-            out["entropy"] = -(p * np.log2(np.maximum(p, 1e-12))).sum(axis=1)
-            yield pd.DataFrame(out)
-
-    return rows.select(key, column).mapInPandas(run, schema)
+    """Spectral bands, high/low ratio, blockiness at half-size tiles, mean step and entropy of a side x side grid, in
+    built-in functions. A band without frequencies is 0."""
+    waves, half = frequencies(side), side // 2
+    cos, sin = (F.array(*[F.lit(f(2 * math.pi * k / side)) for k in range(side)]) for f in (math.cos, math.sin))
+    at = F.sequence(F.lit(0), F.lit(side * side - 1))
+    rows_, cols = (F.array(*[F.lit(w[i]) for w in waves]) for i in (0, 1))
+
+    def power(k: Column) -> Column:
+        turn = lambda i: ((F.get(rows_, k) * F.floor(i / side) + F.get(cols, k) * (i % side)) % side).cast("int")
+
+        def part(wave: Column) -> Column:
+            return F.aggregate(at, F.lit(0.0), lambda s, i: s + F.get("_a", i) * F.get(wave, turn(i)))
+        return part(cos) * part(cos) + part(sin) * part(sin)
+
+    def total(items: list[int], of: Column) -> Column:
+        return sum((F.get(of, F.lit(i)) for i in items), F.lit(0.0))
+
+    r = rows.select(key, F.transform(column, lambda x: x.cast("double")).alias("_a"))
+    r = r.withColumn("_p", F.transform(F.sequence(F.lit(0), F.lit(len(waves) - 1)), power))
+    bands = [[i for i, w in enumerate(waves) if lo <= w[2] < hi] for lo, hi in zip(BAND_ENDS, BAND_ENDS[1:], strict=False)]
+    high, low = [i for i, w in enumerate(waves) if w[2] > HIGH_FROM], [i for i, w in enumerate(waves) if 0 < w[2] <= LOW_TO]
+    a = lambda y, x: F.get("_a", F.lit(y * side + x))
+    across = {x: [F.abs(a(y, x + 1) - a(y, x)) for y in range(side)] for x in range(side - 1)}
+    down = {y: [F.abs(a(y + 1, x) - a(y, x)) for x in range(side)] for y in range(side - 1)}
+
+    def mean(steps: dict[int, list[Column]], keep) -> Column:
+        picked = [c for k, v in steps.items() if keep(k) for c in v]
+        return sum(picked, F.lit(0.0)) / len(picked)
+    edge = lambda k: (k + 1) % half == 0
+    block = [mean(s, edge) / F.greatest(mean(s, lambda k: not edge(k)), F.lit(1e-9)) for s in (across, down)]
+    lo, hi = F.array_min("_a"), F.array_max("_a")
+    r = r.withColumn("_low", lo).withColumn("_width", F.greatest(hi - lo, F.lit(1e-12)))
+    r = r.withColumn("_l", F.transform("_a", lambda x: F.least(F.floor((x - F.col("_low")) / F.col("_width") * LEVELS), F.lit(LEVELS - 1))))
+    share = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.size(F.filter("_l", lambda x: x == k)) / F.lit(float(side * side)))
+    entropy = F.aggregate(share, F.lit(0.0), lambda s, p: s - p * F.log2(F.greatest(p, F.lit(1e-12))))
+    return r.select(
+        key, *[F.log1p(total(b, F.col("_p")) / max(len(b), 1)).alias(f"band_{k}") for k, b in enumerate(bands)],
+        F.log1p(total(high, F.col("_p")) / F.greatest(total(low, F.col("_p")), F.lit(1e-9))).alias("hf_lf"), ((block[0] + block[1]) / 2).alias("blockiness"),
+        ((mean(across, lambda k: True) + mean(down, lambda k: True)) / 2).alias("edge_density"), entropy.alias("entropy"))
 
 
 def stat_aucs(stats: DataFrame, labels: DataFrame, key: str, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

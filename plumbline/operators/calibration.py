@@ -116,8 +116,11 @@ def fit_type_margin(rows: DataFrame, semi_prior: float, y3: str = "y3", d2: str
     sums = g.groupBy("i", "t", "j", "b", "s").agg(F.sum((p - F.col("s")) * (p - F.col("s"))).alias("se"), F.count(F.lit(1)).alias("n"))
     b = class_weighted(sums, ["i", "t", "j", "b"], "s", {1.0: semi_prior, 0.0: 1.0 - semi_prior})
     before = semi_prior * (1.0 - q_min) ** 2 + (1.0 - semi_prior) * q_min ** 2
-    return b.agg(F.min(F.struct("brier", "i", "j", "t", "b")).alias("m")).select(
-        F.col("m.t").alias("type_temperature"), F.col("m.b").alias("type_bias"), F.lit(before).alias("brier_before"), F.col("m.brier").alias("brier_after"))
+    both = f.agg(F.count_distinct("s")).scalar() > 1
+    m = b.agg(F.min(F.struct("brier", "i", "j", "t", "b")).alias("m"))
+    # With one of the two classes missing there is nothing to fit: the posterior stays pinned.
+    return m.select(F.when(both, F.col("m.t")).otherwise(1.0).alias("type_temperature"), F.when(both, F.col("m.b")).otherwise(0.0).alias("type_bias"),
+                    F.lit(before).alias("brier_before"), F.when(both, F.col("m.brier")).otherwise(before).alias("brier_after"), (~both).alias("pinned"))
 
 
 def type_cap_scores(rows: DataFrame, semi_prior: float, temperature: float, bias: float, p_fake: str, y3: str = "y3", d2: str = "d2",
@@ -290,9 +293,31 @@ def recommend(points: DataFrame, clean: str, scenario: str = "scenario", max_cos
     return ok.orderBy(F.desc("min_gain"), "t", "p_min", F.desc("p_max")).limit(1)
 
 
+def _beta_quantiles(a: float, b: float, low: float, high: float, n: int = 200) -> list[float]:
+    """Quantiles of a Beta distribution at n + 1 even steps, by summing its density."""
+    steps = 20_000
+    mass, total = [], 0.0
+    for i in range(steps):
+        x = (i + 0.5) / steps
+        total += x ** (a - 1) * (1 - x) ** (b - 1)
+        mass.append(total)
+    out, i = [], 0
+    for k in range(n + 1):
+        while i < steps - 1 and mass[i] < total * k / n:
+            i += 1
+        out.append(min(max((i + 0.5) / steps, low), high))
+    return out
+
+
+# Shape of the scores of confidently wrong fakes; names of simulated held-out rows, real and fake.
+INVERTED_SHAPE = _beta_quantiles(1.2, 20.0, 1e-4, 0.499)
+HELD_OUT = ("real-image-holdout-simr", "synthetic-image-holdout-simf")
+
+
 def scenario_pool(base: DataFrame, inverted_share: float, seed: int, n_fake: int, n_real: int, inverted: DataFrame) -> DataFrame:
     """A simulated hidden class: most draws repeat the model's own scores of the label, a share comes
-    from ``inverted(p_fake)``, scores of confidently wrong fakes. All draws are equality joins on a
+    from ``inverted(p_fake)``, scores of confidently wrong fakes, or without any from the shape of such scores,
+    Beta(1.2, 20) within [1e-4, 0.499]. The rows' names mark them as held out. All draws are equality joins on a
     row number, so any row may be drawn any number of times without a collected pool."""
     from plumbline.functions import ranking as R
     spark = base.sparkSession
@@ -309,13 +334,22 @@ def scenario_pool(base: DataFrame, inverted_share: float, seed: int, n_fake: int
             if hi <= lo:
                 continue
             slot = spark.range(lo, hi).withColumnRenamed("id", "slot")
+            if pool is inverted and pool.isEmpty():
+                u = S.stable_fraction(F.col("slot"), f"{seed}|{y}|shape") * (len(INVERTED_SHAPE) - 1)
+                at = F.floor(u).cast("int")
+                shape = F.array(*[F.lit(x) for x in INVERTED_SHAPE])
+                low, high = F.get(shape, at), F.coalesce(F.get(shape, at + 1), F.get(shape, at))
+                p = low + (high - low) * (u - at)
+                d = slot.select("slot", ((F.lit(1.0) - p) if flip else p).alias("p_fake"), F.lit(y).alias("y"))
+                out = d if out is None else out.unionByName(d)
+                continue
             total = pool.agg(F.count(F.lit(1))).scalar()
             slot = slot.withColumn("at", S.stable_choice(F.col("slot"), f"{seed}|{y}|{lo}", total))
             d = slot.join(numbered(pool, "vec_id", f"{y}|{lo}"), "at")
             p = (F.lit(1.0) - F.col("p_fake")) if flip else F.col("p_fake")
             d = d.select("slot", p.alias("p_fake"), F.lit(y).alias("y"))
             out = d if out is None else out.unionByName(d)
-    return out
+    return out.withColumn("dataset", F.when(F.col("y") == 1, HELD_OUT[1]).otherwise(HELD_OUT[0]))
 
 
 def parity(scores: DataFrame, recorded: DataFrame, keys: Sequence[str], tolerance: float = 0.005) -> DataFrame:
