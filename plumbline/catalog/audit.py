@@ -10,11 +10,13 @@ from plumbline.functions import scalar as S
 from plumbline.operators import audit as A
 from plumbline.operators import ingest as I
 from plumbline.operators import ledger as L
+from plumbline.operators import modes as MO
 from plumbline.operators import sampling as W
 from plumbline.sources import metadata as MD
 from plumbline.catalog.base import r6, registrar
+from plumbline.catalog import evaluation as EV
 from plumbline.catalog.evaluation import auc_sql, fused_manifest, fused_scored, rho_sql
-from plumbline.catalog.sqltext import MANIFEST, SCORED_MANIFEST, fused, sigmoid
+from plumbline.catalog.sqltext import MANIFEST, SCORED_MANIFEST, SPLIT, frac, fused, sigmoid
 
 Q, SQL, query = registrar()
 
@@ -139,7 +141,8 @@ def _(spark, sf):
 
 # ---- pairs --------------------------------------------------------------------------------------
 
-PAIRS = "WITH " + SCORED_MANIFEST + """, pr AS (SELECT sf.*, split IN ('val_id','train') in_pair FROM sf),
+PAIRS = "WITH " + SCORED_MANIFEST + """, mx AS (SELECT split_unit FROM sf GROUP BY 1 HAVING count(DISTINCT label)=2 AND count(*) FILTER (WHERE label=0)>=30),
+ pk_ AS (SELECT sf.*, sf.split_unit IN (SELECT split_unit FROM mx) in_pair, row_number() OVER (PARTITION BY split_unit, label ORDER BY """ + frac("image_id") + """, image_id) rk FROM sf), pr AS (SELECT * FROM pk_ WHERE NOT in_pair OR rk<=16),
  un AS (SELECT split_unit, count(*) n, count(*) FILTER (WHERE label=0) nr, count(*) FILTER (WHERE label=1) nf, avg(d) FILTER (WHERE label=1)-avg(d) FILTER (WHERE label=0) gap,
   avg((d<=0)::INT) FILTER (WHERE label=0) ar, avg((d>0)::INT) FILTER (WHERE label=1) af, avg((d>0)::INT) FILTER (WHERE label=0) fpr,
   avg((file_format='PNG')::INT) FILTER (WHERE label=1)-avg((file_format='PNG')::INT) FILTER (WHERE label=0) pd,
@@ -148,7 +151,7 @@ PAIRS = "WITH " + SCORED_MANIFEST + """, pr AS (SELECT sf.*, split IN ('val_id',
 
 
 def paired(spark, sf):
-    return fused_manifest(spark, sf).withColumn("in_pair", F.col("split").isin("val_id", "train"))
+    return MO.pair_sides(fused_manifest(spark, sf), 16, B.SEED, least_real=30)
 
 
 @query("pair_units", PAIRS + " SELECT split_unit, n, nr n_real, nf n_fake, round(gap,6) margin_gap, round(ar,6) acc_real, round(af,6) acc_fake, round(fpr,6) real_fpr, round(pd,6) png_delta, round(lr,6) log_res_ratio FROM uu")
@@ -409,3 +412,63 @@ def _(spark, sf):
     flags = {"is_png": F.col("file_format") == "PNG", "non_rgb": F.col("pil_mode") != "RGB", "upsampled": F.col("m_eval") > 1}
     s = A.survival(stats, rows, flags, ["mean", "std", "low", "high", "edge"])
     return s.select("nuisance", r6("survival_auc"), r6("label_auc"), "unmeasurable", "live", "verdict")
+
+
+# ---- modes: ledger rows -------------------------------------------------------------------------
+
+MODE = ("key_str", "n", "headline", "value", "verdict")
+
+
+def mode_rows(r):
+    return r.select("key_str", "n", "headline", r6("value"), "verdict")
+
+
+_S = {**SQL, **EV.SQL}
+_row = lambda mode, test, split, key, headline, value, verdict, src, n="n": (
+    f"SELECT concat('{mode}|{test}|',{split},'|',{key}) key_str, CAST({n} AS BIGINT) n, '{headline}' headline, CAST({value} AS DOUBLE) AS value, {verdict} verdict FROM ({src})")
+_over = lambda v, name: X_VERDICT.format(v=v, w=L.limits(name)[0], h="NULL" if L.limits(name)[1] is None else L.limits(name)[1])
+X_VERDICT = "CASE WHEN {v}>CAST({h} AS DOUBLE) THEN 'hard' WHEN {v}>{w} THEN 'warn' ELSE 'ok' END"
+
+
+@query("audit_metadata_rows", " UNION ALL ".join([
+    _row("metadata", "M2_feature_auc", "'all'", "concat('feature=',feature)", "auc", "auc", "verdict", _S["feature_aucs"]),
+    _row("metadata", "M5_category_prior", "split", "''", "worst_prior", "worst_prior", _over("worst_prior", "category_prior"), _S["mutual_information"])]))
+def _(spark, sf):
+    return mode_rows(MO.metadata_rows(B.split_manifest(spark, sf), NUM, ("ext", "file_format", "pil_mode")))
+
+
+_GAP = "WITH " + SCORED_MANIFEST + """, c AS (SELECT split, category, count(*) n, avg(((d>0)=(label=1))::INT) FILTER (WHERE label=0) r, avg(((d>0)=(label=1))::INT) FILTER (WHERE label=1) f FROM sf GROUP BY ALL)
+ SELECT split, sum(n) n, round(coalesce(max(abs(r-f)),0),6) gap FROM c GROUP BY 1"""
+_DS = "WITH " + SCORED_MANIFEST + " SELECT split, dataset, count(*) n, round(avg(((d>0)=(label=1))::INT),6) acc FROM sf GROUP BY ALL"
+_KN = "WITH " + SPLIT + " SELECT split, count(*) n FROM s GROUP BY 1"
+
+
+@query("audit_slice_rows", " UNION ALL ".join([
+    _row("slices", "', CASE flag WHEN 'is_png' THEN 'S1_codec_nuisance' ELSE 'S6_pilmode_nuisance' END, '", "split", "''", "auc", "auc", "verdict",
+         f"SELECT * FROM ({_S['nuisance_aucs']}) WHERE branch='fused' AND flag<>'upsampled'"),
+    _row("slices", "S2_resolution_rho", "split", "CASE label WHEN 0 THEN 'class=real' ELSE 'class=fake' END", "abs_rho", "abs(rho)",
+         f"CASE WHEN label=0 THEN {_over('abs(rho)', 'margin_rho')} ELSE 'ok' END", f"SELECT * FROM ({_S['margin_resolution_rho']}) WHERE n>=30"),
+    _row("slices", "S3_category_gap", "split", "''", "worst_gap", "gap", _over("gap", "slice_gap"), _GAP),
+    _row("slices", "S4_dataset_acc", "split", "concat('dataset=',dataset)", "acc", "acc", "'ok'", _DS),
+    _row("slices", "S5_kind", "split", "''", "deficit", "deficit", "verdict", f"SELECT * FROM ({_S['kind_deficit']}) JOIN ({_KN}) USING (split)")]))
+def _(spark, sf):
+    return mode_rows(MO.slice_rows(fused_manifest(spark, sf), floor=30))
+
+
+@query("audit_pair_rows", " UNION ALL ".join([
+    _row("pairs", "P1_fake_drop", "'all'", "''", "drop", '"drop"', "verdict", f"SELECT * FROM ({_S['pair_drop']}), ({PAIRS} SELECT count(*) n FROM pr WHERE in_pair)"),
+    _row("pairs", "P2_confound", "'all'", "concat('against=',against)", "rho", "rho", "verdict", f"SELECT * FROM ({_S['pair_confounds']}) WHERE n>=4"),
+    _row("pairs", "P3_unit_fpr", "'all'", "concat('unit=',split_unit)", "real_fpr", "real_fpr", "'warn'", _S["pair_fpr_flags"], "n_real")]))
+def _(spark, sf):
+    return mode_rows(MO.pair_rows(paired(spark, sf), floor=5))
+
+
+@query("audit_intervention_rows", _row("interventions", "I1_flips", "'all'", "concat('intervention=',intervention,',setting=',setting)", "flip_real", "flip_real", "verdict", _S["flip_report"]))
+def _(spark, sf):
+    b, a = interventions(spark, sf)
+    return mode_rows(MO.intervention_rows(b, a, "vec_id", ["shift"]))
+
+
+@query("probe_rows", _row("probes", "B1_probe_acc", "mode", "concat('dataset=',dataset,',type=',type)", "acc", "acc", "'ok'", _S["probe_coverage"]))
+def _(spark, sf):
+    return mode_rows(MO.probe_rows(coverage(spark, sf)))

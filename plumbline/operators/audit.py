@@ -112,8 +112,9 @@ def nuisance_aucs(rows: DataFrame, flags: Mapping[str, Column], by: str = "split
     at once: (by, flag, branch) -> folded AUC. Groups of ``floor`` rows or fewer are left out."""
     reals = rows.filter("label = 0")
     flag = F.explode(F.array(*[F.struct(F.lit(n).alias("flag"), c.cast("int").alias("on")) for n, c in flags.items()])).alias("f")
-    branches = F.transform("d", lambda x, i: F.struct(F.concat(F.lit("branch_"), i.cast("string")).alias("branch"), x.alias("m")))
-    allm = F.concat(F.array(F.struct(F.lit("fused").alias("branch"), F.col("margin").alias("m"))), branches)
+    kind = "array<struct<branch:string,m:double>>"  # names given inside a lambda are not always kept
+    branches = F.transform("d", lambda x, i: F.struct(F.concat(F.lit("branch_"), i.cast("string")), x)).cast(kind)
+    allm = F.concat(F.array(F.struct(F.lit("fused"), F.col("margin"))).cast(kind), branches)
     r = reals.select(by, flag, F.explode(allm).alias("b")).select(by, "f.flag", "f.on", "b.branch", "b.m")
     a = R.rank_auc(r, [by, "flag", "branch"], "m", "on")
     a = a.filter((F.col("n") > floor) & F.col("auc").isNotNull()).withColumn("auc", R.folded(F.col("auc")))
