@@ -56,6 +56,10 @@ def probe_frame(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[s
     return rows.withColumn("features", array_to_vector(F.array(*nums, *hots)))
 
 
+#: Trees of a boosted probe.
+PROBE_ROUNDS = 200
+
+
 def _numeric_frame(rows: DataFrame, numeric: Sequence[str]) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
     return rows.withColumn("features", array_to_vector(F.array(*[F.col(c).cast("double") for c in numeric])))
@@ -64,7 +68,9 @@ def _numeric_frame(rows: DataFrame, numeric: Sequence[str]) -> DataFrame:
 def _probe(kind: str, target: str):
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     if kind == "gbt":
-        return GBTClassifier(featuresCol="features", labelCol=target, maxIter=200, seed=34)
+        return GBTClassifier(featuresCol="features", labelCol=target, maxIter=PROBE_ROUNDS, seed=34)
+    if kind != "logistic":
+        raise ValueError(f"unknown probe {kind!r}; have logistic and gbt")
     return LogisticRegression(featuresCol="features", labelCol=target, maxIter=20, tol=1e-4, regParam=1e-4)
 
 
