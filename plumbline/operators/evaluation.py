@@ -189,11 +189,16 @@ def margin_report(rows: DataFrame) -> DataFrame:
     r = r.withColumn("bad", 1 - F.col("ok"))
     acc = r.agg(F.count(F.lit(1)).alias("n"), F.avg("ok").alias("accuracy"), F.avg(F.when(F.col("y") == 0, F.col("ok"))).alias("acc_real"),
                 F.avg(F.when(F.col("y") == 1, F.col("ok"))).alias("acc_fake"))
-    med = R.exact_quantiles(r, ["ok"], "size", {"m": .5})
-    return (acc.withColumn("auc_margin_correct", R.rank_auc(r, [], "size", "ok").select("auc").scalar())
-            .withColumn("auc_spread_error", R.rank_auc(r, [], "spread", "bad").select("auc").scalar())
-            .withColumn("median_correct", med.filter("ok = 1").select("m").scalar())
-            .withColumn("median_error", med.filter("ok = 0").select("m").scalar()))
+    two = F.explode(F.array(F.struct(F.lit("size").alias("metric"), F.col("size").alias("v"), F.col("ok").alias("flag")),
+                            F.struct(F.lit("spread").alias("metric"), F.col("spread").alias("v"), F.col("bad").alias("flag")))).alias("s")
+    auc = R.rank_auc(r.select(two).select("s.*"), ["metric"], "v", "flag").groupBy().agg(
+        F.max(F.when(F.col("metric") == "size", F.col("auc"))).alias("auc_margin_correct"), F.max(F.when(F.col("metric") == "spread", F.col("auc"))).alias("auc_spread_error"))
+    med = R.exact_quantiles(r, ["ok"], "size", {"m": .5}).groupBy().agg(
+        F.max(F.when(F.col("ok") == 1, F.col("m"))).alias("median_correct"), F.max(F.when(F.col("ok") == 0, F.col("m"))).alias("median_error"))
+    one = acc.withColumn("_one", F.lit(1))
+    for part in (auc, med):  # each side is a single row
+        one = one.join(part.withColumn("_one", F.lit(1)), "_one")
+    return one.drop("_one")
 
 
 def spread_pivot(views: DataFrame) -> DataFrame:

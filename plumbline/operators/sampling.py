@@ -59,12 +59,13 @@ def cap_sides(rows: DataFrame, mixed: DataFrame, cap: int, seed: int) -> DataFra
 def blocked_folds(rows: DataFrame, folds: int, block: str = "split_unit") -> DataFrame:
     """block -> fold: largest first within the dominant label, the two labels starting half a turn apart.
 
-    The window runs over one row per block.
+    Places come from running counts, so that no task holds all blocks.
     """
     b = rows.groupBy(F.col(block).alias("block")).agg(F.count(F.lit(1)).alias("n"), (F.avg("label") >= 0.5).alias("mostly_fake"))
-    turn = F.row_number().over(Window.partitionBy("mostly_fake").orderBy(F.desc("n"), "block")) - 1
+    b = b.withColumn("_size", -F.col("n")).withColumn("_one", F.lit(1).cast("bigint"))
+    b = R.running_total(b, ["mostly_fake"], "_size", ["_one"], tie="block")
     start = F.when(F.col("mostly_fake"), folds // 2).otherwise(0)
-    return b.withColumn("fold", ((start + turn) % folds).cast("int"))
+    return b.withColumn("fold", ((start + F.col("_one_before")) % folds).cast("int")).drop("_size", "_one", "_one_before", "_one_all")
 
 
 def block_column(columns) -> str:
@@ -81,8 +82,7 @@ def naive_folds(rows: DataFrame, folds: int, seed: int, key: str = "image_id") -
 def group_folds(rows: DataFrame, group: str, label: str, folds: int) -> DataFrame:
     """group -> fold by name order inside each label; a group in both labels keeps its real-side fold."""
     g = rows.select(group, label).distinct()
-    turn = F.row_number().over(Window.partitionBy(label).orderBy(group)) - 1
-    numbered = g.withColumn("_f", (turn % folds).cast("int"))
+    numbered = R.ordered_position(g, [label], group, "_at").withColumn("_f", (F.col("_at") % folds).cast("int"))
     return numbered.groupBy(group).agg(F.min_by("_f", label).alias("fold"))
 
 

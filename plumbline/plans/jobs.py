@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import ranking as R
 from plumbline.functions import scalar as S
 from plumbline.operators.ingest import pseudo_shard
 from plumbline.operators.sampling import numbered_rows
@@ -75,10 +76,12 @@ def prompt_plan(subjects: DataFrame, adjectives: Sequence[str], styles: Sequence
     at = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("category")) - 1
     cats = cats.withColumn("at", at.cast("bigint"))
     total = cats.agg(F.count(F.lit(1))).scalar()
-    numbered = subjects.withColumn("template_no", F.row_number().over(Window.partitionBy("category").orderBy("template")) - 1)
+    copies = subjects.groupBy("category", "template").agg(F.count(F.lit(1)).alias("n"))
+    placed = R.running_total(copies, ["category"], "template", ["n"])
+    numbered = placed.select("category", "template", F.explode(F.sequence(F.col("n_before"), F.col("n_before") + F.col("n") - 1)).alias("template_no"))
     j = subjects.sparkSession.range(prompts).withColumnRenamed("id", "job").withColumn("at", F.col("job") % total)
     k = F.col("job").cast("string")
-    j = j.join(cats, "at").withColumn("template_no", S.stable_choice(k, f"{seed}|template", F.col("n")).cast("int"))
+    j = j.join(cats, "at").withColumn("template_no", S.stable_choice(k, f"{seed}|template", F.col("n")))
     j = j.join(numbered, ["category", "template_no"])
 
     def one(values: Sequence[str], tag: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +33,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if named:
         sc.setCheckpointDir(named)
     elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-ckpt-"))
+        top = tempfile.mkdtemp(prefix="plumbline-checkpoints-")
+        sc.setCheckpointDir(top)
+        atexit.register(shutil.rmtree, top, ignore_errors=True)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
 
