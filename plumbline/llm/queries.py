@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from plumbline.catalog.base import registrar
-from plumbline.llm import decontaminate, exact_dedup, mixing, near_dedup, pii, quality, secret_scan, toxicity, url_filter
+from plumbline.llm import decontaminate, exact_dedup, mixing, near_dedup, pii, quality, secret_scan, substring_dedup, toxicity, url_filter
 
 Q, SQL, query = registrar()
 
@@ -118,3 +118,8 @@ def op8(spark, sf):
 def op4(spark, sf):
     docs = table(spark, sf, "documents")
     return pii.counted(pii.scan(docs, pii.fit(docs)))
+
+
+@query("op2_substring_dedup")
+def op2(spark, sf):
+    return substring_dedup.repeats(table(spark, sf, "documents"))
