@@ -1,6 +1,6 @@
 """Toxicity score: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-An n-gram is a run of 3 to 7 bytes of the lower-cased text inside one word and the blanks around it, hashed into
+An n-gram is a run of 4 to 8 bytes of the lower-cased text inside one word and the blanks around it, hashed into
 2**18 buckets and noted as present or absent. A bucket's feature is its log-count ratio between toxic and other
 training texts; logistic regression over the buckets that tell the classes apart gives their weights.
 
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import sliced
 from plumbline.session import cut_lineage
 
-LENGTHS, BITS = (3, 7), 18
-SAMPLE, FEATURES, RIDGE, STEPS = 20_000, 8_192, 1.0, 150
+LENGTHS, BITS = (4, 8), 18
+SAMPLE, FEATURES, RIDGE, STEPS = 20_000, 4_096, 1.0, 150
 THRESHOLD = 0.3
 
 
@@ -93,10 +93,11 @@ def _chosen(lengths: tuple[int, int], bits: int, order: np.ndarray):
     return features
 
 
-def _logistic(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, ridge: float, steps: int) -> tuple[np.ndarray, float]:
-    """Weights on the scaled features and intercept: accelerated gradient descent with a step from the largest curvature."""
-    counts = np.array([len(x) for x in rows])
-    row, col = np.repeat(np.arange(len(rows)), counts), np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64)
+def _logistic(counts: np.ndarray, col: np.ndarray, y: np.ndarray, r: np.ndarray, ridge: float, steps: int) -> tuple[np.ndarray, float]:
+    """Weights on the scaled features and intercept: accelerated gradient descent with a step from the largest curvature.
+    ``counts`` features a row, ``col`` their numbers, row after row."""
+    rows = y
+    row = np.repeat(np.arange(len(rows)), counts)
     x = r[col]
     v = np.ones(len(r))
     for _ in range(20):  # power iteration for the largest curvature
@@ -138,9 +139,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     order = np.full(2**bits, -1, np.int32)
     order[[row["bucket"] for row in best]] = np.arange(len(best))
     got = texts.mapInArrow(_chosen(lengths, bits, order), "y double, at array<int>").toArrow()
-    rows = [np.asarray(x, np.int32) for x in got["at"].to_pylist()]
+    at, y = got["at"].combine_chunks(), np.asarray(got["y"]) > 0
     r = np.array([row["r"] for row in best])
-    w, b = _logistic(rows, np.asarray(got["y"].to_pylist()) > 0, r, ridge, steps)
+    w, b = _logistic(np.diff(np.asarray(at.offsets)), np.asarray(at.flatten()), y, r, ridge, steps)
     none.weights[[row["bucket"] for row in best]] = w * r
     return Model(none.weights, b, lengths, bits)
 
