@@ -159,6 +159,13 @@ def up_to_cut(df: DataFrame, cuts: DataFrame, groups: Sequence[str], fraction: s
     return small_join(df, cuts, groups).withColumn(name, inside).drop("cut_u", "cut_tie")
 
 
+def keep_quota(df: DataFrame, groups: Sequence[str], fraction: str, tie: str, quota: str) -> DataFrame:
+    """Mark the first rows of each group as ``kept``, as many as its column ``quota`` says."""
+    table = df.groupBy(*groups).agg(F.max(quota).alias("_q"))
+    out = up_to_cut(df, quota_cuts(df, groups, fraction, tie, table), groups, fraction, tie)
+    return out.withColumn("kept", F.col("kept") & (F.col(quota) > 0))
+
+
 def ordered_position(df: DataFrame, groups: Sequence[str], order: str, name: str = "position") -> DataFrame:
     """0-based position by a unique ``order`` in each group."""
     one = df.withColumn("_one", F.lit(1).cast("bigint"))

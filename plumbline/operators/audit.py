@@ -303,13 +303,16 @@ def grid_stats(rows: DataFrame, key: str, column: str, side: int = 8) -> DataFra
         turn = lambda i: ((F.get(rows_, k) * F.floor(i / side) + F.get(cols, k) * (i % side)) % side).cast("int")
 
         def part(wave: Column) -> Column:
-            return F.aggregate(at, F.lit(0.0), lambda s, i: s + F.get("_a", i) * F.get(wave, turn(i)))
+            return F.aggregate(at, F.lit(0.0), lambda s, i: s + F.get("_c", i) * F.get(wave, turn(i)))
         return part(cos) * part(cos) + part(sin) * part(sin)
 
     def total(items: list[int], of: Column) -> Column:
         return sum((F.get(of, F.lit(i)) for i in items), F.lit(0.0))
 
     r = rows.select(key, F.transform(column, lambda x: x.cast("double")).alias("_a"))
+    # The mean belongs to no band; without it a constant grid has no power at all.
+    r = r.withColumn("_mean", F.aggregate("_a", F.lit(0.0), lambda s, x: s + x) / F.size("_a"))
+    r = r.withColumn("_c", F.transform("_a", lambda x: x - F.col("_mean")))
     r = r.withColumn("_p", F.transform(F.sequence(F.lit(0), F.lit(len(waves) - 1)), power))
     bands = [[i for i, w in enumerate(waves) if lo <= w[2] < hi] for lo, hi in zip(BAND_ENDS, BAND_ENDS[1:], strict=False)]
     high, low = [i for i, w in enumerate(waves) if w[2] > HIGH_FROM], [i for i, w in enumerate(waves) if 0 < w[2] <= LOW_TO]
