@@ -46,7 +46,7 @@ STAGES = [("quality", good_quality), ("exact_dedup", without_copies), ("near_ded
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``. Each result is written to the shared checkpoint folder and read again, so that a
-    lost executor costs a part of one stage."""
+    lost executor costs a part of one stage; the folder, pipeline-<id>, is the caller's to remove."""
     ensure_checkpoint_dir(spark)
     top = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
