@@ -11,7 +11,6 @@ from plumbline.functions import ranking as R
 from plumbline.functions import scalar as S
 from plumbline.functions.lookup import small_join
 from plumbline.operators import units as U
-from plumbline.session import cut_lineage
 
 # Splits that may share sources form one family.
 FAMILY = {"train": "train", "val_id": "train", "val_cal": "train", "unused": "train",
@@ -123,7 +122,7 @@ def assign(rows: DataFrame, cliques: DataFrame, holdouts: DataFrame, *, seed: in
         F.lit("split unit named for two splits: "), F.col("split_unit"))).cast("string")).otherwise(F.col("split"))
     dims = units.join(chosen, "split_unit", "left").select(
         "dataset", "split_unit", F.coalesce(F.when(F.col("n_splits").isNotNull(), split), F.lit("train")).alias("split"))
-    r = rows.drop("split", "split_unit").join(cut_lineage(dims), "dataset")
+    r = small_join(rows.drop("split", "split_unit"), dims, ["dataset"], "inner")
     out = _carve_train(r, val_id_frac, val_cal_frac, seed)
     return cap_train(out, per_dataset_cap, seed, cap_exempt) if per_dataset_cap else out
 
@@ -132,8 +131,8 @@ def _carve_train(r: DataFrame, val_id_frac: float, val_cal_frac: float, seed: in
     """Carve only rows whose split is train; the choice per key is cut from its lineage, being small."""
     keyed = carve_keys(r)
     train = keyed.filter("split = 'train'")
-    sides = cut_lineage(carve_sides(train, val_id_frac, val_cal_frac, seed))
-    return (keyed.join(sides, ["split_unit", "carve_key"], "left")
+    sides = carve_sides(train, val_id_frac, val_cal_frac, seed)
+    return (small_join(keyed, sides, ["split_unit", "carve_key"])
             .withColumn("split", F.coalesce("_side", "split")).drop("_side", "carve_key"))
 
 

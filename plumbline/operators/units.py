@@ -14,8 +14,9 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v", max_round
 
     Each round is checkpointed to the shared folder, so a lost executor costs one round at most.
     """
-    e = cut_lineage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct())
-    nodes = edges.select(F.explode(F.array(F.col(a), F.col(b))).alias("node")).distinct()
+    e = cut_lineage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).distinct())
+    nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    e = e.filter("u <> v")
     for _ in range(max_rounds):
         e = cut_lineage(_small_star(_large_star(e)))
         if _settled(e):
@@ -57,7 +58,7 @@ def split_units(rows: DataFrame, cliques: DataFrame, key: str = "dataset", path:
     A path or clique is a node of its own, so a group of any size costs one edge per member.
     ``cliques(clique_id, name)``; names that do not occur are ignored.
     """
-    ds = rows.select(key, path).distinct()
+    ds = cut_lineage(rows.select(key, path).distinct())
     node = F.concat(F.lit("d:"), F.col(key))
     by_path = ds.select(F.concat(F.lit("p:"), F.col(path)).alias("u"), node.alias("v"))
     there = ds.select(F.col(key).alias("name")).distinct()
