@@ -104,12 +104,41 @@ def op10(spark, sf):
     return quality.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
-@query("op1_near_dedup")
+@query("op1_near_dedup", rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) > 2 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+c AS (SELECT doc_id, doc_id AS m FROM s UNION SELECT e.b, c.m FROM c JOIN e ON c.doc_id = e.a),
+k AS (SELECT doc_id, min(m) AS m FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, m AS component_id, doc_id = m AS kept FROM s JOIN k USING (doc_id)""")
 def op1(spark, sf):
     return near_dedup.near_groups(table(spark, sf, "documents"))
 
 
-@query("op8_secret_scan")
+def _found(k, rule):
+    """Spans of one rule: running sums of the lengths of matches and of the pieces between them."""
+    p = rule.pattern.replace("'", "''")
+    long = f"length(regexp_extract(v, '{p}', {rule.group})) >= {rule.least}"
+    return f"""SELECT r, {k} AS k, a, a + length(v) AS z FROM (SELECT r, ms[i] AS v, list_sum(list_transform(ps[1:i], lambda x: length(x)))
+  + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS a FROM (SELECT r, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM
+  (SELECT r, regexp_extract_all(t, '{p}') AS ms, regexp_split_to_array(t, '{p}') AS ps FROM d WHERE regexp_matches(t, '{p}')))) WHERE {long}"""
+
+
+_NAMES = "[" + ", ".join(f"'{r.name}'" for r in secret_scan.RULES) + "]"
+_JOINED = f"string_agg({_NAMES}[k + 1] || ':' || CAST(a AS BIGINT) || ':' || CAST(z AS BIGINT), ',' ORDER BY a, k)"
+
+
+@query("op8_secret_scan", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(_found(k, r) for k, r in enumerate(secret_scan.RULES))}),
+g AS (SELECT r, {", ".join(f"count(*) FILTER (WHERE k = {k}) AS n_{r.name}" for k, r in enumerate(secret_scan.BASE))},
+  {_JOINED} FILTER (WHERE k < {len(secret_scan.BASE)}) AS b, {_JOINED} AS spans FROM s GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.name}, 0) AS n_{r.name}" for r in secret_scan.BASE)}, sha256(coalesce(b, '')) AS base_sha256,
+ coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)""")
 def op8(spark, sf):
     return secret_scan.counted(secret_scan.scan(table(spark, sf, "documents")))
 
