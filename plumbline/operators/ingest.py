@@ -24,10 +24,11 @@ def first_copies(items: DataFrame, content: str, order: str, by: Sequence[str] =
 
 
 def ingest(items: DataFrame, *, content: str, size: str, order: str, min_side: int,
-           by: Sequence[str] = (), max_n: int | None = None, stem: str = "img_", digits: int = 6) -> DataFrame:
+           by: Sequence[str] = (), max_n: int | None = None, stem: str = "img_", digits: int = 6, keep_content: bool = False) -> DataFrame:
     """Size filter, first copy of each content, contiguous names, optional cap per ``by``.
 
-    ``order`` must be unique; it decides which copy stays and the numbering.
+    ``order`` must be unique; it decides which copy stays and the numbering. The content itself stays behind unless
+    ``keep_content`` asks for it, to be written as it came.
     """
     big = items.filter(F.col(size) >= min_side)
     numbered = R.ordered_position(first_copies(big, content, order, by), by, order)
@@ -35,7 +36,7 @@ def ingest(items: DataFrame, *, content: str, size: str, order: str, min_side: i
         numbered = numbered.filter(F.col("position") < max_n)
     name = F.concat(F.lit(stem), S.padded(F.col("position"), digits))
     keep = numbered.select(order, "content_hash", name.alias("fname"))
-    return items.drop(content).join(keep, order)
+    return (items if keep_content else items.drop(content)).join(keep, order)
 
 
 def ingest_counts(items: DataFrame, *, content: str, size: str, order: str, min_side: int, by: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import schemas
+from plumbline.session import cut_lineage
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -14,17 +15,26 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifest(rows: DataFrame, path: str, rules: DataFrame | None = None, write: bool = True) -> DataFrame | None:
-    """Write one folder per split unless a rule of severity error is broken. ``write=False`` only checks."""
+    """Write one folder per split unless a rule of severity error is broken. ``write=False`` only checks.
+
+    Rows are taken from their source before anything is overwritten, so that ``path`` may be the table they were read
+    from; a split is written in files of the session's advisory size, large splits in several.
+    """
     if rules is not None:
         errors = rules.filter("severity = 'error'")
         first = errors.orderBy("code", "subject").limit(5).collect()
         if first:
             raise ValueError("not written: " + "; ".join(f"{r['code']} {r['subject']}" for r in first))
     if write:
-        rows.write.mode("overwrite").partitionBy("split").parquet(path)
+        cut_lineage(rows).hint("rebalance", "split").write.mode("overwrite").partitionBy("split").parquet(path)
     return rules
 
 
+def write_contents(ingested: DataFrame, content: str, path: str) -> None:
+    """The kept items' names and bytes as they came, one row each; ``ingested`` from ``ingest(..., keep_content=True)``."""
+    ingested.select("fname", "content_hash", F.col(content).alias("content")).write.mode("overwrite").parquet(path)
+
+
 def write_csv(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").option("header", "true").csv(path)
 

@@ -184,3 +184,22 @@ def test_ingest_keeps_first_copy(spark):
     d = spark.createDataFrame([(1, "aaa", 3, "s"), (2, "aaa", 3, "t"), (3, "b", 1, "s"), (4, "ccc", 3, "s")], "id int, text string, n int, src string")
     got = I.ingest(d, content="text", size="n", order="id", min_side=2).select("id", "fname").orderBy("id").collect()
     assert [(r["id"], r["fname"]) for r in got] == [(1, "img_000000"), (4, "img_000001")]
+
+
+def test_a_manifest_is_rewritten_in_place(spark, tmp_path):
+    path = str(tmp_path / "m")
+    rows = spark.range(100).select(F.concat(F.lit("i"), "id").alias("image_id"), F.lit("d").alias("dataset"),
+                                   F.when(F.col("id") < 50, "train").otherwise("test").alias("split"))
+    sinks.write_manifest(rows.repartition(8), path)
+    again = spark.read.parquet(path).withColumn("split", F.when(F.col("split") == "test", "val_id").otherwise(F.col("split")))
+    sinks.write_manifest(again, path)
+    got = spark.read.parquet(path)
+    assert {r["split"]: r["count"] for r in got.groupBy("split").count().collect()} == {"train": 50, "val_id": 50}
+    assert len(list((tmp_path / "m" / "split=train").glob("*.parquet"))) == 1
+
+
+def test_contents_are_written_as_they_came(spark, tmp_path):
+    items = spark.createDataFrame([(1, b"\x00\xffA", 9), (2, b"B\n", 9), (3, b"\x00\xffA", 9), (4, b"small", 1)], "n long, content binary, side int")
+    kept = I.ingest(items, content="content", size="side", order="n", min_side=5, keep_content=True)
+    sinks.write_contents(kept, "content", str(tmp_path / "c"))
+    assert sorted((r.fname, bytes(r.content)) for r in spark.read.parquet(str(tmp_path / "c")).collect()) == [("img_000000", b"\x00\xffA"), ("img_000001", b"B\n")]
