@@ -16,6 +16,7 @@ from plumbline.functions import metrics as X
 from plumbline.functions import scalar as S
 from plumbline.functions.lookup import small_join
 from plumbline.operators import evaluation as E
+from plumbline.session import cut_lineage
 
 # Fixed values of the search.
 NO_SIGNAL = 0.245
@@ -159,7 +160,7 @@ def crossfit_temperatures(rows: DataFrame, fold: str, y: str = "y", grid: Sequen
     differ by more than ``max_ratio`` or there are fewer than ``min_groups`` values of ``group``.
     """
     grid = grid or geometric(*TEMPERATURES)
-    sums = temperature_sums(rows, ["view", fold], y, "margin", y, grid)
+    sums = cut_lineage(temperature_sums(rows, ["view", fold], y, "margin", y, grid))  # a few sums, read many times
     total = sums.groupBy("view", "i", "t", y).agg(F.sum("se").alias("se"), F.sum("n").alias("n"))
     # Sums of the other folds: the total less the fold's own, which is nothing for a class it lacks.
     ids = sums.agg(F.collect_set(fold)).scalar()
