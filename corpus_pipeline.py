@@ -26,8 +26,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
-    return near_dedup.drop_near_copies(docs)
+    """One document of each component of near copies: a Jaccard similarity of 0.8 or more in shingles of five words."""
+    return near_dedup.drop_near_copies(docs, size=5, share=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

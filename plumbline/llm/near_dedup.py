@@ -1,10 +1,11 @@
 """Near-duplicate detection: minhash signatures, a multi-index Hamming join, links confirmed on full shingle sets.
 
-A text's set holds its distinct shingles of three words. ``CHUNKS`` chunks of ``WIDTH`` 16-bit minhashes make the indexed
+A text's set holds its distinct shingles of ``size`` words, and two sets are alike from a Jaccard similarity of ``share``
+percent on; SHINGLE and SHARE are op1's contract. ``CHUNKS`` chunks of ``WIDTH`` 16-bit minhashes make the indexed
 signature. Two signatures that differ in at most CHUNKS * (ERRORS + 1) - 1 of them agree, by the pigeonhole principle,
 in some chunk but for ERRORS places, so every chunk is indexed once for each choice of places left out: all pairs
 within that distance meet under a key. At a similarity of 0.85 two minhashes differ with probability 0.15, and a
-pair meets under no key with probability 7e-6.
+pair meets under no key with probability 7e-6; at 0.80 with 2e-4.
 
 Texts with equal sets are one class, and only classes are indexed. Under a key nobody is paired with everybody:
 members are compared with one of them, linked classes get a common label, and only keys that still hold several
@@ -71,12 +72,12 @@ def minhashes(sets: np.ndarray) -> np.ndarray:
     return low ^ (low >> np.uint32(15))
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     known = _Words()
     for batch, texts in sliced(batches, "text"):
         ids, n, cls, index, bits = batch.column("id"), [], [], [], []
         for t in texts:
-            s = shingles(t, known)
+            s = shingles(t, known, size)
             n.append(len(s))
             if len(s):
                 m = minhashes(s)
@@ -107,29 +108,29 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pydict({"key": pa.array(k.view(np.int64)), "rep": pa.array(rep)})
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     known = _Words()
     for batch, texts in sliced(batches, "text"):
-        s = [shingles(t, known).view(np.int64) for t in texts]
+        s = [shingles(t, known, size).view(np.int64) for t in texts]
         yield pa.RecordBatch.from_pydict({"rep": batch.column("id"), "cls": pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in s], pa.binary()),
                                           "items": pa.array(s, pa.list_(pa.int64()))})
 
 
-def near(a: str = "a", b: str = "b") -> Column:
+def near(a: str = "a", b: str = "b", share: int = SHARE) -> Column:
     """Whether two classes may be alike: false only if their sizes or the differing bits of their bitmaps rule it out."""
     apart = F.lit(0)
     for i in range(PARITY // 64):
         apart = apart + F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i]))
     low, high = F.least(F.col(f"{a}.n"), F.col(f"{b}.n")), F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
-    return (low * 100 >= high * SHARE) & ((low + high) * (100 - SHARE) >= apart * (100 + SHARE))
+    return (low * 100 >= high * share) & ((low + high) * (100 - share) >= apart * (100 + share))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b) of distinct classes whose full sets are alike."""
     x, y = (sets.select(F.col("rep").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
     both = F.size(F.array_intersect("items_a", "items_b")).cast("long")
     joined = pairs.join(y, "b").join(x, "a").select("a", "b", both.alias("both"), (F.size("items_a") + F.size("items_b")).alias("sizes"))
-    return cut_lineage(joined.filter(F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * SHARE).select("a", "b"))
+    return cut_lineage(joined.filter(F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * share).select("a", "b"))
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -141,22 +142,23 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(m.join(mixed, "key"))
 
 
-def _candidates(left: DataFrame, right: DataFrame, known: DataFrame, apart: Column) -> DataFrame:
+def _candidates(left: DataFrame, right: DataFrame, known: DataFrame, apart: Column, share: int) -> DataFrame:
     """Distinct pairs of members of one key that pass ``apart`` and ``near``: ``left(key, rep, label)`` with ``right``."""
     x, y = (m.join(known, "rep") for m in (left, right))
-    met = x.alias("a").join(y.alias("b"), (F.col("a.key") == F.col("b.key")) & apart & near())
+    met = x.alias("a").join(y.alias("b"), (F.col("a.key") == F.col("b.key")) & apart & near(share=share))
     return met.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
 
 
-def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
     """(id, n, cls, index, bits) of every row: set size, digest of the set, indexed signature and bitmap."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return cut_lineage(rows.mapInArrow(_sign, "id long, n long, cls binary, index binary, bits array<long>"))
+    return cut_lineage(rows.mapInArrow(lambda b: _sign(b, size), "id long, n long, cls binary, index binary, bits array<long>"))
 
 
-def linked_classes(docs: DataFrame, signed: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def linked_classes(docs: DataFrame, signed: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE,
+                   share: int = SHARE) -> tuple[DataFrame, DataFrame]:
     """(classes, links): (cls, rep) of every non-empty set, rep its smallest id, and links (a, b) between reps that
-    have the same components as all pairs of different sets that are alike."""
+    have the same components as all pairs of different sets that are alike. ``signed`` has the same ``size``."""
     whole = signed.filter("id IS NOT NULL AND n > 0").groupBy("cls").agg(
         F.min("id").alias("rep"), F.first("n").alias("n"), F.first("index").alias("index"), F.first("bits").alias("bits"))
     whole = cut_lineage(whole)
@@ -165,40 +167,41 @@ def linked_classes(docs: DataFrame, signed: DataFrame, key: str = "doc_id", text
     members = cut_lineage(indexed.join(hubs, "key"))
     reps = cut_lineage(members.select("rep").distinct())
     known = cut_lineage(whole.join(reps, "rep", "left_semi").select("rep", "n", "bits"))
-    sets = _needed_sets(docs, reps, key, text)
+    sets = _needed_sets(docs, reps, key, text, size)
 
     differ = F.col("a.label") != F.col("b.label")
     first = members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     x, y = known.alias("x"), known.alias("y")
-    first = first.join(y, F.col("b") == F.col("y.rep")).join(x, F.col("a") == F.col("x.rep")).filter(near("x", "y")).select("a", "b")
-    links = _confirmed(first, sets)
+    first = first.join(y, F.col("b") == F.col("y.rep")).join(x, F.col("a") == F.col("x.rep")).filter(near("x", "y", share)).select("a", "b")
+    links = _confirmed(first, sets, share)
     mixed = _labelled(members, links)
     other = mixed.groupBy("key").agg(F.min_by(F.struct("rep", "label"), F.xxhash64("rep", "key")).alias("h")).select("key", "h.rep", "h.label")
-    links = cut_lineage(links.union(_confirmed(_candidates(cut_lineage(other), mixed, known, differ), sets)))
+    links = cut_lineage(links.union(_confirmed(_candidates(cut_lineage(other), mixed, known, differ, share), sets, share)))
     mixed = _labelled(mixed, links)
-    links = links.union(_confirmed(_candidates(mixed, mixed, known, F.col("a.label") < F.col("b.label")), sets))
+    links = links.union(_confirmed(_candidates(mixed, mixed, known, F.col("a.label") < F.col("b.label"), share), sets, share))
     return whole.select("cls", "rep"), cut_lineage(links)
 
 
-def _needed_sets(docs: DataFrame, reps: DataFrame, key: str, text: str) -> DataFrame:
+def _needed_sets(docs: DataFrame, reps: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """(rep, items) of the texts with one of these ids; of the others only the few that the filter lets through move."""
     bits = filter_bits(reps.count(), PER_ROW, MOST_BITS, 2)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     maybe = maybe_in(rows, F.col("id"), key_filter(reps, "rep", bits), bits, 2, "maybe").filter("maybe").select("id", "text")
-    found = maybe.join(reps, F.col("id") == F.col("rep"), "left_semi").mapInArrow(_sets, "rep long, cls binary, items array<long>")
+    found = maybe.join(reps, F.col("id") == F.col("rep"), "left_semi").mapInArrow(lambda b: _sets(b, size), "rep long, cls binary, items array<long>")
     return cut_lineage(found.groupBy("rep", "cls").agg(F.first("items").alias("items")).filter("size(items) > 0"))
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: key, n_shingles, component_id, kept.
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, share: int = SHARE) -> DataFrame:
+    """One row per row of ``docs``: key, n_shingles, component_id, kept. Sets of shingles of ``size`` words are alike from a
+    similarity of ``share`` percent on.
 
     A component is what links connect, and rows that share an id; it is named by its smallest id, whose rows are kept.
     Texts without words have empty sets and are components of their own. A row without id is linked with nothing:
     component_id null, kept. Repeated rows get equal verdicts. An empty table gives an empty result; other columns
     are not read.
     """
-    signed = signatures(docs, key, text)
-    classes, links = linked_classes(docs, signed, key, text)
+    signed = signatures(docs, key, text, size)
+    classes, links = linked_classes(docs, signed, key, text, size, share)
     rows = cut_lineage(signed.filter("id IS NOT NULL AND n > 0").select("id", "n", "cls").join(classes, "cls").select("id", "n", "rep"))
     twice = cut_lineage(rows.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("id", "a"))
     again = rows.select("id", F.col("rep").alias("b")).join(twice, "id").filter("a < b").select("a", "b").distinct()
@@ -209,10 +212,10 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                                       F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, share: int = SHARE) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; rows without id or words stay.
     All columns are kept. Only rows that may have to go are shuffled."""
-    gone = cut_lineage(near_groups(docs, key, text).filter("not kept").select(F.col(key).alias("gone")).distinct())
+    gone = cut_lineage(near_groups(docs, key, text, size, share).filter("not kept").select(F.col(key).alias("gone")).distinct())
     bits = filter_bits(gone.count(), PER_ROW, MOST_BITS, 2)
     id = F.col(key).cast("long")
     rows = maybe_in(carried(docs, id=id), F.col("id"), key_filter(gone, "gone", bits), bits, 2, "maybe")

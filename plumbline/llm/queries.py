@@ -116,7 +116,7 @@ c AS (SELECT doc_id, doc_id AS m FROM s UNION SELECT e.b, c.m FROM c JOIN e ON c
 k AS (SELECT doc_id, min(m) AS m FROM c GROUP BY doc_id)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, m AS component_id, doc_id = m AS kept FROM s JOIN k USING (doc_id)""")
 def op1(spark, sf):
-    return near_dedup.near_groups(table(spark, sf, "documents"))
+    return near_dedup.near_groups(table(spark, sf, "documents"), size=near_dedup.SHINGLE, share=near_dedup.SHARE)
 
 
 def _found(k, rule):
