@@ -58,7 +58,8 @@ def statistics(text: bytes | None) -> list[float]:
 
 @dataclass
 class Model:
-    """Standardisation, random directions, weights and the calibration's points (score, probability)."""
+    """Standardisation, random directions, weights and the calibration's points (score, probability); ``fitted`` is false
+    where there was no labelled row."""
     mean: np.ndarray
     spread: np.ndarray
     turn: np.ndarray
@@ -66,6 +67,7 @@ class Model:
     weights: np.ndarray
     at: np.ndarray
     probability: np.ndarray
+    fitted: bool = True
 
     def features(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.spread, -8, 8)
@@ -116,7 +118,7 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
         *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(d)]).collect()}
     rng = np.random.default_rng(seed)
     turn, shift = rng.normal(size=(d, features)) / width, rng.uniform(0, 2 * np.pi, features)
-    model = Model(np.zeros(d), np.ones(d), turn, shift, np.zeros(1 + d + features), np.array([0.0]), np.array([0.5]))
+    model = Model(np.zeros(d), np.ones(d), turn, shift, np.zeros(1 + d + features), np.array([0.0]), np.array([0.5]), bool(parts))
     if not parts:
         return model
     base = parts.get(False) or parts[True]
@@ -174,8 +176,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
               threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows whose score lies below the threshold; nulls as in ``score_documents``. All columns are kept."""
+    """``docs`` without the rows whose score lies below the threshold; nulls as in ``score_documents``. All columns are kept.
+    Without a labelled row to fit on there is nothing to judge by, and all rows are kept."""
     model = fit(document_statistics(docs, key, text), labels, key, label)
+    if not model.fitted:
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in sliced(batches, text):
