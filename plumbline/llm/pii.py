@@ -4,9 +4,9 @@ Strict rules give the base spans, which always stand. Generators with more recal
 spans of the same kinds. Boosted trees over format and context score the proposals; they learn from proposals that a base
 span confirms or not, without seeing the marks by which the strict rules tell (the plus of a phone number, the kind
 of at sign), and so carry over to formats that the rules don't know. A kind's threshold is the lowest score, one half
-at least, above which at least ``precision`` of a second part of the texts' proposals are confirmed; a kind that never gets
-there adds nothing. The trees are fitted on about ``sample`` texts, chosen by hash, and run on all texts as
-a built-in expression, so that a row's proposals are made, scored and resolved where the row is read.
+at least, above which at least ``precision`` of the proposals in all texts that the trees haven't learned from are confirmed; a
+kind that never gets there adds nothing. The trees are fitted on three quarters of about ``sample`` texts, chosen by hash, of more
+where these hold only one class, and run on all texts as a built-in expression, so that a row's proposals are made, scored and resolved where the row is read.
 """
 
 from __future__ import annotations
@@ -119,23 +119,31 @@ class Model:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH,
         precision: float = PRECISION) -> Model:
-    """Trees and thresholds from the proposals in about ``sample`` texts (all, if there are fewer)."""
-    n = docs.count()
-    share = int(min(1.0, sample / max(n, 1)) * (1 << 40))
+    """Trees from the proposals in three quarters of about ``sample`` texts (of all, if there are fewer), thresholds from
+    those in all other texts. While the trees' texts hold one class only, eight times as many are taken, up to all."""
+    n, most = docs.count(), 1 << 40
+    share = max(1, int(min(1.0, sample / max(n, 1)) * most))
     body = F.coalesce(F.col(text), F.lit(""))
     part = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.col(text)), F.lit(SEED)), F.lit(1 << 40))
-    rows = docs.select(part.alias("part"), body.alias("text")).filter(F.col("part") < share)
+    rows = docs.select(part.alias("part"), body.alias("text")).filter(may_hold(F.col("text")))
     judged = let(base_spans(F.col("text")), lambda base: let(F.array(*[_of_kind(base, k) for k in range(len(KINDS))]), lambda by: F.transform(
         proposals(F.col("text")), lambda p: F.struct(p["kind"], features(p), covered(F.get(by, p["kind"]), p["start"], p["end"]).cast("double")))))
-    rows = rows.filter(may_hold(F.col("text"))).select((F.col("part") % 4 == 3).alias("late"), F.explode(
-        judged.cast("array<struct<kind:int,f:array<double>,y:double>>")).alias("p"))
-    rows = cut_lineage(rows.select("late", "p.kind", "p.f", "p.y"))
-    early = rows.filter("not late").select(array_to_vector("f").alias("features"), "y")
-    if early.select("y").distinct().count() < 2:
-        return Model()
+
+    def proposed(texts: DataFrame) -> DataFrame:
+        return texts.select(F.explode(judged.cast("array<struct<kind:int,f:array<double>,y:double>>")).alias("p")).select("p.kind", "p.f", "p.y")
+
+    while True:
+        learned = (F.col("part") < share) & (F.col("part") % 4 != 3)
+        early = cut_lineage(proposed(rows.filter(learned)).select("f", "y"))
+        if early.select("y").distinct().count() == 2:
+            break
+        if share == most:
+            return Model()
+        share = min(8 * share, most)
+    early = early.select(array_to_vector("f").alias("features"), "y")
     fitted = GBTClassifier(labelCol="y", maxIter=trees, maxDepth=depth, seed=SEED, cacheNodeIds=False).fit(early)
     model = Model([t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode") for t in fitted.trees], fitted.treeWeights)
-    late = rows.filter("late").select("kind", F.floor(model.probability(F.col("f")) * SLICES).alias("slice"), "y")
+    late = proposed(rows.filter(~learned)).select("kind", F.floor(model.probability(F.col("f")) * SLICES).alias("slice"), "y")
     counts = late.groupBy("kind", "slice").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")).collect()
     for k in range(len(KINDS)):
         right = seen = 0.0
