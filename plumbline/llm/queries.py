@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from plumbline.catalog.base import registrar
-from plumbline.llm import decontaminate, exact_dedup, mixing, near_dedup, pii, quality, secret_scan, substring_dedup, toxicity, url_filter
+from plumbline.llm import align, decontaminate, exact_dedup, mixing, near_dedup, pii, quality, secret_scan, spelling, substring_dedup, toxicity, url_filter
 
 Q, SQL, query = registrar()
 
@@ -152,3 +152,31 @@ def op4(spark, sf):
 @query("op2_substring_dedup")
 def op2(spark, sf):
     return substring_dedup.repeats(table(spark, sf, "documents"))
+
+
+@query("op13_spelling", r"""
+WITH RECURSIVE table_of AS (SELECT list(CAST(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)
+  AS BIGINT) ORDER BY b) AS t FROM range(256) r(b)),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+o AS (SELECT w, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS s, count(*) AS n FROM r GROUP BY ALL),
+b AS (SELECT w, n, hex(encode(s)) AS x FROM o),
+h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+  lambda c, v: xor(c // 256, t[xor(c % 256, v) + 1])), 4294967295) AS h FROM b, table_of),
+c AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM c WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+g AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS g FROM v, unnest(range(1, length(word) + 1)) t(i)),
+p AS (SELECT a.word, b.word AS near, b.n AS m FROM g a JOIN g b ON a.g = b.g AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM g a JOIN v b ON a.g = b.word UNION SELECT b.word, a.word, a.n FROM g a JOIN v b ON a.g = b.word),
+k AS (SELECT word, count(*) AS n_near, max(m) AS m FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN m END AS form_n,
+  CASE WHEN m >= 5 * v.n THEN (SELECT min(near) FROM p WHERE p.word = v.word AND p.m = k.m) END AS form FROM v LEFT JOIN k USING (word)),
+e AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION ALL SELECT e.word, f.form FROM e JOIN f ON e.root = f.word WHERE f.form IS NOT NULL),
+z AS (SELECT word, root FROM e JOIN f USING (word) WHERE root IN (SELECT word FROM f WHERE form IS NULL))
+SELECT f.word, f.form, coalesce(z.root, f.word) AS root, f.n, f.n_near, f.form_n FROM f LEFT JOIN z USING (word)""".replace("\\u00C0-\\u00FF", "\u00C0-\u00FF"))
+def op13(spark, sf):
+    return spelling.variants(spelling.vocabulary(table(spark, sf, "documents"), slip=199))
+
+
+@query("op12_alignment")
+def op12(spark, sf):
+    return align.alignments(table(spark, sf, "documents"))
