@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from plumbline.catalog.base import registrar
-from plumbline.llm import align, decontaminate, exact_dedup, mixing, near_dedup, pii, quality, secret_scan, spelling, substring_dedup, toxicity, url_filter
+from plumbline.llm import align, decontaminate, exact_dedup, mixing, near_dedup, pii, quality, secret_scan, spelling, substring_dedup, suffix_dedup, toxicity, url_filter
 
 Q, SQL, query = registrar()
 
@@ -180,3 +180,20 @@ def op13(spark, sf):
 @query("op12_alignment")
 def op12(spark, sf):
     return align.alignments(table(spark, sf, "documents"))
+
+
+@query("op11_suffix_dedup", """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+b AS (SELECT r, k, substr(x, 400 * k + 1, 798) AS x FROM d, unnest(range(0, len(x) // 400)) t(k)),
+w AS (SELECT r, 200 * k + i AS i, md5(substr(x, 2 * i + 1, 400)) AS g FROM b, unnest(range(0, len(x) // 2 - 199)) t(i) WHERE len(x) >= 400),
+a AS (SELECT r, i FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING count(*) > 1)),
+t AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM a),
+k AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM t),
+s AS (SELECT r, k, min(i) AS a, max(i) + 200 AS z FROM k GROUP BY r, k),
+p AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS b FROM s),
+o AS (SELECT r, count(*) AS n, sum(z - a) AS m, max(z) AS z, string_agg(substr(x, CAST(2 * b + 1 AS BIGINT), CAST(2 * (a - b) AS BIGINT)), '' ORDER BY a) AS y
+  FROM p JOIN d USING (r) GROUP BY r)
+SELECT doc_id, len(x) // 2 AS n_bytes, CAST(coalesce(m, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+ sha256(unhex(coalesce(y, '') || substr(x, CAST(2 * coalesce(z, 0) + 1 AS BIGINT)))) AS kept_sha256 FROM d LEFT JOIN o USING (r)""")
+def op11(spark, sf):
+    return suffix_dedup.repeats(table(spark, sf, "documents")).drop("runs")
