@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, parts_for, settle
 
 
 def connected_components(edges: DataFrame, a: str = "u", b: str = "v", max_rounds: int = 60) -> DataFrame:
@@ -14,38 +14,40 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v", max_round
 
     Each round is checkpointed to the shared folder, so a lost executor costs one round at most.
     """
-    e = cut_lineage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).distinct())
-    nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    e = settle(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).distinct())
+    # Steps don't add edges beyond two for each, so the partitions that hold the first ones hold all later ones.
+    parts = 2 * parts_for(e.count())
+    nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct().coalesce(parts)
     e = e.filter("u <> v")
     for _ in range(max_rounds):
-        e = cut_lineage(_small_star(_large_star(e)))
-        if _settled(e):
+        e = cut_lineage(_small_star(_large_star(e, parts), parts))
+        if _settled(e, parts):
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(e.withColumnRenamed("u", "node"), "node", "left").select(
-        "node", F.coalesce("v", "node").alias("component"))
+        "node", F.coalesce("v", "node").alias("component")).coalesce(parts)
 
 
-def _settled(e: DataFrame) -> bool:
+def _settled(e: DataFrame, parts: int) -> bool:
     """Every node hangs on one parent and no parent hangs on anything: each component is a star."""
     twice = e.groupBy("u").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("u")
-    chained = e.select(F.col("v").alias("u")).distinct().join(e.select("u"), "u", "left_semi")
+    chained = e.select(F.col("v").alias("u")).distinct().coalesce(parts).join(e.select("u"), "u", "left_semi")
     return twice.union(chained).isEmpty()
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, parts: int) -> DataFrame:
     both = _pairs(e, F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")).coalesce(parts)
+    return both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts)
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, parts: int) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    hung = down.join(low, "u")
+    low = down.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
+    hung = down.join(low, "u").coalesce(parts)
     return _pairs(hung, F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
-                  F.struct("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+                  F.struct("u", F.col("m").alias("v"))).filter("u <> v").distinct().coalesce(parts)
 
 
 def _pairs(df: DataFrame, *structs) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,14 @@ def build_session(app: str = "plumbline", master: str | None = None,
     return b.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Python workers started from now on find this package where it isn't installed."""
+    top = str(Path(__file__).resolve().parents[1])
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if top not in path.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{path}:{top}".strip(":")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names; make one only for a local master that names none."""
     sc = spark.sparkContext
@@ -44,3 +53,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, unlike one held in executor storage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of a few numbers that one partition of a table of links, labels or keys holds.
+ROWS_PER_PART = 200_000
+
+
+def parts_for(rows: int, each: int = ROWS_PER_PART) -> int:
+    """Partitions that a table of so many short rows needs."""
+    return max(1, -(-rows // each))
+
+
+def settle(df: DataFrame, each: int = ROWS_PER_PART) -> DataFrame:
+    """``cut_lineage`` for a table of short rows, read back in as many partitions as its counted rows need: what follows then
+    writes files for few tasks where the table is small, whatever the number of shuffle partitions."""
+    t = cut_lineage(df)
+    return t.coalesce(parts_for(t.count(), each))
