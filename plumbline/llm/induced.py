@@ -3,7 +3,7 @@
 The order of a few suffixes gives the order of all: a suffix is its first symbol and a shorter suffix, so when suffixes are taken in
 order and each hands the one before it to a queue, every symbol's stretch of the queue is filled in order. One pass upwards induces
 the suffixes that fall (L), one pass downwards those that rise (S), both from the lowest points (S after L). The substrings between
-lowest points are sorted by the same two passes, named, and the string of the names is sorted by recursion.
+lowest points are sorted as tuples and named, and the string of the names is sorted by recursion.
 
 A queue is an array of slots, a stretch for each symbol: its priority is (symbol, rank of the suffix behind), and it is written in
 order within each stretch and read once from end to end. Entries carry a position and the length of the common prefix with the
@@ -222,25 +222,42 @@ def _both(text: np.ndarray, kind: np.ndarray, symbols: int, points: np.ndarray,
     return full, beside
 
 
-def _names(text: np.ndarray, points: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
-    """A number for the substring from each lowest point to the next, in text order; equal numbers for equal substrings."""
-    end = np.append(points[1:], len(text))
-    rank = np.searchsorted(points, order)
-    x, y = order[:-1], order[1:]
-    size = end[rank] - order
-    left = np.flatnonzero((size[:-1] == size[1:]) & (end[rank[:-1]] < len(text)) & (end[rank[1:]] < len(text)))
-    same = np.zeros(len(x), bool)
-    at = 0
+def _names(text: np.ndarray, points: np.ndarray, symbols: int) -> tuple[np.ndarray, int]:
+    """A number for the substring from each lowest point to the next, in text order: equal for equal substrings, else in their order.
+
+    Substrings are sorted as tuples of so many symbols as fit a word, and what is still tied by its next word. A
+    substring that ends where another goes on is the larger one, for its last symbol rises and the other's falls.
+    """
+    n, count = len(text), len(points)
+    size = np.append(points[1:] + 1, n) - points
+    bits = int(symbols + 1).bit_length()
+    fit = 63 // bits
+    rank = array(count, np.int64, 0)
+    left, at = np.arange(count), 0
     while len(left):
-        left = left[text[x[left] + at] == text[y[left] + at]]
-        done = size[left] == at
-        same[left[done]] = True
-        left = left[~done]
-        at += 1
-    number = np.append(0, np.cumsum(~same))
-    out = array(len(points), np.int64)
-    out[rank] = number
-    return out, int(number[-1]) + 1
+        word = np.zeros(len(left), np.int64)
+        for i in range(at, at + fit):
+            place = points[left] + i
+            own = np.where(i < size[left], text[np.minimum(place, n - 1)].astype(np.int64) + 1, symbols + 1)
+            if left[-1] == count - 1 and i >= size[-1]:
+                own[-1] = 0  # behind the text's last substring comes its end, which is smallest
+            word = (word << bits) | own
+        order = np.lexsort((word, rank[left]))
+        group, word = rank[left][order], word[order]
+        fresh = np.append(True, (group[1:] != group[:-1]) | (word[1:] != word[:-1]))
+        start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        place = np.arange(len(left))
+        # A group's numbers begin with its own; the place of a word's first copy tells the others apart.
+        first = np.maximum.accumulate(np.where(fresh, place, 0))
+        base = np.repeat(start, np.diff(np.append(start, len(left))))
+        left = left[order]
+        rank[left] = group + first - base
+        many = np.diff(np.append(np.flatnonzero(fresh), len(left)))
+        at += fit
+        tied = np.repeat(many > 1, many) & (size[left] > at)
+        left = np.sort(left[tied])
+    found, names = np.unique(rank, return_inverse=True)
+    return names, len(found)
 
 
 def sorted_points(text: np.ndarray, kind: np.ndarray, symbols: int) -> np.ndarray:
@@ -248,14 +265,12 @@ def sorted_points(text: np.ndarray, kind: np.ndarray, symbols: int) -> np.ndarra
     points = lowest(kind)
     if len(points) < 2:
         return points
-    by_symbol = points[np.argsort(text[points], kind="stable")]
-    rough, _ = _both(text, kind, symbols, by_symbol)
-    low = np.zeros(len(text), bool) if len(text) <= ROOM else array(len(text), bool, 0)
-    low[points] = True
-    order = np.concatenate([(r := np.asarray(rough[lo : lo + (1 << 20)]))[low[r]] for lo in range(0, len(rough), 1 << 20)]).astype(np.int64)
-    del rough, low
-    names, many = _names(text, points, order)
-    return order if many == len(points) else points[sort(names, many)[0]]
+    names, many = _names(text, points, symbols)
+    if many == len(points):
+        order = array(many, np.int64)
+        order[names] = points
+        return order
+    return points[sort(names, many)[0]]
 
 
 def sort(text: np.ndarray, symbols: int, with_common: bool = False) -> tuple[np.ndarray, np.ndarray | None]:

@@ -73,28 +73,45 @@ def segments(texts: list[bytes], hot: np.ndarray | None = None) -> tuple[np.ndar
     begin = np.cumsum(size + 1) - size - 1
     data = np.frombuffer(GAP.join([*texts, b""]), np.uint8)
     key, place = _least_hash(data, _SEEDS[0])
-    refined = np.zeros(len(key), bool) if hot is None or not len(hot) else np.isin(key.view(np.int64), hot)
-    if refined.any():
-        fine = key
-        for seed in _SEEDS[1:]:
-            fine = _mixed(fine ^ _least_hash(data, seed)[0], _SEEDS[0])
-        key = np.where(refined, fine, key)
     key = key.view(np.int64)
     # A string lies in one text if it starts LENGTH bytes or more before the text's end.
     long = size >= LENGTH
     edge = np.zeros(len(key) + 1, np.int32)
     edge[begin[long]] += 1
     edge[(begin + size - LENGTH + 1)[long]] -= 1
-    inside = np.cumsum(edge[:-1]) > 0
-    turn = np.append(True, (key[1:] != key[:-1]) | (refined[1:] != refined[:-1]))
-    turn |= edge[:-1] != 0
-    first = np.flatnonzero(turn)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]) | (edge[:-1] != 0))
     last = np.append(first[1:], len(key))
-    own = inside[first]
+    own = (np.cumsum(edge[:-1]) > 0)[first]
     first, last = first[own], last[own]
+    inner, value = place[first] != place[last - 1], key[first]
+    refined = np.zeros(len(first), bool)
+    if hot is not None and len(hot):
+        refined = hot[np.minimum(np.searchsorted(hot, value), len(hot) - 1)] == value
+    if refined.any():
+        f, z, k = _refined(data, first[refined], last[refined], value[refined])
+        first, last, value = (np.append(x[~refined], y) for x, y in ((first, f), (last, z), (value, k)))
+        inner = np.append(inner[~refined], np.ones(len(f), bool))
+        refined = np.append(refined[~refined], np.ones(len(f), bool))
     text = np.searchsorted(begin, first, "right") - 1
-    inner = refined[first] | (place[first] != place[last - 1])
-    return text, first - begin[text], last - begin[text] + LENGTH - 1, key[first], refined[first], inner
+    return text, first - begin[text], last - begin[text] + LENGTH - 1, value, refined, inner
+
+
+def _refined(data: np.ndarray, first: np.ndarray, last: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first, last, key) of segments cut anew by the hashes of the other seeds; only their own bytes are hashed."""
+    bodies = [data[a : z + LENGTH - 1].tobytes() for a, z in zip(first.tolist(), last.tolist(), strict=True)]
+    part = np.frombuffer(GAP.join([*bodies, b""]), np.uint8)
+    strings = last - first
+    begin = np.cumsum(strings + LENGTH) - strings - LENGTH
+    at = np.repeat(begin - np.cumsum(strings) + strings, strings) + np.arange(strings.sum())
+    own = np.repeat(np.arange(len(first)), strings)
+    key = np.repeat(value, strings).view(np.uint64)
+    for seed in _SEEDS[1:]:
+        key = _mixed(key ^ _least_hash(part, seed)[0][at], _SEEDS[0])
+    key = key.view(np.int64)
+    turn = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])))
+    end = np.append(turn[1:], len(key))
+    shift = first[own[turn]] - begin[own[turn]]
+    return at[turn] + shift, at[end - 1] + 1 + shift, key[turn]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -202,7 +219,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     repeated, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     # At most HOT_SHARE keys have so large a part of all.
     hot = [r.key for r in counts.filter(F.col("n") >= max(HOT_ROWS, total // HOT_SHARE)).collect()]
-    hot = np.array(hot, np.int64)
+    hot = np.sort(np.array(hot, np.int64))
     bits = filter_bits(repeated, PER_ROW, MOST_BITS, 2)
     cut = rows.mapInArrow(lambda b: _segments(b, hot), "b1 long, b2 long, start long, key long, refined boolean, inner boolean, body binary")
     found = maybe_in(cut, F.col("key"), key_filter(counts.select("key"), "key", bits), bits, 2, "maybe").filter("maybe or refined")
@@ -237,20 +254,22 @@ def _kept(text: bytes, spans: list[dict]) -> tuple[list[tuple[int, int]], bytes]
     return runs, b"".join([*parts, text[at:]])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bytes, list, bytes]]:
+    """Each row with its text, removed runs and what is left; texts may be long."""
     for batch in batches:
-        for at in range(len(batch)):  # texts may be long
+        for at in range(len(batch)):
             row = batch.slice(at, 1)
             text = row.column("text")[0].as_py()
-            runs, left = _kept(text, row.column("spans")[0].as_py())
-            yield pa.RecordBatch.from_arrays([*row.columns, pa.array([[{"start": a, "end": z} for a, z in runs]], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                                              pa.array([left], pa.binary())], names=[*row.schema.names, "runs", "left"])
+            yield row, text, *_kept(text, row.column("spans")[0].as_py())
 
 
-def _with_runs(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``rows(..., b1, b2, text)`` with the removed runs and the bytes left; rows without any keep null."""
-    return rows.join(_small(found.select(F.col("b1").alias("x1"), F.col("b2").alias("x2"), "spans"), F.size("spans")),
-                     (F.col("b1") == F.col("x1")) & (F.col("b2") == F.col("x2")), "left").drop("x1", "x2")
+def _with_spans(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows(..., b1, b2, text)`` that surely have no spans, and the others with theirs, or null. Only the others are moved."""
+    bits = filter_bits(found.count(), PER_ROW, MOST_BITS, 2)
+    rows = maybe_in(rows, F.col("b1"), key_filter(found.select("b1"), "b1", bits), bits, 2, "maybe")
+    spans = _small(found.select(F.col("b1").alias("x1"), F.col("b2").alias("x2"), "spans"), F.size("spans"))
+    some = rows.filter("maybe").join(spans, (F.col("b1") == F.col("x1")) & (F.col("b2") == F.col("x2")), "left")
+    return rows.filter("NOT maybe"), some.drop("x1", "x2")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -262,26 +281,26 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """
     found = cut_lineage(repeated_spans(docs, text))
     value = _bytes(docs, text)
-    rows = _with_runs(docs.select(F.col(key).alias("id"), *_two(value, "b1", "b2"), value.alias("text")), found)
-    same = rows.filter("spans IS NULL").select("id", F.length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
-                                               F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"),
-                                               F.array().cast("array<struct<start:long,end:long>>").alias("runs"))
-    less = rows.filter("spans IS NOT NULL").select("id", "text", "spans")
-    out = less.mapInArrow(_digests, same.schema)
-    return same.union(out).withColumnRenamed("id", key)
+    rows, some = _with_spans(docs.select(F.col(key).alias("id"), *_two(value, "b1", "b2"), value.alias("text")), found)
+    none = F.lit(0).cast("long")
+    same = rows.select("id", F.length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"),
+                       F.array().cast("array<struct<start:long,end:long>>").alias("runs"))
+    return same.union(some.select("id", "text", "spans").mapInArrow(_digests, same.schema)).withColumnRenamed("id", key)
+
+
+_RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _cut(batches):
-        size = len(batch.column("text")[0].as_py())
-        left, runs = batch.column("left")[0].as_py(), batch.column("runs")
-        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n_bytes": pa.array([size]), "n_removed": pa.array([size - len(left)]),
-                                          "n_spans": pa.array([len(runs[0])]), "kept_sha256": pa.array([hashlib.sha256(left).hexdigest()]), "runs": runs})
+    for row, text, runs, left in _cut(batches):
+        yield pa.RecordBatch.from_pydict({"id": row.column("id"), "n_bytes": pa.array([len(text)]), "n_removed": pa.array([len(text) - len(left)]),
+                                          "n_spans": pa.array([len(runs)]), "kept_sha256": pa.array([hashlib.sha256(left).hexdigest()]),
+                                          "runs": pa.array([[{"start": a, "end": z} for a, z in runs]], _RUNS)})
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _cut(batches):
-        yield pa.RecordBatch.from_pydict({"_row": batch.column("_row"), "text": pa.array([batch.column("left")[0].as_py().decode(errors="ignore")])})
+    for row, _, runs, left in _cut(batches):
+        yield pa.RecordBatch.from_pydict({"_row": row.column("_row"), "text": pa.array([left.decode(errors="ignore")]), "cut": pa.array([bool(runs)])})
 
 
 def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -289,7 +308,9 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     with the run."""
     found = cut_lineage(repeated_spans(docs, text))
     value = _bytes(docs, text)
-    rows = _with_runs(carried(docs, b1=_two(value, "b1", "b2")[0], b2=_two(value, "b1", "b2")[1], text=value), found)
-    less = rows.filter("spans IS NOT NULL").select("_row", "text", "spans")
-    cut = less.mapInArrow(_texts, less.select("_row", F.col("text").cast("string")).schema)
-    return rows.filter("spans IS NULL").select("_row.*").union(cut.select(*[F.col("text").alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns]))
+    (b1, b2) = _two(value, "b1", "b2")
+    rows, some = _with_spans(carried(docs, b1=b1, b2=b2, text=value), found)
+    some = some.select("_row", "text", "spans")
+    cut = some.mapInArrow(_texts, some.select("_row", F.col("text").cast("string"), F.lit(True).alias("cut")).schema)
+    own = F.when(F.col("cut"), F.col("text")).otherwise(F.col(f"_row.`{text}`")).alias(text)
+    return rows.select("_row.*").union(cut.select(*[own if c == text else F.col(f"_row.`{c}`") for c in docs.columns]))
