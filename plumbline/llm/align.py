@@ -1,13 +1,13 @@
 """Alignment of two tokenizers' tokens over the same bytes, and how often their ids meet.
 
 The text is read with one blank before it. Tokens are intervals of its bytes. For each batch the starts of one side are looked up
-among the starts of the other with ``pandas.merge_asof``, keyed by document: the last token that starts at or before a
-position covers it. Two tokens overlap exactly if one of them covers the other's start, so both directions together give all
-overlaps; those that end at the same byte are links, and their ends cut both sides into groups.
+among the starts of the other with ``pandas.merge_asof``, keyed by text: the last token that starts at or before a position
+covers it. Two tokens overlap exactly if one of them covers the other's start, so both directions together give all overlaps;
+those that end at the same byte are links, and their ends cut both sides into groups.
 
-Long texts are encoded in pieces. A single blank between two other characters begins a token on both sides (the byte
-tokenizer's pattern puts it before the word, and no piece of the other has a blank behind another character), so a cut before
-such a blank changes no token; where there is none the text stays in one piece.
+Both tokenizers cut before a single blank between two other characters (the byte tokenizer's pattern puts the blank before the
+word, and no piece of the other has a blank behind another character). Documents are cut there: tokens, groups and links of a
+document are those of its pieces, one after the other. A piece that a task has met before isn't encoded and aligned again.
 """
 
 from __future__ import annotations
@@ -28,9 +28,10 @@ from plumbline.session import cut_lineage, ensure_checkpoint_dir
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 TOKENIZERS = "/opt/tokenizers"
-#: Code points of a text that are encoded at a time, and bytes of text whose tokens are aligned at a time.
-PIECE, AT_ONCE = 1 << 18, 1 << 20
-_SEAM = re.compile(r"(?<=\S) (?=\S)")
+#: Bytes of text that are aligned at a time, and pieces that a task remembers.
+AT_ONCE, REMEMBERED = 1 << 20, 400_000
+#: White space other than blanks beside a blank: no cut there.
+_WIDE_ENDS = re.compile(r"[^\S ] | [^\S ]")
 #: Pairs of ids, 24 bytes each, up to which their counts may be broadcast (some 50 MB).
 PAIR_ROWS = 10 * SMALL_ROWS
 
@@ -62,35 +63,25 @@ class Sides:
             self.a_bytes[k] = bytes(to_byte[c] for c in token) if all(c in to_byte for c in token) else token.encode()
         n = self.b.get_piece_size()
         self.b_bytes = [bytes([int(self.b.id_to_piece(k)[3:5], 16)]) if self.b.is_byte(k) else self.b.id_to_piece(k).replace("▁", " ").encode() for k in range(n)]
+        self.shown = [str(k) for k in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of each text on both sides, empty where the joined bytes of either differ from the text with a blank before it."""
-        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
-        waiting: list[tuple[int, str]] = []
-
-        def flush() -> None:
-            some = [p for _, p in waiting]
-            both = zip(self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False), self.b.encode(some, num_threads=1), strict=True)
-            for (k, p), (x, y) in zip(waiting, both, strict=True):
-                whole = (" " + p).encode()
-                if found[k] is not None:
-                    same = b"".join(map(self.a_bytes.__getitem__, x.ids)) == whole and b"".join(map(self.b_bytes.__getitem__, y)) == whole
-                    found[k] = [*found[k], (np.array(x.ids, np.int32), np.array(y, np.int32))] if same else None
-            waiting.clear()
-
-        for k, t in enumerate(texts):
-            at = 0
-            while at < len(t):
-                cut = _SEAM.search(t, at + PIECE) if len(t) - at > PIECE else None
-                end = cut.start() if cut else len(t)
-                waiting.append((k, t[at:end]))
-                at = end + 1  # the blank is the one that the next piece gets before it
-                if sum(len(p) for _, p in waiting[-64:]) > AT_ONCE or len(waiting) == 64:
-                    flush()
-        flush()
-        none = np.zeros(0, np.int32)
-        return tuple([np.concatenate([none, *(piece[side] for piece in f or ())]) for f in found] for side in (0, 1))
+    def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """Ids of each piece on both sides, and whether the joined bytes of both are the piece with a blank before it."""
+        whole = [" " + p for p in pieces]
+        a = [x.ids for x in self.a.encode_batch_fast(whole, add_special_tokens=False)]
+        b = self.b.encode(pieces, num_threads=1)
+        if all(b"".join([table[i] for ids in side for i in ids]) == "".join(whole).encode() for side, table in ((a, self.a_bytes), (b, self.b_bytes))) and self._aligned_ends(whole, a, b):
+            return a, b, [True] * len(pieces)
+        same = [b"".join(map(self.a_bytes.__getitem__, x)) == (w := p.encode()) and b"".join(map(self.b_bytes.__getitem__, y)) == w
+                for p, x, y in zip(whole, a, b, strict=True)]
+        return a, b, same
+
+    def _aligned_ends(self, whole: list[str], a: list[list[int]], b: list[list[int]]) -> bool:
+        """Whether every piece's tokens have as many bytes as the piece."""
+        want = [len(w.encode()) for w in whole]
+        return all(np.array_equal(np.diff(np.append(0, np.cumsum(size[np.fromiter((i for ids in side for i in ids), np.int64)]))[np.append(0, np.cumsum([len(x) for x in side]))]), want)
+                   for side, size in ((a, self.a_size), (b, self.b_size)))
 
 
 @lru_cache(1)
@@ -113,51 +104,87 @@ def overlaps(doc_a: np.ndarray, start_a: np.ndarray, doc_b: np.ndarray, start_b:
     return x[order], y[order]
 
 
+def pieces(text: str) -> list[str]:
+    """The text cut at single blanks between two other characters; the blank before each piece is the one that both sides add."""
+    words = text.split(" ")
+    if all(words) and not _WIDE_ENDS.search(text):
+        return words
+    out, now = [], None
+    for p in words:
+        if now is None:
+            now = p
+        elif p and now and not p[0].isspace() and not now[-1].isspace():
+            out.append(now)
+            now = p
+        else:
+            now = f"{now} {p}"
+    return [*out, now] if text else []
+
+
+class Known(dict):
+    """(tokens of a, tokens of b, groups, linked pairs) of pieces; None where a side doesn't give the piece's bytes."""
+
+    def __init__(self, own: Sides) -> None:
+        self.own, self.width = own, len(own.b_bytes)
+
+    def learn(self, new: list[str]) -> None:
+        for i in range(0, len(new), 20_000):
+            self._align(new[i : i + 20_000])
+
+    def _align(self, some: list[str]) -> None:
+        own = self.own
+        a, b, same = own.encode(some)
+        self.update((p, None) for p, s in zip(some, same, strict=True) if not s)
+        texts = [k for k, s in enumerate(same) if s]
+        n_a, n_b = (np.array([len(side[k]) for k in texts], np.int64) for side in (a, b))
+        ids_a, ids_b = (np.fromiter((i for k in texts for i in side[k]), np.int64, n) for side, n in ((a, n_a.sum()), (b, n_b.sum())))
+        end_a, end_b = np.cumsum(own.a_size[ids_a]), np.cumsum(own.b_size[ids_b])
+        text_a, text_b = np.repeat(np.arange(len(texts)), n_a), np.repeat(np.arange(len(texts)), n_b)
+        x, y = overlaps(text_a, end_a - own.a_size[ids_a], text_b, end_b - own.b_size[ids_b])
+        linked = end_a[x] == end_b[y]
+        x, y = x[linked], y[linked]
+        at = np.searchsorted(text_a[x], np.arange(len(texts) + 1)).tolist()
+        pairs = (ids_a[x] * self.width + ids_b[y]).tobytes()
+        # Tokens aren't empty, so a group ends with one token of each side: as many groups as links.
+        shown_a, shown_b = ([own.shown[i] for i in ids.tolist()] for ids in (ids_a, ids_b))
+        groups, p, q = [], 0, 0
+        for i, j in zip((x + 1).tolist(), (y + 1).tolist(), strict=True):
+            groups.append(f"{shown_a[p] if i - p == 1 else ','.join(shown_a[p:i])}|{shown_b[q] if j - q == 1 else ','.join(shown_b[q:j])}")
+            p, q = i, j
+        for i, k in enumerate(texts):
+            lo, hi = at[i], at[i + 1]
+            self[some[k]] = (len(a[k]), len(b[k]), ";".join(groups[lo:hi]), pairs[8 * lo : 8 * hi])
+
+
 def _aligned(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
-    own = sides(a_path, b_path)
-    width = len(own.b_bytes)
+    known = Known(sides(a_path, b_path))
     for batch, texts in sliced(batches, "text"):
         n_bytes = np.array([len(t or b"") for t in texts])
         cuts = np.flatnonzero(np.diff(np.cumsum(n_bytes) // AT_ONCE)) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):
-            if lo == hi:
-                continue
-            a, b = own.encode([(t or b"").decode() for t in texts[lo:hi]])
-            n_a, n_b = np.array(list(map(len, a))), np.array(list(map(len, b)))
-            ids_a, ids_b = (np.concatenate(side).astype(np.int64) for side in (a, b))
-            end_a, end_b = np.cumsum(own.a_size[ids_a]), np.cumsum(own.b_size[ids_b])
-            doc_a, doc_b = np.repeat(np.arange(hi - lo), n_a), np.repeat(np.arange(hi - lo), n_b)
-            x, y = overlaps(doc_a, end_a - own.a_size[ids_a], doc_b, end_b - own.b_size[ids_b])
-            linked = end_a[x] == end_b[y]
-            x, y = x[linked], y[linked]
-            of = np.arange(hi - lo)
-            first = np.searchsorted(doc_a[x], of) if len(x) else np.zeros(hi - lo, np.int64)
-            n_links = np.diff(np.append(first, len(x)))
-            pairs, doc = ids_a[x] * width + ids_b[y], doc_a[x]
+            parts = [pieces((t or b"").decode()) for t in texts[lo:hi]]
+            if len(known) > REMEMBERED:
+                known.clear()
+            known.learn(list({p for own in parts for p in own if p not in known}))
+            found = [[known[p] for p in own] for own in parts]
+            found = [[] if None in own else own for own in found]
+            n_a, n_b, groups, linked = zip(*[tuple(zip(*own, strict=True)) if own else ((),) * 4 for own in found], strict=True)
+            linked = [b"".join(p) for p in linked]
+            n_links = np.array([len(p) // 8 for p in linked], np.int64)
             # Distinct pairs of each document with how often they occur there.
-            order = np.lexsort((pairs, doc))
-            p, d = pairs[order], doc[order]
+            pair, doc = np.frombuffer(b"".join(linked), np.int64), np.repeat(np.arange(hi - lo), n_links)
+            order = np.lexsort((pair, doc))
+            p, d = pair[order], doc[order]
             new = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (d[1:] != d[:-1]))) if len(p) else np.zeros(0, np.int64)
             times = np.diff(np.append(new, len(p)))
-            at = np.append(np.searchsorted(d[new], of), len(new)).astype(np.int32)
-            groups = []
-            from_a, from_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-            for k in range(hi - lo):
-                e = slice(first[k], first[k] + n_links[k])
-                groups.append(_shown(a[k].tolist(), b[k].tolist(), (x[e] - from_a[k] + 1).tolist(), (y[e] - from_b[k] + 1).tolist()))
+            at = np.searchsorted(d[new], np.arange(hi - lo + 1)).astype(np.int32)
             yield pa.RecordBatch.from_pydict({
-                "id": batch.column("id").slice(lo, hi - lo), "n_a": pa.array(n_a.astype(np.int64)), "n_b": pa.array(n_b.astype(np.int64)),
-                "n_groups": pa.array(n_links.astype(np.int64)), "n_links": pa.array(n_links.astype(np.int64)), "groups": pa.array(groups, pa.string()),
+                "id": batch.column("id").slice(lo, hi - lo), "n_a": pa.array(list(map(sum, n_a)), pa.int64()), "n_b": pa.array(list(map(sum, n_b)), pa.int64()), "n_groups": pa.array(n_links), "n_links": pa.array(n_links),
+                "groups": pa.array(list(map(";".join, groups)), pa.string()),
                 "pairs": pa.ListArray.from_arrays(pa.array(at), pa.array(p[new])),
                 "times": pa.ListArray.from_arrays(pa.array(at), pa.array(times.astype(np.int64)))})
 
 
-def _shown(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> str:
-    """Groups as ``a1,a2|b1;a3|b2,b3``. Tokens aren't empty, so a group ends with one token of each side: as many groups as links."""
-    s, t = list(map(str, a)), list(map(str, b))
-    return ";".join([",".join(s[i:j]) + "|" + ",".join(t[k:m]) for i, j, k, m in zip([0, *ends_a], ends_a, [0, *ends_b], ends_b, strict=False)])
-
-
 ALIGNED = "id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<long>"
 
 
