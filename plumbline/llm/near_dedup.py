@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import carried, filter_bits, key_filter, maybe_in, sliced
 from plumbline.operators.units import connected_components
-from plumbline.session import cut_lineage
+from plumbline.session import settle
 
 SHINGLE, SHARE = 3, 85
 CHUNKS, WIDTH, ERRORS = 8, 6, 1
@@ -35,6 +35,8 @@ HASHES = CHUNKS * WIDTH
 #: Bits of a set's bitmap.
 PARITY = 1_024
 PER_ROW, MOST_BITS = 16, 2**31
+#: Rows with a signature, a bitmap or a set in one partition.
+WIDE_ROWS = 20_000
 _rng = np.random.default_rng(11)
 _MUL, _ADD = _rng.integers(0, 2**32, HASHES, np.uint32) | np.uint32(1), _rng.integers(0, 2**32, HASHES, np.uint32)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -130,16 +132,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     x, y = (sets.select(F.col("rep").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
     both = F.size(F.array_intersect("items_a", "items_b")).cast("long")
     joined = pairs.join(y, "b").join(x, "a").select("a", "b", both.alias("both"), (F.size("items_a") + F.size("items_b")).alias("sizes"))
-    return cut_lineage(joined.filter(F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * share).select("a", "b"))
+    return settle(joined.filter(F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * share).select("a", "b"))
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members of the keys that still hold several labels."""
     labels = connected_components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("label"))
     m = members.select("key", "rep").join(labels, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    m = cut_lineage(m)
-    mixed = cut_lineage(m.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key"))
-    return cut_lineage(m.join(mixed, "key"))
+    m = settle(m)
+    mixed = settle(m.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key"))
+    return settle(m.join(mixed, "key"))
 
 
 def _candidates(left: DataFrame, right: DataFrame, known: DataFrame, apart: Column, share: int) -> DataFrame:
@@ -152,7 +154,7 @@ def _candidates(left: DataFrame, right: DataFrame, known: DataFrame, apart: Colu
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
     """(id, n, cls, index, bits) of every row: set size, digest of the set, indexed signature and bitmap."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return cut_lineage(rows.mapInArrow(lambda b: _sign(b, size), "id long, n long, cls binary, index binary, bits array<long>"))
+    return settle(rows.mapInArrow(lambda b: _sign(b, size), "id long, n long, cls binary, index binary, bits array<long>"), WIDE_ROWS)
 
 
 def linked_classes(docs: DataFrame, signed: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE,
@@ -161,12 +163,12 @@ def linked_classes(docs: DataFrame, signed: DataFrame, key: str = "doc_id", text
     have the same components as all pairs of different sets that are alike. ``signed`` has the same ``size``."""
     whole = signed.filter("id IS NOT NULL AND n > 0").groupBy("cls").agg(
         F.min("id").alias("rep"), F.first("n").alias("n"), F.first("index").alias("index"), F.first("bits").alias("bits"))
-    whole = cut_lineage(whole)
+    whole = settle(whole, WIDE_ROWS)
     indexed = whole.select("rep", "index").mapInArrow(_index, "key long, rep long")
-    hubs = cut_lineage(indexed.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub"))
-    members = cut_lineage(indexed.join(hubs, "key"))
-    reps = cut_lineage(members.select("rep").distinct())
-    known = cut_lineage(whole.join(reps, "rep", "left_semi").select("rep", "n", "bits"))
+    hubs = settle(indexed.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub"))
+    members = settle(indexed.join(hubs, "key"))
+    reps = settle(members.select("rep").distinct())
+    known = settle(whole.join(reps, "rep", "left_semi").select("rep", "n", "bits"), WIDE_ROWS)
     sets = _needed_sets(docs, reps, key, text, size)
 
     differ = F.col("a.label") != F.col("b.label")
@@ -176,10 +178,10 @@ def linked_classes(docs: DataFrame, signed: DataFrame, key: str = "doc_id", text
     links = _confirmed(first, sets, share)
     mixed = _labelled(members, links)
     other = mixed.groupBy("key").agg(F.min_by(F.struct("rep", "label"), F.xxhash64("rep", "key")).alias("h")).select("key", "h.rep", "h.label")
-    links = cut_lineage(links.union(_confirmed(_candidates(cut_lineage(other), mixed, known, differ, share), sets, share)))
+    links = settle(links.union(_confirmed(_candidates(settle(other), mixed, known, differ, share), sets, share)))
     mixed = _labelled(mixed, links)
     links = links.union(_confirmed(_candidates(mixed, mixed, known, F.col("a.label") < F.col("b.label"), share), sets, share))
-    return whole.select("cls", "rep"), cut_lineage(links)
+    return whole.select("cls", "rep"), settle(links)
 
 
 def _needed_sets(docs: DataFrame, reps: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -188,7 +190,7 @@ def _needed_sets(docs: DataFrame, reps: DataFrame, key: str, text: str, size: in
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     maybe = maybe_in(rows, F.col("id"), key_filter(reps, "rep", bits), bits, 2, "maybe").filter("maybe").select("id", "text")
     found = maybe.join(reps, F.col("id") == F.col("rep"), "left_semi").mapInArrow(lambda b: _sets(b, size), "rep long, cls binary, items array<long>")
-    return cut_lineage(found.groupBy("rep", "cls").agg(F.first("items").alias("items")).filter("size(items) > 0"))
+    return settle(found.groupBy("rep", "cls").agg(F.first("items").alias("items")).filter("size(items) > 0"), WIDE_ROWS)
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, share: int = SHARE) -> DataFrame:
@@ -202,11 +204,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     """
     signed = signatures(docs, key, text, size)
     classes, links = linked_classes(docs, signed, key, text, size, share)
-    rows = cut_lineage(signed.filter("id IS NOT NULL AND n > 0").select("id", "n", "cls").join(classes, "cls").select("id", "n", "rep"))
-    twice = cut_lineage(rows.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("id", "a"))
+    rows = settle(signed.filter("id IS NOT NULL AND n > 0").select("id", "n", "cls").join(classes, "cls").select("id", "n", "rep"))
+    twice = settle(rows.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("id", "a"))
     again = rows.select("id", F.col("rep").alias("b")).join(twice, "id").filter("a < b").select("a", "b").distinct()
     named = connected_components(links.select("a", "b").union(again), "a", "b").select(F.col("node").alias("rep"), "component")
-    linked = rows.join(cut_lineage(named), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
+    linked = rows.join(settle(named), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
     alone = signed.filter("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component_id"))
     return linked.union(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id",
                                       F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -215,7 +217,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, share: int = SHARE) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; rows without id or words stay.
     All columns are kept. Only rows that may have to go are shuffled."""
-    gone = cut_lineage(near_groups(docs, key, text, size, share).filter("not kept").select(F.col(key).alias("gone")).distinct())
+    gone = settle(near_groups(docs, key, text, size, share).filter("not kept").select(F.col(key).alias("gone")).distinct())
     bits = filter_bits(gone.count(), PER_ROW, MOST_BITS, 2)
     id = F.col(key).cast("long")
     rows = maybe_in(carried(docs, id=id), F.col("id"), key_filter(gone, "gone", bits), bits, 2, "maybe")
