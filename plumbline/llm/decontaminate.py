@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import sliced
+from plumbline.llm.common import carried, sliced
 
 WINDOW, BLOCK_CHARS = 13, 32_000_000
 #: Contaminated: found words are at least one in so many.
@@ -165,12 +165,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     """
     parts = blocks(benchmark, item, item_text, window, block_chars)
     if len(parts) > 1:
-        verdicts = scan(docs.select(key, text).withColumn("_sha", F.sha2(text, 256)).select(
-            F.struct(F.col(key).alias("k"), F.col("_sha").alias("s")).alias(key), text), benchmark, key, text, item,
-            item_text, window, block_chars).filter("contaminated")
-        bad = verdicts.select(F.col(f"{key}.k").alias("_k"), F.col(f"{key}.s").alias("_s")).distinct()
-        same = F.col(key).eqNullSafe(F.col("_k")) & F.sha2(F.col(text), 256).eqNullSafe(F.col("_s"))
-        return docs.join(bad, same, "left_anti")
+        rows = carried(docs, id=F.struct(F.col(key).alias("k"), F.sha2(F.col(text), 256).alias("s")), text=F.col(text))
+        bad = scan(rows.select("id", "text"), benchmark, "id", "text", item, item_text, window, block_chars).filter("contaminated")
+        bad = bad.select(F.col("id").alias("bad")).distinct()
+        return rows.join(bad, F.col("id").eqNullSafe(F.col("bad")), "left_anti").select("_row.*")
     token, items = uuid.uuid4().hex, parts[0]
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

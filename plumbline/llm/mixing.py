@@ -112,7 +112,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The documents that the mix takes, with all their columns and ``mix_repeats``: how often each is to be read.
 
-    Documents without words have no size and stay out. Two scans, one over key, source and size only; rows are
+    Documents without words have no size and stay out. A column of that name that the table has already gives way to the new
+    one. Null sources form one source, null keys are hashed by text, rows that repeat a key are taken together, and an empty table
+    gives an empty result. Two scans, one over key, source and size only; rows are
     filtered in place.
     """
     size, h = words_in(F.col(text)), spread(F.col(key), F.col(text))
@@ -120,4 +122,4 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     plan = thresholds(rows, weights, share, most)
     taken = take(carried(docs, source=F.col(source), size=size, h=h), plan).filter("taken > 0")
     repeats = (F.col("taken") / F.col("size")).cast("long").alias("mix_repeats")
-    return taken.select("_row.*", repeats)
+    return taken.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c != "mix_repeats"], repeats)

@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import sliced
+from plumbline.llm.common import filter_bits, key_filter, maybe_in, sliced
 from plumbline.llm.toxicity import held_out, training_labels
 from plumbline.session import cut_lineage
 
 FEATURES, WIDTH, RIDGE, SEED = 256, 4.0, 1.0, 7
 #: Slices of a unit of score in which calibration rows are counted.
 SLICES = 1_000
+#: Rows of partial sums that the driver adds up.
+SUMS = 16
 THRESHOLD = 0.7
 _CLASSES = np.zeros((256, 6))
 for _b in range(256):
@@ -114,11 +116,12 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
     d = len(STATISTICS)
     rows = cut_lineage(stats.join(training_labels(labels, key, label), "id").select("x", "y", (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).alias("late")))
     parts = {r["late"]: r for r in rows.groupBy("late").agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d)],
+        F.count(F.lit(1)).alias("n"), F.min("y").alias("low"), F.max("y").alias("high"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d)],
         *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(d)]).collect()}
     rng = np.random.default_rng(seed)
     turn, shift = rng.normal(size=(d, features)) / width, rng.uniform(0, 2 * np.pi, features)
-    model = Model(np.zeros(d), np.ones(d), turn, shift, np.zeros(1 + d + features), np.array([0.0]), np.array([0.5]), bool(parts))
+    model = Model(np.zeros(d), np.ones(d), turn, shift, np.zeros(1 + d + features), np.array([0.0]), np.array([0.5]),
+                  bool(parts) and min(r["low"] for r in parts.values()) < max(r["high"] for r in parts.values()))
     if not parts:
         return model
     base = parts.get(False) or parts[True]
@@ -177,8 +180,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
               threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose score lies below the threshold; nulls as in ``score_documents``. All columns are kept.
-    Without a labelled row to fit on there is nothing to judge by, and all rows are kept."""
-    model = fit(document_statistics(docs, key, text), labels, key, label)
+    Without labelled rows of both classes to fit on there is nothing to judge by, and all rows are kept. Statistics to fit on
+    are taken of rows only that may have a label, by a bounded Bloom filter over the labelled keys."""
+    known = cut_lineage(training_labels(labels, key, label).select("id"))
+    bits = filter_bits(known.count(), 12, 2**31, 2)
+    some = maybe_in(docs.select(F.col(key), F.col(text)), F.col(key).cast("long"), key_filter(known.select(F.col("id").cast("long")), "id", bits), bits, 2, "_maybe")
+    model = fit(document_statistics(some.filter("_maybe").drop("_maybe"), key, text), labels, key, label)
     if not model.fitted:
         return docs
 

@@ -3,6 +3,7 @@
 import plain
 import pytest
 from oracle import compare, duck
+from test_near_stage import near
 
 import corpus_pipeline
 from plumbline.llm import mixing, queries
@@ -42,7 +43,7 @@ def test_stages(spark, sf):
         elif name == "exact_dedup":
             assert kept == {i for i, _, _, keep, _ in plain.exact(given) if keep}
         elif name == "near_dedup":
-            assert kept == {i for i, _, _, keep in plain.near(given) if keep}
+            assert kept == {i for i, _, _, keep in near(given) if keep}  # five words, 0.80
         elif name == "decontamination":
             assert kept == {i for i, w, h, _ in plain.contaminated(given, bench) if not h or 20 * h < w}
         else:
@@ -50,3 +51,27 @@ def test_stages(spark, sf):
         assert out.columns == (columns if n < len(corpus_pipeline.STAGES) - 1 else [*columns, "mix_repeats"])
         docs = out
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == kept and len(kept) > 100
+
+
+def test_odd_rows(spark, sf):
+    """Every stage takes nulls, repeated rows, clashing names and an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row string, id string, _k string, mix_repeats int"
+    long = " ".join(f"w{k}" for k in range(300))
+    rows = [(1, None, *"ab", 0, *"rik", 7), (None, "some words here", "a", None, 3, *"rik", 7), (2, "", *"ab", 0, *"rik", 7), (3, long, *"ab", 9, *"rik", 7),
+            (3, long, *"ab", 9, *"rik", 7), (4, "y" * 50_000, *"ab", 1, *"rik", None)]
+    for name, stage in corpus_pipeline.STAGES:
+        for given in (rows, []):
+            docs = spark.createDataFrame(given, schema)
+            out = stage(spark, docs, sf)
+            got = out.collect()
+            assert out.columns == docs.columns, name
+            ids = [r.doc_id for r in got]
+            if name == "exact_dedup" and given:
+                assert sorted(ids, key=str) == [1, 3, 4, None] or sorted(ids, key=str) == [2, 3, 4, None]
+            elif name == "near_dedup" and given:
+                assert sorted(ids, key=str) == [1, 2, 3, 3, 4, None]  # rows of the kept id stay
+            elif name == "decontamination" and given:
+                assert sorted(ids, key=str) == [1, 2, 3, 3, 4, None]
+            elif name == "mixing":
+                assert not {1, 2} & set(ids) and all(r.mix_repeats >= 1 for r in got)
+            assert given or not got
