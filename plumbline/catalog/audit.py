@@ -8,6 +8,7 @@ from plumbline import bindings as B
 from plumbline.functions import ranking as R
 from plumbline.functions import scalar as S
 from plumbline.operators import audit as A
+from plumbline.operators import boosting as T
 from plumbline.operators import ingest as I
 from plumbline.operators import ledger as L
 from plumbline.operators import modes as MO
@@ -50,58 +51,80 @@ def _(spark, sf):
 
 # ---- probes by model ----------------------------------------------------------------------------
 
-def _oof(spark, sf, target=None, naive=False, extra=(), fused_=False):
-    m = fused_manifest(spark, sf) if fused_ else B.split_manifest(spark, sf)
-    m = m.withColumn("target", F.col("label") if target is None else target).withColumn(
-        "content_category_fixed", F.when(F.col("dataset").isin("src1-es", "src6-es"), "c1").otherwise(F.col("content_category")))
-    frame = A.probe_frame(m, A.NUMERIC, ["ext", "file_format", "pil_mode", *extra])
-    if naive:
-        frame = W.naive_folds(frame, 5, B.SEED)
-    else:
-        folds = W.blocked_folds(m, 5, "dataset").select(F.col("block").alias("dataset"), "fold")
-        frame = frame.join(folds, "dataset")
-    return A.oof_scores(frame, "target", "fold", 5)
+#: Trees of the queries' probes: fewer and shorter than the operators' default.
+TREES = T.Shape(rounds=10, depth=3, step=0.4)
+META_CATEGORIES = ("ext", "file_format", "pil_mode")
+
+
+def _probed(spark, sf):
+    """All probes of the metadata mode; categories as recorded against categories corrected by rule for two datasets."""
+    fixed = F.when(F.col("dataset").isin("src1-es", "src6-es"), "c1").otherwise(F.col("content_category"))
+    m = B.split_manifest(spark, sf).withColumn("content_category_fixed", fixed)
+    return MO.metadata_probes(m, A.NUMERIC, META_CATEGORIES, seed=B.SEED, shape=TREES)
 
 
 @query("metadata_probe")
 def _(spark, sf):
-    v = A.probe_verdict(_oof(spark, sf), "target", "metadata_auc")
-    return v.select(r6("auc"), r6("coverage"), r6("ceiling"), "unmeasurable", "verdict")
+    v = A.probe_results(_probed(spark, sf), {"blocked": "label"})
+    return v.select("n", r6("auc"), r6("coverage"), r6("ceiling"), "unmeasurable", A.probe_bucket("metadata_auc").alias("verdict"))
+
+
+def _auc_pair(scored, first, second):
+    v = A.probe_results(scored, {first: "label", second: "label"})
+    of = lambda k: F.max(F.when(F.col("probe") == k, F.col("auc")))
+    return v.agg(of(first).alias("a"), of(second).alias("b"))
 
 
 @query("blocking_gap")
 def _(spark, sf):
-    blocked = R.rank_auc(_oof(spark, sf), [], "oof", "target").select(F.col("auc").alias("auc_blocked"))
-    naive = R.rank_auc(_oof(spark, sf, naive=True), [], "oof", "target").select("auc").scalar()
-    g = blocked.withColumn("auc_naive", naive)
-    return g.select(r6("auc_blocked"), r6("auc_naive"), r6(F.col("auc_naive") - F.col("auc_blocked"), "gap"))
+    g = _auc_pair(_probed(spark, sf), "blocked", "naive")
+    return g.select(r6("a", "auc_blocked"), r6("b", "auc_naive"), r6(F.col("b") - F.col("a"), "gap"))
 
 
 @query("override_efficacy")
 def _(spark, sf):
-    """Categories as recorded against categories corrected by rule for two datasets."""
-    raw = R.rank_auc(_oof(spark, sf, extra=["content_category"]), [], "oof", "target").select(F.col("auc").alias("auc_raw"))
-    fixed = R.rank_auc(_oof(spark, sf, extra=["content_category_fixed"]), [], "oof", "target").select("auc").scalar()
-    g = raw.withColumn("auc_fixed", fixed)
-    return g.select(r6("auc_raw"), r6("auc_fixed"), r6(F.col("auc_fixed") - F.col("auc_raw"), "delta"))
+    g = _auc_pair(_probed(spark, sf), "raw", "fixed")
+    return g.select(r6("a", "auc_raw"), r6("b", "auc_fixed"), r6(F.col("b") - F.col("a"), "delta"))
 
 
 @query("val_inheritance")
 def _(spark, sf):
-    m = A.probe_frame(B.split_manifest(spark, sf), A.NUMERIC, ["ext", "file_format", "pil_mode"])
-    m = m.select("image_id", "split", "label", "features")
-    s = A.fit_and_score(m.filter("split = 'train'"), m.filter("split in ('val_id', 'val_xgen', 'val_stress')"))
-    a = R.rank_auc(s, ["split"], "oof", "label")
-    ref = R.rank_auc(_oof(spark, sf), [], "oof", "target").select("auc").scalar()
-    a = a.withColumn("excess", F.col("auc") - ref)
-    return a.select("split", "n", r6("auc"), r6("excess"), L.bucket(F.col("excess"), "val_inherit").alias("verdict"))
+    rows = MO.metadata_probe_rows(_probed(spark, sf)).filter("test = 'M4_val_inheritance'")
+    return rows.select("split", "n", r6(F.col("metrics.auc_val"), "auc"), r6("value", "excess"), "verdict")
+
+
+@query("audit_probe_rows")
+def _(spark, sf):
+    return mode_rows(MO.metadata_probe_rows(_probed(spark, sf)))
 
 
 @query("error_predictability")
 def _(spark, sf):
-    wrong = ((F.col("margin") > 0) != (F.col("label") == 1)).cast("int")
-    v = A.probe_verdict(_oof(spark, sf, target=wrong, fused_=True), "target", "error_pred_auc")
-    return v.select(r6("auc"), r6("coverage"), "unmeasurable", "verdict")
+    m = fused_manifest(spark, sf)
+    v = A.probe_results(MO.error_probe(m, A.NUMERIC, META_CATEGORIES, shape=TREES), {"wrong": "wrong"})
+    return v.select(r6("auc"), r6("coverage"), "unmeasurable", A.probe_bucket("error_pred_auc").alias("verdict"))
+
+
+SPLITS = ("train", "val_id", "val_xgen", "val_stress", "test")
+
+
+@query("audit_error_rows")
+def _(spark, sf):
+    scored = MO.error_probe(fused_manifest(spark, sf), A.NUMERIC, META_CATEGORIES, splits=SPLITS, shape=TREES)
+    return mode_rows(MO.error_rows(scored, SPLITS))
+
+
+_HIST = " UNION ALL ".join(f"SELECT '{c}' feature, CAST({c} AS DOUBLE) v, label, file_index%5 fold FROM m" for c in NUM)
+
+
+@query("probe_histograms", "WITH " + MANIFEST + f", u AS ({_HIST}), b AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY v)-1 below, count(*) OVER (PARTITION BY feature) total FROM u)"
+       + """, k AS (SELECT *, dense_rank() OVER (PARTITION BY feature ORDER BY CAST(floor(below*255/total) AS BIGINT)) bin FROM b)
+ SELECT 'label' model, f.fold, feature, bin, count(*) n, CAST(sum(label) AS BIGINT) positives FROM k JOIN (SELECT unnest(range(5)) fold) f ON k.fold<>f.fold GROUP BY ALL""")
+def _(spark, sf):
+    """What the probes of five folds see before their first cut: the rows of all other folds by feature and bin."""
+    m = B.raw_manifest(spark, sf)
+    groups = {"label": T.Group(F.col("label"), F.col("file_index") % 5, NUM)}
+    return T.first_histograms(m, {c: F.col(c) for c in NUM}, groups, ["image_id"])
 
 
 # ---- slices -------------------------------------------------------------------------------------
@@ -141,8 +164,10 @@ def _(spark, sf):
 
 # ---- pairs --------------------------------------------------------------------------------------
 
-PAIRS = "WITH " + SCORED_MANIFEST + """, mx AS (SELECT split_unit FROM sf GROUP BY 1 HAVING count(DISTINCT label)=2 AND count(*) FILTER (WHERE label=0)>=30),
- pk_ AS (SELECT sf.*, sf.split_unit IN (SELECT split_unit FROM mx) in_pair, row_number() OVER (PARTITION BY split_unit, label ORDER BY """ + frac("image_id") + """, image_id) rk FROM sf), pr AS (SELECT * FROM pk_ WHERE NOT in_pair OR rk<=16),
+# Sources with odd numbers publish all their datasets as one unit; those with even numbers each as its own.
+PAIRS = "WITH " + SCORED_MANIFEST + """, pu AS (SELECT * REPLACE (CASE WHEN CAST(substring(source_path,9) AS INT)%2=1 THEN split_unit ELSE concat(source_path,'/',dataset) END AS split_unit) FROM sf),
+ mx AS (SELECT split_unit FROM pu GROUP BY 1 HAVING count(DISTINCT label)=2),
+ pr AS (SELECT pu.*, pu.split_unit IN (SELECT split_unit FROM mx) in_pair FROM pu),
  un AS (SELECT split_unit, count(*) n, count(*) FILTER (WHERE label=0) nr, count(*) FILTER (WHERE label=1) nf, avg(d) FILTER (WHERE label=1)-avg(d) FILTER (WHERE label=0) gap,
   avg((d<=0)::INT) FILTER (WHERE label=0) ar, avg((d>0)::INT) FILTER (WHERE label=1) af, avg((d>0)::INT) FILTER (WHERE label=0) fpr,
   avg((file_format='PNG')::INT) FILTER (WHERE label=1)-avg((file_format='PNG')::INT) FILTER (WHERE label=0) pd,
@@ -151,7 +176,9 @@ PAIRS = "WITH " + SCORED_MANIFEST + """, mx AS (SELECT split_unit FROM sf GROUP
 
 
 def paired(spark, sf):
-    return MO.pair_sides(fused_manifest(spark, sf), 16, B.SEED, least_real=30)
+    own = F.concat_ws("/", "source_path", "dataset")
+    unit = F.when(F.substring("source_path", 9, 9).cast("int") % 2 == 1, F.col("split_unit")).otherwise(own)
+    return MO.pair_sides(fused_manifest(spark, sf).withColumn("split_unit", unit))
 
 
 @query("pair_units", PAIRS + " SELECT split_unit, n, nr n_real, nf n_fake, round(gap,6) margin_gap, round(ar,6) acc_real, round(af,6) acc_fake, round(fpr,6) real_fpr, round(pd,6) png_delta, round(lr,6) log_res_ratio FROM uu")
@@ -175,10 +202,10 @@ def _(spark, sf):
     return A.pair_confounds(u).select("against", "n", r6("rho"), "verdict")
 
 
-@query("pair_fpr_flags", PAIRS + DROP + " SELECT split_unit, round(fpr,6) real_fpr, nr n_real FROM uu, dr WHERE nr>=5 AND fpr>0.05 AND CASE WHEN g>0 THEN fpr/g>2 ELSE fpr>0 END")
+@query("pair_fpr_flags", PAIRS + DROP + " SELECT split_unit, round(fpr,6) real_fpr, nr n_real FROM uu, dr WHERE nr>=20 AND fpr>0.05 AND CASE WHEN g>0 THEN fpr/g>2 ELSE fpr>0 END")
 def _(spark, sf):
     p = paired(spark, sf)
-    return A.pair_fpr_flags(A.pair_units(p), A.pair_drop(p), floor=5).select("split_unit", r6("real_fpr"), "n_real")
+    return A.pair_fpr_flags(A.pair_units(p), A.pair_drop(p)).select("split_unit", r6("real_fpr"), "n_real")
 
 
 # ---- interventions ------------------------------------------------------------------------------
@@ -401,17 +428,35 @@ def _(spark, sf):
     return d.select("variant", "stat", r6("auc"), r6("auc_base"), r6("delta"))
 
 
-@query("nuisance_survival")
-def _(spark, sf):
-    """Statistics of every document's word lengths against its three format flags, on folds that keep datasets whole."""
+def _tensors(spark, sf):
+    """Statistics of every document's word lengths as they are and under three variants of the text, its rows on folds that keep
+    datasets whole, and three format flags."""
     m = B.split_manifest(spark, sf, folded=False)
-    lengths = F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+"), F.length)
-    d = B.table(spark, sf, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("image_id"), lengths.alias("a"))
-    stats = A.array_stats(d, "image_id", "a")
+    text = F.coalesce("text", F.lit(""))
+    plain = lambda t: F.regexp_replace(t, "[0-9]", "")
+    joined = lambda t: F.regexp_replace(t, r"(\w)-(\w)", "$1$2")
+    made = {"deploy": text, "no_digits": plain(text), "joined": joined(text), "both": joined(plain(text))}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), F.transform(F.split(t, r"\s+"), F.length).alias("a")) for k, t in made.items()])).alias("s")
+    d = B.table(spark, sf, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("image_id"), each)
+    stats = A.array_stats(d.select(F.struct("image_id", "s.variant").alias("k"), "s.a"), "k", "a").select("k.*", *STATS)
     rows = m.join(W.blocked_folds(m, 3, "dataset").select(F.col("block").alias("dataset"), "fold"), "dataset")
     flags = {"is_png": F.col("file_format") == "PNG", "non_rgb": F.col("pil_mode") != "RGB", "upsampled": F.col("m_eval") > 1}
-    s = A.survival(stats, rows, flags, ["mean", "std", "low", "high", "edge"])
-    return s.select("nuisance", r6("survival_auc"), r6("label_auc"), "unmeasurable", "live", "verdict")
+    return stats, rows, flags
+
+
+STATS = ["mean", "std", "low", "high", "edge"]
+
+
+@query("nuisance_survival")
+def _(spark, sf):
+    stats, rows, flags = _tensors(spark, sf)
+    results, _ = A.tensor_probes(stats, rows, flags, STATS, "deploy", shape=TREES)
+    return A.survival(results, list(flags)).select("nuisance", r6("survival_auc"), r6("label_auc"), "unmeasurable", "live", "verdict")
+
+
+@query("audit_tensor_rows")
+def _(spark, sf):
+    return mode_rows(MO.tensor_rows(*_tensors(spark, sf), STATS, "deploy", shape=TREES))
 
 
 # ---- modes: ledger rows -------------------------------------------------------------------------
@@ -458,9 +503,13 @@ def _(spark, sf):
 @query("audit_pair_rows", " UNION ALL ".join([
     _row("pairs", "P1_fake_drop", "'all'", "''", "drop", '"drop"', "verdict", f"SELECT * FROM ({_S['pair_drop']}), ({PAIRS} SELECT count(*) n FROM pr WHERE in_pair)"),
     _row("pairs", "P2_confound", "'all'", "concat('against=',against)", "rho", "rho", "verdict", f"SELECT * FROM ({_S['pair_confounds']}) WHERE n>=4"),
-    _row("pairs", "P3_unit_fpr", "'all'", "concat('unit=',split_unit)", "real_fpr", "real_fpr", "'warn'", _S["pair_fpr_flags"], "n_real")]))
+    _row("pairs", "P_unit", "'all'", "concat('unit=',split_unit)", "acc_fake", "acc_fake", "verdict",
+         f"SELECT u.*, CASE WHEN f.split_unit IS NULL THEN 'ok' ELSE 'warn' END verdict FROM ({_S['pair_units']}) u LEFT JOIN ({_S['pair_fpr_flags']}) f USING (split_unit)"),
+    _row("pairs", "P3_unit_fpr", "'all'", "concat('unit=',split_unit)", "real_fpr", "real_fpr", "'warn'", _S["pair_fpr_flags"], "n_real"),
+    _row("pairs", "P3_real_fpr", "'all'", "''", "flagged_units", "k", "CASE WHEN k>0 THEN 'warn' ELSE 'ok' END",
+         f"SELECT (SELECT count(*) FROM ({_S['pair_fpr_flags']})) k, ({PAIRS} SELECT count(*) n FROM pr WHERE in_pair) n")]))
 def _(spark, sf):
-    return mode_rows(MO.pair_rows(paired(spark, sf), floor=5))
+    return mode_rows(MO.pair_rows(paired(spark, sf)))
 
 
 @query("audit_intervention_rows", _row("interventions", "I1_flips", "'all'", "concat('intervention=',intervention,',setting=',setting)", "flip_real", "flip_real", "verdict", _S["flip_report"]))

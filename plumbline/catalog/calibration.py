@@ -13,6 +13,7 @@ from plumbline.catalog.base import r6, registrar
 from plumbline.catalog.evaluation import both_views, composed, fused_scored, provenance_rows, SHARES
 from plumbline.catalog.evaluation import BAL, MCC, WEIGHTED, conf, quality
 from plumbline.catalog.sqltext import fused, sigmoid
+from plumbline.session import cut_lineage
 
 Q, SQL, query = registrar()
 
@@ -68,7 +69,13 @@ def _(spark, sf):
 
 
 CAPS = "[CAST(0.001 AS DOUBLE)," + ",".join(f"CAST({q!r} AS DOUBLE)" for q in K.linear(0.2, 0.95, 16) if q > 0.5 + 1e-6) + "]"
-CAPPED = f"""WITH {fused()}, gq AS (SELECT unnest({CAPS}) qm), th AS (SELECT qm, y3, {sigmoid('d')} pf, least(greatest({sigmoid('t/CAST(1.5 AS DOUBLE)-0.4')},CAST(0.001 AS DOUBLE)),qm) qq FROM sc, gq),
+TYPE_PRIOR = 0.3
+TYPE_FIT = f"""f AS (SELECT CASE WHEN y3=2 THEN 1 ELSE 0 END s, t m FROM sc WHERE y3>0), ga AS (SELECT i, {geo(0.25, 8.0, 60)} a FROM (SELECT unnest(range(60)) i)),
+ gb AS (SELECT j, CAST(-6 AS DOUBLE)+7*j/CAST(56 AS DOUBLE) b FROM (SELECT unnest(range(57)) j)),
+ tf AS (SELECT i, a, j, b, s, avg(pow({sigmoid('m/a+b')}-s,2)) e FROM f, ga, gb GROUP BY ALL),
+ tb AS (SELECT i, a, j, b, sum(CASE s WHEN 1 THEN CAST({TYPE_PRIOR} AS DOUBLE) ELSE CAST({1 - TYPE_PRIOR} AS DOUBLE) END*e) br FROM tf GROUP BY ALL),
+ fit AS (SELECT a, b, br FROM tb ORDER BY br, i, j LIMIT 1)"""
+CAPPED = f"""WITH {fused()}, {TYPE_FIT}, gq AS (SELECT unnest({CAPS}) qm), th AS (SELECT qm, y3, {sigmoid('d')} pf, least(greatest({sigmoid('t/a+b')},CAST(0.001 AS DOUBLE)),qm) qq FROM sc, gq, fit),
  c3 AS (SELECT qm, y3, 1-pf p0, pf*(1-qq) p1, pf*qq p2 FROM th), n3 AS (SELECT y3, count(*) n FROM sc GROUP BY 1),
  w3 AS (SELECT c3.*, CASE WHEN p0>=p1 AND p0>=p2 THEN 0 WHEN p1>=p2 THEN 1 ELSE 2 END pd, CASE y3 WHEN 0 THEN CAST(0.5 AS DOUBLE) WHEN 1 THEN CAST(0.35 AS DOUBLE) ELSE CAST(0.15 AS DOUBLE) END/n w FROM c3 JOIN n3 USING (y3)),
  cm AS (SELECT qm, y3, pd, sum(w) w, sum(w*(pow(p0-(y3=0)::INT,2)+pow(p1-(y3=1)::INT,2)+pow(p2-(y3=2)::INT,2))) se FROM w3 GROUP BY ALL),
@@ -80,7 +87,9 @@ CAPPED = f"""WITH {fused()}, gq AS (SELECT unnest({CAPS}) qm), th AS (SELECT qm,
 
 
 def cap_scores(spark, sf):
-    return K.type_cap_scores(fused_scored(spark, sf), 0.3, 1.5, -0.4, "p")
+    rows = fused_scored(spark, sf)
+    fit = cut_lineage(K.fit_type_margin(rows, TYPE_PRIOR))
+    return K.type_cap_scores(rows, TYPE_PRIOR, fit.select("type_temperature").scalar(), fit.select("type_bias").scalar(), "p")
 
 
 @query("type_cap_scores", CAPPED + " SELECT round(qm,6) q_max, round(sc,6) score FROM sco")
@@ -88,11 +97,34 @@ def _(spark, sf):
     return cap_scores(spark, sf).select(r6("q_max"), r6("score"))
 
 
-@query("type_cap_choice", CAPPED + ", bb AS (SELECT (SELECT sc FROM sco WHERE qm=0.001) b, qm, sc FROM sco WHERE qm<>0.001 ORDER BY round(sc,9) DESC, qm LIMIT 1) SELECT round(CASE WHEN sc>b THEN qm ELSE 0.001 END,6) q_max, round(b,6) score_before, round(greatest(sc,b),6) score_after FROM bb")
+CHOSEN = ", bb AS (SELECT (SELECT sc FROM sco WHERE qm=0.001) b0, qm, sc FROM sco WHERE qm<>0.001 ORDER BY round(sc,9) DESC, qm LIMIT 1), ch AS (SELECT CASE WHEN sc>b0 THEN qm ELSE CAST(0.001 AS DOUBLE) END q_max, b0 score_before, greatest(sc,b0) score_after FROM bb)"
+
+
+@query("type_cap_choice", CAPPED + CHOSEN + " SELECT round(q_max,6) q_max, round(score_before,6) score_before, round(score_after,6) score_after FROM ch")
 def _(spark, sf):
     return K.pick_cap(cap_scores(spark, sf)).select(r6("q_max"), r6("score_before"), r6("score_after"))
 
 
+@query("type_posterior_chain", CAPPED + CHOSEN + """ SELECT round(a,6) type_temperature, round(b,6) type_bias, round(q_max,6) q_max, round(br,6) brier_after, round(score_before,6) score_before, round(score_after,6) score_after, false pinned FROM fit, ch""")
+def _(spark, sf):
+    r = K.fit_type_posterior(fused_scored(spark, sf), TYPE_PRIOR, "p")
+    return r.select(*[r6(c) for c in ("type_temperature", "type_bias", "q_max", "brier_after", "score_before", "score_after")], "pinned")
+
+
+_STAGES = f"""SELECT 'raw' stage, y3, {sigmoid('d')} pf, {sigmoid('t')} q FROM sc UNION ALL SELECT 'calibrated', y3, {sigmoid('d')}, least(greatest({sigmoid('t/a+b')},CAST(0.001 AS DOUBLE)),q_max) FROM sc, fit, ch
+ UNION ALL SELECT 'pinned', y3, {sigmoid('d')}, CAST(0.001 AS DOUBLE) FROM sc"""
+
+
+@query("type_effects", CAPPED + CHOSEN + f""", st AS ({_STAGES}), s3 AS (SELECT stage, y3, 1-pf p0, pf*(1-q) p1, pf*q p2 FROM st), s4 AS (SELECT *, CASE WHEN p0>=p1 AND p0>=p2 THEN 0 WHEN p1>=p2 THEN 1 ELSE 2 END told FROM s3)
+ SELECT stage, {', '.join(f"round(avg((told={k})::INT) FILTER (WHERE y3={k}),6) recall_{n}" for k, n in enumerate(('real', 'synthetic', 'semisynthetic')))}, count(*) FILTER (WHERE told=2) semi_predicted FROM s4 GROUP BY 1""")
+def _(spark, sf):
+    rows = fused_scored(spark, sf)
+    fit = cut_lineage(K.fit_type_posterior(rows, TYPE_PRIOR, "p"))
+    of = lambda c: fit.select(c).scalar()
+    e = K.type_effects(rows, of("type_temperature"), of("type_bias"), of("q_max"), "p")
+    return e.select("stage", r6("recall_real"), r6("recall_synthetic"), r6("recall_semisynthetic"), "semi_predicted")
+
+
 FOLDS = """g AS (SELECT DISTINCT dataset, y FROM sc), fo AS (SELECT dataset, arg_min(f,y) fold FROM (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY dataset)-1)%2 f FROM g) GROUP BY 1),
  vf AS (SELECT 1-fold fold, view, y, d FROM v JOIN fo USING (dataset))"""
 XFIT = f"WITH {BOTH}, {GRID}, {FOLDS}, {_fit('fold', 'vf')}, {_fit('', 'v', 'fl')}, rt AS (SELECT max(temperature)/min(temperature) ra FROM ft), fin AS (SELECT fold, ra, ft.temperature fitted, fl.temperature pooled, CASE WHEN ra>2 THEN fl.temperature ELSE ft.temperature END temperature FROM ft, fl, rt)"

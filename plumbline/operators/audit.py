@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import ranking as R
 from plumbline.functions import scalar as S
+from plumbline.operators import boosting as T
 from plumbline.operators import ledger as L
 from plumbline.session import cut_lineage
 
+# The metadata columns that are probed, and the accuracies that call a type weak or strong.
 NUMERIC = ("width", "height", "min_side", "max_side", "aspect", "megapixels", "bytes_per_pixel", "file_bytes", "m_eval")
 CATEGORICAL = ("ext", "file_format", "pil_mode", "source_format")
 WEAK_BELOW, STRONG_FROM = 0.80, 0.92
@@ -56,6 +58,31 @@ def probe_frame(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[s
     return rows.withColumn("features", array_to_vector(F.array(*nums, *hots)))
 
 
+def probe_features(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], top_k: int = 12) -> dict[str, Column]:
+    """Features of boosted probes by name: numbers as they are, and whether a category is one of its column's top values. The
+    vocabulary, at most top_k values per column, is the only thing the driver sees."""
+    vocab = [(r["feature"], r["value"]) for r in R.top_values(rows, categorical, top_k).orderBy("feature", "place").collect()]
+    hots = {f"{c}={v}": (F.col(c).cast("string") == v).cast("int") for c, v in vocab}
+    return {c: F.col(c).cast("double") for c in numeric if c in rows.columns} | {k: F.coalesce(c, F.lit(0)) for k, c in hots.items()}
+
+
+def probe_results(scored: DataFrame, targets: Mapping[str, str]) -> DataFrame:
+    """(probe, n, auc, coverage, ceiling, unmeasurable) of all probes ``oof_<probe>`` at once, each against its target column.
+
+    Coverage is the share of rows with a target that were scored; an undefined AUC or coverage below 99% is unmeasurable.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("probe"), F.col(f"`oof_{k}`").alias("oof"), F.col(y).cast("int").alias("y")) for k, y in targets.items()])).alias("s")
+    rows = scored.select(each).select("s.*").filter("y IS NOT NULL")
+    cover = rows.groupBy("probe").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("oof").isNotNull().cast("double")).alias("coverage"))
+    out = cover.join(R.rank_auc(rows, ["probe"], "oof", "y").select("probe", "auc"), "probe", "left")
+    return out.withColumn("ceiling", S.auc_ceiling(F.col("auc"))).withColumn("unmeasurable", F.col("auc").isNull() | (F.col("coverage") < 0.99))
+
+
+def probe_bucket(threshold: str) -> Column:
+    """Verdict of a row of ``probe_results``: what cannot be measured cannot pass and warns."""
+    return F.when(F.col("unmeasurable"), "warn").otherwise(L.bucket(F.col("auc"), threshold))
+
+
 #: Trees of a boosted probe.
 PROBE_ROUNDS = 200
 
@@ -352,19 +379,40 @@ def variant_deltas(aucs: DataFrame, base: str) -> DataFrame:
     return j.select("variant", "stat", "auc", "auc_base", (F.col("auc") - F.col("auc_base")).alias("delta"))
 
 
-def survival(stats: DataFrame, rows: DataFrame, flags: Mapping[str, Column], numeric: Sequence[str], folds: int = 3) -> DataFrame:
-    """Can statistics of an item still tell a nuisance flag, and does the flag tell the label? Both means
-    a live shortcut. One out-of-fold probe per flag; ``stats`` and ``rows`` share image_id, rows have
-    label and fold."""
-    out = None
-    for name, flag in flags.items():
-        f = rows.withColumn("target", flag.cast("int"))
-        frame = _numeric_frame(stats.join(f.select("image_id", "label", "fold", "target"), "image_id"), numeric)
-        v = probe_verdict(oof_scores(frame, "target", "fold", folds), "target", "survival_auc")
-        lab = R.rank_auc(f, [], "target", "label").select(R.folded(F.col("auc"))).scalar()
-        live = ~F.col("unmeasurable") & (F.col("auc") > L.limits("survival_auc")[0]) & (lab > L.limits("metadata_feature_auc")[0])
-        row = v.select(F.lit(name).alias("nuisance"), F.col("auc").alias("survival_auc"), lab.alias("label_auc"), "unmeasurable",
-                       F.coalesce(live, F.lit(False)).alias("live"))
-        row = row.withColumn("verdict", F.when(F.col("live") | F.col("unmeasurable"), "warn").otherwise("ok"))
-        out = row if out is None else out.unionByName(row)
-    return out
+def tensor_probes(stats: DataFrame, rows: DataFrame, flags: Mapping[str, Column], names: Sequence[str], base: str, folds: int = 3,
+                  shape: T.Shape = T.Shape()) -> tuple[DataFrame, DataFrame]:
+    """(results, marginals) of everything that statistics of the input can tell, from one boosted fit.
+
+    ``stats(image_id, variant, <names>)`` has each item's statistics under every variant of the input, ``base`` being the one in use;
+    ``rows`` has image_id, label and fold. Probes: ``label`` and every flag on the base statistics, ``label__<variant>`` on a variant's own.
+    Results are those of ``probe_results`` with label_auc, the folded AUC of the flag itself; marginals are (stat, n, auc). A flag
+    of one value is left out by the AUC it then lacks. Items without statistics of some variant are scored with missing values.
+    """
+    variants = sorted(r["variant"] for r in stats.select("variant").distinct().collect())
+    wide = stats.groupBy("image_id").agg(*[F.max(F.when(F.col("variant") == v, F.col(n))).alias(f"{v}:{n}") for v in variants for n in names])
+    r = rows.select("image_id", "label", "fold", *[c.cast("int").alias(f"is__{k}") for k, c in flags.items()]).join(wide, "image_id")
+    features = {f"{v}:{n}": F.col(f"`{v}:{n}`") for v in variants for n in names}
+    of = lambda v: tuple(f"{v}:{n}" for n in names)
+    targets = {"label": "label", **{k: f"is__{k}" for k in flags}, **{f"label__{v}": "label" for v in variants if v != base}}
+    groups = {k: T.Group(F.col(f"`{y}`"), F.col("fold"), of(k[7:] if k.startswith("label__") else base), folds) for k, y in targets.items()}
+    kept = ["label", *[f"is__{k}" for k in flags]]
+    scored = T.out_of_fold(r, features, groups, kept, shape)
+    results = probe_results(scored, {k: f"`{y}`" for k, y in targets.items()})
+    flag = F.explode(F.array(*[F.struct(F.lit(k).alias("probe"), F.col(f"`is__{k}`").alias("on")) for k in flags])).alias("s") if flags else None
+    if flags:
+        own = R.rank_auc(scored.select("label", flag).select("label", "s.*"), ["probe"], "on", "label").select("probe", R.folded(F.col("auc")).alias("label_auc"))
+        results = results.join(own, "probe", "left")
+    else:
+        results = results.withColumn("label_auc", F.lit(None).cast("double"))
+    plain = stats.filter(F.col("variant") == base).drop("variant")
+    return results, stat_aucs(plain, rows.select("image_id", "label"), "image_id", names)
+
+
+def survival(results: DataFrame, flags: Sequence[str]) -> DataFrame:
+    """From ``tensor_probes``: can statistics of an item still tell a nuisance flag, and does the flag tell the label? Both
+    means a live shortcut."""
+    r = results.filter(F.col("probe").isin(list(flags)))
+    live = ~F.col("unmeasurable") & (F.col("auc") > L.limits("survival_auc")[0]) & (F.col("label_auc") > L.limits("metadata_feature_auc")[0])
+    r = r.withColumn("live", F.coalesce(live, F.lit(False)))
+    return r.select(F.col("probe").alias("nuisance"), "n", F.col("auc").alias("survival_auc"), "label_auc", "coverage", "unmeasurable", "live",
+                    F.when(F.col("live") | F.col("unmeasurable"), "warn").otherwise("ok").alias("verdict"))

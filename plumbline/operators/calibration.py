@@ -107,9 +107,13 @@ def fit_spread_temperature(rows: DataFrame, *, y: str = "y", n_t: int = 80, n_k:
 
 # ---- type posterior -----------------------------------------------------------------------------
 
+# The grid of temperatures and biases of the type margin, the bias of a pinned posterior, the caps.
+TYPE_TEMPERATURES, TYPE_BIASES, PINNED_BIAS, TYPE_CAPS = (0.25, 8.0, 60), (-6.0, 1.0, 57), -3.0, (0.2, 0.95, 16)
+
+
 def fit_type_margin(rows: DataFrame, semi_prior: float, y3: str = "y3", d2: str = "d2", q_min: float = 1e-3) -> DataFrame:
-    """(T2, b2) least in prior-corrected Brier of semisynthetic among fakes, on a 60 x 57 grid."""
-    ts, bs = geometric(0.25, 8.0, 60), linear(-6.0, 1.0, 57)
+    """(T2, b2) least in prior-corrected Brier of semisynthetic among fakes, on a grid."""
+    ts, bs = geometric(*TYPE_TEMPERATURES), linear(*TYPE_BIASES)
     f = rows.filter(F.col(y3) > 0).select(F.when(F.col(y3) == 2, 1.0).otherwise(0.0).alias("s"), F.col(d2).alias("m"))
     g = f.select("s", "m", F.posexplode(F.array(*[F.lit(t) for t in ts])).alias("i", "t"))
     g = g.select("s", (F.col("m") / F.col("t")).alias("m"), "i", "t", F.posexplode(F.array(*[F.lit(b) for b in bs])).alias("j", "b"))
@@ -120,24 +124,57 @@ def fit_type_margin(rows: DataFrame, semi_prior: float, y3: str = "y3", d2: str
     both = f.agg(F.count_distinct("s")).scalar() > 1
     m = b.agg(F.min(F.struct("brier", "i", "j", "t", "b")).alias("m"))
     # With one of the two classes missing there is nothing to fit: the posterior stays pinned.
-    return m.select(F.when(both, F.col("m.t")).otherwise(1.0).alias("type_temperature"), F.when(both, F.col("m.b")).otherwise(0.0).alias("type_bias"),
+    return m.select(F.when(both, F.col("m.t")).otherwise(1.0).alias("type_temperature"), F.when(both, F.col("m.b")).otherwise(PINNED_BIAS).alias("type_bias"),
                     F.lit(before).alias("brier_before"), F.when(both, F.col("m.brier")).otherwise(before).alias("brier_after"), (~both).alias("pinned"))
 
 
-def type_cap_scores(rows: DataFrame, semi_prior: float, temperature: float, bias: float, p_fake: str, y3: str = "y3", d2: str = "d2",
+def type_cap_scores(rows: DataFrame, semi_prior: float, temperature: float | Column, bias: float | Column, p_fake: str, y3: str = "y3", d2: str = "d2",
                     q_min: float = 1e-3, allow_suppression: bool = False, deploy_p_fake: float = 0.5) -> DataFrame:
-    """Three-class score at every cap of the type posterior; cap = q_min is the pinned posterior.
+    """Three-class score at every cap of the type posterior; cap = q_min is the pinned posterior. Temperature and bias are numbers
+    or single values of a fit.
 
     Caps up to one half make the third class unreachable and are searched only on request.
     """
-    caps = [q for q in linear(0.2, 0.95, 16) if allow_suppression or q > 0.5 + 1e-6]
+    caps = [q for q in linear(*TYPE_CAPS) if allow_suppression or q > 0.5 + 1e-6]
     w = E.share_weights(rows, y3, E.three_class_targets(semi_prior, deploy_p_fake))
     g = w.withColumn("q_max", F.explode(F.array(*[F.lit(q) for q in [q_min, *caps]])))
-    q = S.clamp(S.sigmoid(F.col(d2) / F.lit(temperature) + F.lit(bias)), q_min, F.col("q_max"))
+    q = S.clamp(S.sigmoid(F.col(d2) / _value(temperature) + _value(bias)), q_min, F.col("q_max"))
     g = g.withColumn("_probs", S.compose_three(F.col(p_fake), q))
     return E.three_class_scores(g, ["q_max"], y3, "_probs", "weight")
 
 
+def _value(x: float | Column) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def type_effects(rows: DataFrame, temperature: float | Column, bias: float | Column, q_max: float | Column, p_fake: str, y3: str = "y3", d2: str = "d2",
+                 q_min: float = 1e-3) -> DataFrame:
+    """What calibration does to each class: (stage, recall_real, recall_synthetic, recall_semisynthetic, semi_predicted) for the type
+    margin as it is (raw), fitted and capped (calibrated), and held at q_min (pinned). A class without rows has no recall."""
+    raw, fitted = S.sigmoid(F.col(d2)), S.clamp(S.sigmoid(F.col(d2) / _value(temperature) + _value(bias)), q_min, _value(q_max))
+    stages = F.explode(F.array(*[F.struct(F.lit(k).alias("stage"), q.alias("q")) for k, q in (("raw", raw), ("calibrated", fitted), ("pinned", F.lit(q_min)))])).alias("s")
+    r = rows.select(y3, p_fake, stages).select(F.col(y3).alias("y"), "s.stage", S.compose_three(F.col(p_fake), F.col("s.q")).alias("p"))
+    r = r.withColumn("told", F.array_position("p", F.array_max("p")) - 1)  # the first of equal ones
+    recall = [F.avg(F.when(F.col("y") == k, (F.col("told") == k).cast("double"))).alias(f"recall_{n}") for k, n in enumerate(S.KINDS)]
+    return r.groupBy("stage").agg(*recall, F.count(F.when(F.col("told") == 2, 1)).alias("semi_predicted"))
+
+
+def fit_type_posterior(rows: DataFrame, semi_prior: float, p_fake: str, y3: str = "y3", d2: str = "d2", q_min: float = 1e-3,
+                       allow_suppression: bool = False, deploy_p_fake: float = 0.5) -> DataFrame:
+    """One row: the fitted temperature and bias of the type margin, then the cap that they lead to, with scores and Briers before and after.
+
+    Where fakes of one type only are there, nothing is fitted and the posterior stays pinned: cap q_min, scores equal.
+    """
+    fit = cut_lineage(fit_type_margin(rows, semi_prior, y3, d2, q_min))
+    of = lambda c: fit.select(c).scalar()
+    scores = type_cap_scores(rows, semi_prior, of("type_temperature"), of("type_bias"), p_fake, y3, d2, q_min, allow_suppression, deploy_p_fake)
+    cap = pick_cap(scores, q_min)
+    pinned = of("pinned")
+    return cap.select(of("type_temperature").alias("type_temperature"), of("type_bias").alias("type_bias"), F.when(pinned, q_min).otherwise(F.col("q_max")).alias("q_max"),
+                      of("brier_before").alias("brier_before"), of("brier_after").alias("brier_after"), "score_before",
+                      F.when(pinned, F.col("score_before")).otherwise(F.col("score_after")).alias("score_after"), pinned.alias("pinned"))
+
+
 def pick_cap(scores: DataFrame, q_min: float = 1e-3) -> DataFrame:
     """Best cap when it beats the pinned posterior, else the pinned one; the smallest cap on ties, and
     scores that differ in the tenth decimal are a tie, so that summation order decides nothing."""

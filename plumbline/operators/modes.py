@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from plumbline import schemas
 from plumbline.functions import ranking as R
 from plumbline.operators import audit as A
+from plumbline.operators import boosting as T
 from plumbline.operators import evaluation as E
 from plumbline.operators import ledger as L
 from plumbline.operators import sampling as W
 from plumbline.operators import units as U
+from plumbline.session import cut_lineage
 
 SUITE_VERSION = 1
 COLUMNS = ("mode", "test", "split", "key", "key_str", "n", "verdict", "headline", "value", "higher_is_bad", "metrics")
@@ -54,6 +56,101 @@ def metadata_rows(rows: DataFrame, numeric: Sequence[str] = A.NUMERIC, categoric
                  metrics=["mi_bits"])])
 
 
+VAL_SPLITS = ("val_id", "val_xgen", "val_stress")
+
+
+def metadata_probes(rows: DataFrame, numeric: Sequence[str] = A.NUMERIC, categorical: Sequence[str] = A.CATEGORICAL, *, block: str = "dataset",
+                    folds: int = 5, seed: int = 34, shape: T.Shape = T.Shape()) -> DataFrame:
+    """One boosted fit for all probes of the metadata mode, its rows scored: keep columns split and label, and ``oof_`` columns.
+
+    ``blocked`` keeps blocks whole, ``naive`` doesn't, ``val`` learns on train and scores the validation splits, and where both
+    category columns are there, ``raw`` and ``fixed`` see one of them beside the rest. Rows without a block are not probed.
+    """
+    blocks = W.blocked_folds(rows, folds, block).select(F.col("block").alias(block), F.col("fold").alias("_blocked"))
+    r = W.naive_folds(rows, folds, seed).withColumnRenamed("fold", "_naive").join(blocks, block)
+    both = {"content_category", "content_category_fixed"} <= set(rows.columns)
+    plain = A.probe_features(rows, numeric, categorical)
+    features, sets = dict(plain), {}
+    for name, column in (("raw", "content_category"), ("fixed", "content_category_fixed")) if both else ():
+        own = A.probe_features(rows, [], [column])
+        features |= own
+        sets[name] = (*plain, *own)
+    y, blocked = F.col("label"), F.col("_blocked")
+    val = F.when(F.col("split") == "train", 1).when(F.col("split").isin(*VAL_SPLITS), 0)
+    groups = {"blocked": T.Group(y, blocked, tuple(plain), folds), "naive": T.Group(y, F.col("_naive"), tuple(plain), folds),
+              "val": T.Group(y, val, tuple(plain), 1), **{k: T.Group(y, blocked, f, folds) for k, f in sets.items()}}
+    return T.out_of_fold(r, features, groups, ["split", "label"], shape)
+
+
+def metadata_probe_rows(scored: DataFrame) -> DataFrame:
+    """Ledger rows of ``metadata_probes``: M1 the label from metadata across blocks, M3 what memory of blocks adds, M4 what the validation
+    splits inherit, M6 what corrected categories change. Undefined measurements warn in M1 and are left out elsewhere."""
+    names = [c[4:] for c in scored.columns if c.startswith("oof_")]
+    res = A.probe_results(scored, {k: "label" for k in names if k != "val"})
+    of = lambda k, c="auc": F.max(F.when(F.col("probe") == k, F.col(c)))
+    wide = cut_lineage(res.agg(F.max("n").alias("n"), *[of(k).alias(f"auc_{k}") for k in names if k != "val"]))
+    m1 = res.filter("probe = 'blocked'")
+    m3 = wide.withColumn("memorisation_gap", F.col("auc_naive") - F.col("auc_blocked"))
+    val = R.rank_auc(scored.filter(F.col("split").isin(*VAL_SPLITS)), ["split"], "oof_val", "label").filter("auc IS NOT NULL").withColumnRenamed("auc", "auc_val")
+    m4 = val.withColumn("auc_blocked", wide.select("auc_blocked").scalar()).withColumn("excess", F.col("auc_val") - F.col("auc_blocked"))
+    parts = [
+        measured(m1, "metadata", "M1_metadata_probe", "auc", A.probe_bucket("metadata_auc"), metrics=["ceiling", "coverage"]),
+        measured(m3.filter("memorisation_gap IS NOT NULL"), "metadata", "M3_blocking_gap", "memorisation_gap", "ok", metrics=["auc_blocked", "auc_naive"]),
+        measured(m4.filter("excess IS NOT NULL"), "metadata", "M4_val_inheritance", "excess", L.bucket(F.col("excess"), "val_inherit"), split=F.col("split"),
+                 metrics=["auc_val", "auc_blocked"])]
+    if "fixed" in names:
+        m6 = wide.withColumn("delta", F.col("auc_fixed") - F.col("auc_raw"))
+        parts.append(measured(m6.filter("delta IS NOT NULL"), "metadata", "M6_override_efficacy", "delta", "ok", metrics=["auc_raw", "auc_fixed"]))
+    return _united(parts)
+
+
+def error_probe(rows: DataFrame, numeric: Sequence[str] = A.NUMERIC, categorical: Sequence[str] = A.CATEGORICAL, *, block: str = "dataset", folds: int = 5,
+                splits: Sequence[str] = (), shape: T.Shape = T.Shape()) -> DataFrame:
+    """(split, wrong, oof_wrong, and ``oof_wrong_<split>`` for each of ``splits``): are the classifier's errors readable from metadata?
+
+    ``rows`` has margin, label and split. One boosted fit; a split's own probe sees rows of that split only, on the same folds of blocks.
+    """
+    r = rows.withColumn("wrong", ((F.col("margin") > 0) != (F.col("label") == 1)).cast("int"))
+    r = r.join(W.blocked_folds(rows, folds, block).select(F.col("block").alias(block), F.col("fold").alias("_blocked")), block)
+    features = A.probe_features(rows, numeric, categorical)
+    wrong, fold = F.col("wrong"), F.col("_blocked")
+    groups = {"wrong": T.Group(wrong, fold, tuple(features), folds)}
+    groups |= {f"wrong_{s}": T.Group(F.when(F.col("split") == s, wrong), fold, tuple(features), folds) for s in splits}
+    return T.out_of_fold(r, features, groups, ["split", "wrong"], shape)
+
+
+def error_rows(scored: DataFrame, splits: Sequence[str], least: int = 30) -> DataFrame:
+    """Ledger rows of ``error_probe`` (S8) for splits with ``least`` right and wrong rows or more."""
+    cols = {f"wrong_{s}": f"_{s}" for s in splits}
+    own = scored.select("*", *[F.when(F.col("split") == s, F.col("wrong")).alias(f"_{s}") for s in splits])
+    res = A.probe_results(own, {k: f"`{c}`" for k, c in cols.items()}).withColumn("split", F.expr("substr(probe, 7)"))
+    size = scored.groupBy("split").agg(F.count(F.lit(1)).alias("_n"), F.sum("wrong").alias("_w"), F.avg(F.col("wrong").cast("double")).alias("error_rate"))
+    res = res.join(size, "split").filter((F.col("_w") >= least) & (F.col("_n") - F.col("_w") >= least))
+    return measured(res, "slices", "S8_error_predictability", "auc", A.probe_bucket("error_pred_auc"), split=F.col("split"), metrics=["error_rate", "coverage"])
+
+
+#: Statistics that the row on single ones tells of.
+TOP_STATS = 8
+
+
+def tensor_rows(stats: DataFrame, rows: DataFrame, flags: Mapping[str, Column], names: Sequence[str], base: str, folds: int = 3,
+                shape: T.Shape = T.Shape()) -> DataFrame:
+    """Ledger rows of the tensors mode: T1 the label from statistics of the input, T2 nuisance flags that survive in them and
+    tell the label, T3 what each variant of the input changes in T1, T4 the statistics that tell most alone."""
+    results, single = A.tensor_probes(stats, rows, flags, names, base, folds, shape)
+    results = cut_lineage(results)
+    t1 = results.filter("probe = 'label'")
+    t2 = A.survival(results, list(flags)).filter("label_auc IS NOT NULL")
+    t3 = results.filter(F.startswith("probe", F.lit("label__"))).withColumn("auc_deploy", t1.select("auc").scalar())
+    t3 = t3.withColumn("delta", F.col("auc") - F.col("auc_deploy"))
+    t4 = single.filter("auc IS NOT NULL").orderBy(F.desc("auc"), "stat").limit(TOP_STATS)
+    return _united([
+        measured(t1, "tensors", "T1_rendered_probe", "auc", A.probe_bucket("tensor_auc"), split="sample", metrics=["ceiling", "coverage"]),
+        measured(t2, "tensors", "T2_survival", "survival_auc", F.col("verdict"), split="sample", key={"nuisance": F.col("nuisance")}, metrics=["label_auc", "coverage"]),
+        measured(t3, "tensors", "T3_laundering_price", "auc", "ok", split="sample", key={"variant": F.expr("substr(probe, 8)")}, metrics=["auc_deploy", "delta"]),
+        measured(t4, "tensors", "T4_per_stat_auc", "auc", "ok", split="sample", key={"stat": F.col("stat")})])
+
+
 def slice_rows(rows: DataFrame, floor: int = 50) -> DataFrame:
     """Scored rows by split: format and mode nuisance on reals, resolution, category gap, datasets, kinds."""
     flags = {"is_png": F.upper("file_format") == "PNG", "non_rgb": F.col("pil_mode") != "RGB"}
@@ -77,22 +174,28 @@ def slice_rows(rows: DataFrame, floor: int = 50) -> DataFrame:
         measured(kinds, "slices", "S5_kind", "deficit", F.col("verdict"), split=F.col("split"), metrics=["acc_real", "acc_synthetic", "acc_semisynthetic"])])
 
 
-def pair_sides(rows: DataFrame, cap: int, seed: int, least_real: int = 1) -> DataFrame:
-    """Rows of mixed units, capped per side, as in_pair; every row of another unit outside."""
+def pair_sides(rows: DataFrame, cap: int | None = None, seed: int = 34, least_real: int = 1) -> DataFrame:
+    """All rows of mixed units, or ``cap`` a side, as in_pair; every row of another unit outside."""
     mixed = U.mixed_units(rows).filter(F.col("real_rows") >= least_real)
     return W.cap_sides(rows, mixed, cap, seed)
 
 
 def pair_rows(paired: DataFrame, floor: int = 20) -> DataFrame:
-    """Fakes inside mixed units against outside, confounds of the units' margin gap, units with too many false alarms."""
+    """Fakes inside mixed units against outside (P1), every unit's numbers (P_unit), confounds of the units' margin gap (P2), units with
+    too many false alarms (P3), and one P3 row for all units, which is there when none is flagged as well."""
     counts = paired.agg(F.count(F.when(F.col("in_pair"), 1)).alias("n"))
     drop = A.pair_drop(paired)
-    units = A.pair_units(paired)
-    flagged = A.pair_fpr_flags(units, drop, floor)
+    units = cut_lineage(A.pair_units(paired))
+    flagged = cut_lineage(A.pair_fpr_flags(units, drop, floor))
+    judged = units.join(flagged.select("split_unit", F.lit("warn").alias("_flag")), "split_unit", "left")
+    overall = flagged.agg(F.count(F.lit(1)).alias("flagged_units")).withColumn("n", counts.scalar()).withColumn("global_fpr", drop.select("global_fpr").scalar())
     return _united([
         measured(drop.withColumn("n", counts.scalar()), "pairs", "P1_fake_drop", "drop", F.col("verdict"), metrics=["acc_in", "acc_out", "global_fpr"]),
+        measured(judged, "pairs", "P_unit", "acc_fake", F.coalesce("_flag", F.lit("ok")), key={"unit": F.col("split_unit")}, higher_is_bad=False,
+                 metrics=["margin_gap", "acc_real", "real_fpr", "png_delta", "log_res_ratio"]),
         measured(A.pair_confounds(units), "pairs", "P2_confound", "rho", F.col("verdict"), key={"against": F.col("against")}),
-        measured(flagged, "pairs", "P3_unit_fpr", "real_fpr", "warn", key={"unit": F.col("split_unit")}, n="n_real")])
+        measured(flagged, "pairs", "P3_unit_fpr", "real_fpr", "warn", key={"unit": F.col("split_unit")}, n="n_real"),
+        measured(overall, "pairs", "P3_real_fpr", "flagged_units", F.when(F.col("flagged_units") > 0, "warn").otherwise("ok"), metrics=["global_fpr"])])
 
 
 def intervention_rows(before: DataFrame, after: DataFrame, key: str, evidence_safe: Sequence[str] = ()) -> DataFrame:

@@ -45,10 +45,13 @@ def random_subset(rows: DataFrame, n: int, seed: int, key: str = "image_id") ->
     return r.orderBy("_u", key).limit(n).drop("_u")
 
 
-def cap_sides(rows: DataFrame, mixed: DataFrame, cap: int, seed: int) -> DataFrame:
-    """Rows of mixed units, at most ``cap`` per side, marked in_pair; rows of other units marked out."""
+def cap_sides(rows: DataFrame, mixed: DataFrame, cap: int | None, seed: int) -> DataFrame:
+    """Rows of mixed units, at most ``cap`` per side if there is a cap, marked in_pair; rows of other units marked out."""
     r = small_join(rows, mixed.select("split_unit", F.lit(True).alias("in_pair")), ["split_unit"])
-    r = r.withColumn("in_pair", F.coalesce("in_pair", F.lit(False))).withColumn("_u", S.stable_fraction(F.col("image_id"), seed))
+    r = r.withColumn("in_pair", F.coalesce("in_pair", F.lit(False)))
+    if cap is None:
+        return r
+    r = r.withColumn("_u", S.stable_fraction(F.col("image_id"), seed))
     cuts = R.quota_cuts(r.filter("in_pair"), ["split_unit", "label"], "_u", "image_id", cap)
     j = R.up_to_cut(r, cuts, ["split_unit", "label"], "_u", "image_id")
     return j.filter(~F.col("in_pair") | F.col("kept")).drop("_u", "kept")

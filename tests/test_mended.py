@@ -125,7 +125,7 @@ def test_crossfit_falls_back(spark):
 
 def test_type_fit_without_one_class_stays_pinned(spark):
     r = K.fit_type_margin(margins(spark), 0.2).first()
-    assert r.pinned and (r.type_temperature, r.type_bias) == (1.0, 0.0) and r.brier_after == r.brier_before
+    assert r.pinned and (r.type_temperature, r.type_bias) == (1.0, -3.0) and r.brier_after == r.brier_before
 
 
 def test_scenario_pool_is_full_without_inverted_scores(spark):
