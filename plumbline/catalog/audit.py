@@ -12,6 +12,7 @@ from plumbline.operators import boosting as T
 from plumbline.operators import ingest as I
 from plumbline.operators import ledger as L
 from plumbline.operators import modes as MO
+from plumbline.operators import pixels as P
 from plumbline.operators import sampling as W
 from plumbline.sources import metadata as MD
 from plumbline.catalog.base import r6, registrar
@@ -408,6 +409,35 @@ def _(spark, sf):
     return A.stat_aucs(s, lab, "vec_id", A.GRID_STATS).select("stat", "n", r6("auc"))
 
 
+# Three channels from every vector: its numbers scaled to 0..255, from another place on for each channel, on sides of 8 and of 16.
+_SHADE = "CAST(least(greatest(floor(128+60*CAST(embedding[({p}*{m}+{s})%64+1] AS DOUBLE)),0),255) AS DOUBLE)"
+_PX = lambda side, m: (f"SELECT vec_id, {side} side, p//{side} y, p%{side} x, {_SHADE.format(p='p', m=m, s=0)} r, {_SHADE.format(p='p', m=m, s=21)} g, {_SHADE.format(p='p', m=m, s=42)} b"
+                       f" FROM embeddings, unnest(range({side * side})) t(p)")
+_WAVE = lambda side: ",".join(f"({side},{u},{v},CAST({float(r)!r} AS DOUBLE))" for (u, v), r in P.np.ndenumerate(P.frequencies(side)))
+PIXELS = f"""px AS ({_PX(8, 1)} UNION ALL {_PX(16, 5)}), l AS (SELECT *, 0.299::DOUBLE*r+0.587::DOUBLE*g+0.114::DOUBLE*b sc, (greatest(r,g,b)-least(r,g,b))/255 sat FROM px),
+ wv(side,u,v,f) AS (VALUES {_WAVE(8)},{_WAVE(16)}),
+ pw AS (SELECT l.vec_id, l.side, f, pow(sum(sc/255*cos(2*pi()*((u*y+v*x)%l.side)/l.side)),2)+pow(sum(sc/255*sin(2*pi()*((u*y+v*x)%l.side)/l.side)),2) p FROM l JOIN wv USING (side) GROUP BY l.vec_id, l.side, u, v, f),
+ fb AS (SELECT vec_id, side, {', '.join(f"ln(1+coalesce(avg(p) FILTER (WHERE f>={lo!r}::DOUBLE AND f<{hi!r}::DOUBLE),0)) fft_band_{k}" for k, (lo, hi) in enumerate(zip(P.BAND_ENDS, P.BAND_ENDS[1:], strict=False)))},
+  ln(1+coalesce(sum(p) FILTER (WHERE f>{P.HIGH_FROM}),0)/greatest(coalesce(sum(p) FILTER (WHERE f>0 AND f<={P.LOW_TO}),0),1e-9)) hf_lf_ratio FROM pw GROUP BY 1,2),
+ sp AS (SELECT a.vec_id, a.side, 'h' k, (b.x%8=0) e, abs(b.sc-a.sc)/255 d FROM l a JOIN l b ON a.vec_id=b.vec_id AND a.side=b.side AND a.y=b.y AND b.x=a.x+1
+  UNION ALL SELECT a.vec_id, a.side, 'v', (b.y%8=0), abs(b.sc-a.sc)/255 FROM l a JOIN l b ON a.vec_id=b.vec_id AND a.side=b.side AND a.x=b.x AND b.y=a.y+1),
+ sk AS (SELECT vec_id, side, k, avg(d) FILTER (WHERE e)/greatest(avg(d) FILTER (WHERE NOT e),1e-9) bl, avg(d) m FROM sp GROUP BY ALL), sd AS (SELECT vec_id, side, avg(bl) blockiness, avg(m) edge_density FROM sk GROUP BY ALL),
+ hs AS (SELECT vec_id, side, least(floor(sc*32/255),31) lv, count(*)/CAST(max(side)*max(side) AS DOUBLE) q FROM l GROUP BY ALL), en AS (SELECT vec_id, side, -sum(q*log2(q)) hist_entropy FROM hs GROUP BY ALL),
+ ch AS (SELECT vec_id, side, {', '.join(f"avg({c}/255) mean_{c}, stddev_samp({c}/255) std_{c}" for c in 'rgb')}, avg(sat) sat_mean, stddev_samp(sat) sat_std FROM l GROUP BY ALL)"""
+
+
+@query("pixel_stats", f"WITH {PIXELS} SELECT vec_id, side, {', '.join(f'round({c},6) {c}' for c in P.PIXEL_STATS)} FROM ch JOIN fb USING (vec_id, side) JOIN sd USING (vec_id, side) JOIN en USING (vec_id, side)")
+def _(spark, sf):
+    e = B.table(spark, sf, "embeddings")
+
+    def shades(side, m, shift):
+        at = lambda i: F.get("embedding", ((i * m + shift) % 64).cast("int")).cast("double")
+        return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.least(F.greatest(F.floor(at(i) * 60 + 128), F.lit(0)), F.lit(255)))
+    made = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), *[shades(s, m, k).alias(c) for c, k in zip("rgb", (0, 21, 42), strict=True)]) for s, m in ((8, 1), (16, 5))])).alias("s")
+    grids = e.select("vec_id", made).select(F.struct("vec_id", "s.side").alias("k"), "s.r", "s.g", "s.b")
+    return P.pixel_stats(grids, "k", "r", "g", "b").select("k.*", *[r6(c) for c in P.PIXEL_STATS])
+
+
 VARIANTS = """x AS (SELECT vec_id, label, 'plain' variant, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) a FROM embeddings),
  y AS (SELECT * FROM x UNION ALL SELECT vec_id, label, 'smooth', list_transform(range(1,64), lambda i: (a[i]+a[i+1])/2) FROM x),
  st AS (SELECT vec_id, label, variant, list_stddev_pop(a) std, list_max(a) high FROM y),
