@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalar as S
+from plumbline.sources import ranges as G
 
 # The suffixes that count as images.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp")
@@ -65,25 +66,14 @@ def folder_items(spark: SparkSession, root: str, seed: int) -> DataFrame:
         "place", S.stable_fraction(F.col("path"), seed))
 
 
-def zip_items(spark: SparkSession, path: str, seed: int) -> DataFrame:
-    """Images inside zip archives: (archive, member, source_file, content, place). One task opens an
-    archive, member by member; many archives spread over tasks."""
-    def members(batches: Iterator) -> Iterator:
-        import io
-        import re
-        import zipfile
-
-        import pandas as pd
-        for pdf in batches:
-            for p, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for n in sorted(z.namelist()):
-                        if re.search(_IMAGE, n):
-                            parent = n.rsplit("/", 1)[0] if "/" in n else p.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                            yield pd.DataFrame({"archive": [p], "member": [n], "source_file": [parent], "content": [z.read(n)]})
-    r = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select(_plain(F.col("path")).alias("path"), "content")
-    out = r.mapInPandas(members, "archive string, member string, source_file string, content binary")
-    return out.withColumn("place", S.stable_fraction(F.col("member"), seed))
+def zip_items(spark: SparkSession, path: str, seed: int, range_bytes: int = G.RANGE_BYTES) -> DataFrame:
+    """Images inside zip archives: (archive, member, source_file, content, place). An archive's members are dealt to tasks by
+    ranges of its directory; a task reads its own range and holds one member at a time."""
+    r = G.zip_members(spark, path, tuple(f".{s}" for s in IMAGE_SUFFIXES), range_bytes)
+    name = F.regexp_replace(F.regexp_extract("archive", "([^/]*)$", 1), r"\.[^.]*$", "")
+    parent = F.regexp_extract("member", "^(.*)/[^/]*$", 1)
+    return r.select("archive", "member", F.when(parent == "", name).otherwise(parent).alias("source_file"), "content").withColumn(
+        "place", S.stable_fraction(F.col("member"), seed))
 
 
 HEAD_BYTES = 16_384
@@ -91,14 +81,18 @@ HEADER = "path string, width bigint, height bigint, file_format string, pil_mode
 
 
 def probe_headers(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(readable, rejected) images below root, from their headers: size, format, colour mode, bytes."""
-    r = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-         .select(_plain(F.col("path")).alias("path"), "length", "content"))
-    return probe_contents(r)
+    """(readable, rejected) images below root, from their headers: size, format, colour mode, bytes.
+
+    Files are listed without their contents and opened by the workers, which read HEAD_BYTES of each, and segment heads of JPEG
+    with long metadata. For a store that only Spark reads, give ``probe_contents`` a table with the contents.
+    """
+    probed = G.headers(list_files(spark, root))
+    ok = (F.col("width") > 0) & (F.col("height") > 0)
+    return probed.filter(ok).drop("read_bytes"), probed.filter(~ok).select("path")
 
 
 def probe_contents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The same for a table (path, length, content). First only the head of each file leaves the JVM; files whose size
+    """``probe_headers`` for a table (path, length, content). First only the head of each file leaves the JVM; files whose size
     is not in it, as in JPEG behind long metadata, are read whole in a second pass."""
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
