@@ -217,13 +217,50 @@ def crossfit_temperatures(rows: DataFrame, fold: str, y: str = "y", grid: Sequen
         "temperature", F.when((F.col("fold_ratio") > max_ratio) | few, F.col("pooled")).otherwise(F.col("fitted")))
 
 
+#: Newton steps of a cross-fitted sigmoid, and the gradient per row at which it counts as found.
+PLATT_STEPS, PLATT_GRADIENT = 10, 1e-12
+
+
 def crossfit_platt(rows: DataFrame, fold: str, folds: int, y: str = "y", margin: str = "margin") -> DataFrame:
-    """(fold, a, b): the sigmoid fitted on the other folds, (1, 0) where those hold one class only."""
-    out = []
-    for f in range(folds):
-        rest = rows.filter(F.col(fold) != f)
-        two = rest.select(y).distinct().count() > 1
-        out.append((f, *(fit_platt(rest, y, margin) if two else (1.0, 0.0))))
+    """(fold, a, b): the sigmoid fitted on the other folds, (1, 0) where those hold one class only.
+
+    Equal margins are counted once. A Newton step is then one aggregation for all folds together, which adds up loss, gradient and
+    curvature, six numbers for each fold; a step that makes the loss larger is halved. Null margins, labels and folds are left out.
+    """
+    counted = cut_lineage(rows.filter(F.col(margin).isNotNull() & F.col(y).isNotNull() & F.col(fold).isNotNull()).groupBy(
+        F.col(fold).cast("int").alias("f"), F.col(y).cast("double").alias("y"), F.col(margin).cast("double").alias("m")).agg(F.count(F.lit(1)).cast("double").alias("n")))
+    now = {f: (1.0, 0.0) for f in range(folds)}
+    kept: dict[int, tuple] = {}
+    open_ = set(now)
+    for _ in range(PLATT_STEPS):
+        models = F.explode(F.array(*[F.struct(F.lit(f).alias("k"), F.lit(now[f][0]).alias("a"), F.lit(now[f][1]).alias("b")) for f in sorted(open_)])).alias("s")
+        r = counted.select("f", "y", "m", "n", models).filter("f <> s.k").withColumn("z", F.col("s.a") * F.col("m") + F.col("s.b"))
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("z")))
+        n, m, d, h = F.col("n"), F.col("m"), p - F.col("y"), p * (1 - p)
+        loss = F.greatest("z", F.lit(0.0)) - F.col("z") * F.col("y") + F.log1p(F.exp(-F.abs("z")))
+        sums = r.groupBy("s.k").agg(*[F.sum(n * c).alias(k) for k, c in (("loss", loss), ("ga", d * m), ("gb", d), ("haa", h * m * m), ("hab", h * m), ("hbb", h))],
+                                    F.sum("n").alias("n"), F.sum(n * F.col("y")).alias("ones")).collect()
+        for s in sums:
+            k = s["k"]
+            if not 0 < s["ones"] < s["n"]:
+                now[k] = (1.0, 0.0)
+                open_.discard(k)
+                continue
+            old = kept.get(k)
+            if old and s["loss"] > old[2] * (1 + 1e-12):
+                now[k] = ((now[k][0] + old[0]) / 2, (now[k][1] + old[1]) / 2)
+                continue
+            kept[k] = (*now[k], s["loss"])
+            if max(abs(s["ga"]), abs(s["gb"])) <= PLATT_GRADIENT * s["n"]:
+                open_.discard(k)
+                continue
+            ridge = 1e-12 * (s["haa"] + s["hbb"])
+            det = (s["haa"] + ridge) * (s["hbb"] + ridge) - s["hab"] ** 2
+            now[k] = (now[k][0] - (s["ga"] * (s["hbb"] + ridge) - s["gb"] * s["hab"]) / det, now[k][1] - (s["gb"] * (s["haa"] + ridge) - s["ga"] * s["hab"]) / det)
+        open_ &= {s["k"] for s in sums}  # a fold whose complement is empty has nothing to fit
+        if not open_:
+            break
+    out = [(f, *(kept[f][:2] if f in kept else (1.0, 0.0))) for f in range(folds)]
     return rows.sparkSession.createDataFrame(out, f"{fold} int, a double, b double")
 
 
