@@ -26,7 +26,7 @@ from plumbline.llm.common import SMALL_ROWS, carried, filter_bits, key_filter, m
 from plumbline.session import cut_lineage
 
 #: Bytes of a repeated string, of the parts that are hashed (a power of two), of text handled at a time, of a block that is sorted.
-LENGTH, GRAM, AT_ONCE, BLOCK = induced.CAP, 64, 1 << 20, 4 << 20
+LENGTH, GRAM, AT_ONCE, BLOCK = induced.CAP, 64, 1 << 19, 2 << 20
 PER_ROW, MOST_BITS = 12, 2**31
 #: A hash is refined if so many segments have it, and one in so many of all.
 HOT_ROWS, HOT_SHARE = 4_096, 1_000
@@ -292,10 +292,13 @@ _RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for row, text, runs, left in _cut(batches):
-        yield pa.RecordBatch.from_pydict({"id": row.column("id"), "n_bytes": pa.array([len(text)]), "n_removed": pa.array([len(text) - len(left)]),
-                                          "n_spans": pa.array([len(runs)]), "kept_sha256": pa.array([hashlib.sha256(left).hexdigest()]),
-                                          "runs": pa.array([[{"start": a, "end": z} for a, z in runs]], _RUNS)})
+    for batch in batches:
+        found = []
+        for _, text, runs, left in _cut(iter([batch])):
+            found.append((len(text), len(text) - len(left), len(runs), hashlib.sha256(left).hexdigest(), [{"start": a, "end": z} for a, z in runs]))
+        n_bytes, n_removed, n_spans, sha, runs = zip(*found, strict=True) if found else ((),) * 5
+        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
+                                          "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "runs": pa.array(runs, _RUNS)})
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
