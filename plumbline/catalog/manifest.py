@@ -9,6 +9,7 @@ from plumbline.functions import ranking as R
 from plumbline.functions import scalar as S
 from plumbline.operators import ingest as I
 from plumbline.operators import manifest as M
+from plumbline.operators import sketches as K
 from plumbline.sources import metadata as MD
 from plumbline.catalog.base import r6, registrar, rows
 from plumbline.catalog.sqltext import MANIFEST, RAW, SPLIT, quantile, with_views
@@ -542,3 +543,46 @@ def _(spark, sf):
 @query("distinct_counts", "WITH " + MANIFEST + " SELECT category, count(DISTINCT dataset) n_dataset, count(DISTINCT source_file) n_source_file FROM m GROUP BY 1")
 def _(spark, sf):
     return M.distinct_counts(B.manifest(spark, sf), ["dataset", "source_file"], ["category"])
+
+
+# ---- sketches -----------------------------------------------------------------------------------
+
+def sketched(spark, sf):
+    """Cells of supplier, line status and month of the order lines, with sketches of orders, prices and parts."""
+    r = B.table(spark, sf, "lineitem").select("l_suppkey", "l_linestatus", F.date_trunc("month", "l_shipdate").alias("month"), "l_orderkey", "l_partkey", "l_extendedprice")
+    return K.sketch_table(r, ["l_suppkey", "l_linestatus", "month"], {"orders": F.col("l_orderkey")}, {"price": F.col("l_extendedprice")}, {"parts": F.col("l_partkey")})
+
+
+@query("sketched_distinct", "SELECT l_linestatus, count(*) AS \"rows\", count(DISTINCT l_orderkey) orders, true within_bound FROM lineitem GROUP BY 1")
+def _(spark, sf):
+    """Distinct orders by line status from the sketches, beside the exact number and whether the bound holds."""
+    e = K.distinct_estimates(sketched(spark, sf), ["l_linestatus"], "orders")
+    x = B.table(spark, sf, "lineitem").groupBy("l_linestatus").agg(F.count_distinct("l_orderkey").alias("orders"))
+    near = F.abs(F.col("estimate") - F.col("orders")) <= F.greatest(F.lit(1.0), F.col("orders") * K.DISTINCT_BOUND)
+    return e.join(x, "l_linestatus").select("l_linestatus", "rows", "orders", near.alias("within_bound"))
+
+
+@query("sketched_quantiles", "SELECT l_linestatus, CAST(p AS DOUBLE) AS prob, true within_bound FROM (SELECT DISTINCT l_linestatus FROM lineitem), (SELECT unnest([0.05,0.25,0.5,0.75,0.95]) p)")
+def _(spark, sf):
+    """Quantiles of prices by line status from the sketches, judged by the exact share of rows below them."""
+    e = K.quantile_estimates(sketched(spark, sf), ["l_linestatus"], "price", [0.05, 0.25, 0.5, 0.75, 0.95])
+    asked = e.groupBy("l_linestatus").agg(F.collect_list(F.struct("prob", "value")).alias("asked"))  # five numbers a status
+    r = B.table(spark, sf, "lineitem").select("l_linestatus", F.col("l_extendedprice").cast("double").alias("v"))
+    r = r.join(F.broadcast(asked), "l_linestatus").select("l_linestatus", "v", F.explode("asked").alias("a"))  # a row for each status
+    share = r.groupBy("l_linestatus", F.col("a.prob").alias("prob")).agg(F.avg((F.col("v") < F.col("a.value")).cast("double")).alias("below"),
+                                                                        F.avg((F.col("v") <= F.col("a.value")).cast("double")).alias("upto"))
+    near = (F.col("below") <= F.col("prob") + K.RANK_BOUND) & (F.col("upto") >= F.col("prob") - K.RANK_BOUND)
+    return share.select("l_linestatus", "prob", near.alias("within_bound"))
+
+
+@query("sketched_overlap", """WITH s AS (SELECT DISTINCT l_linestatus, l_suppkey%2 odd, l_partkey FROM lineitem), a AS (SELECT l_linestatus, l_partkey, bool_or(odd=0) l, bool_or(odd=1) r FROM s GROUP BY 1,2)
+ SELECT l_linestatus, count(*) FILTER (WHERE l AND r) AS both_sides, count(*) either_side, true within_bound FROM a GROUP BY 1""")
+def _(spark, sf):
+    """Parts that suppliers with even and with odd numbers share, by line status, from the sketches beside the exact numbers."""
+    side = F.when(F.col("l_suppkey") % 2 == 0, "left").otherwise("right")
+    e = K.shared_estimates(sketched(spark, sf), side, ["l_linestatus"], "parts")
+    x = B.table(spark, sf, "lineitem").groupBy("l_linestatus", "l_partkey").agg(F.max((F.col("l_suppkey") % 2 == 0).cast("int")).alias("l"), F.max((F.col("l_suppkey") % 2).cast("int")).alias("r"))
+    x = x.groupBy("l_linestatus").agg(F.sum(F.col("l") * F.col("r")).alias("both_sides"), F.count(F.lit(1)).alias("either_side"))
+    bound = F.greatest(F.lit(1.0), F.col("either_side") * K.SET_BOUND)
+    near = (F.abs(F.col("both") - F.col("both_sides")) <= bound) & (F.abs(F.col("either") - F.col("either_side")) <= bound)
+    return e.join(x, "l_linestatus").select("l_linestatus", "both_sides", "either_side", near.alias("within_bound"))

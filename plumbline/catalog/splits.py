@@ -145,6 +145,22 @@ def _(spark, sf):
     return out.select("image_id", "split_unit", "split")
 
 
+_GATED = "(SELECT split, name FROM hold UNION SELECT DISTINCT 'val_stress', dataset FROM m WHERE source_path='repo/src2')"
+
+
+@query("gated_assignment", "WITH RECURSIVE " + UNITS + HELD + f""", des AS (SELECT DISTINCT split_unit, split FROM {_GATED} h JOIN unit ON dataset=name),
+ base AS (SELECT m.*, unit.split_unit, coalesce(des.split,'train') split FROM m JOIN unit ON m.dataset=unit.dataset LEFT JOIN des ON unit.split_unit=des.split_unit),
+ x AS (SELECT * FROM base WHERE split='train')""" + CARVED + """ SELECT image_id, split_unit, new_split split FROM cv UNION ALL SELECT image_id, split_unit, split FROM base WHERE split<>'train'""")
+def _(spark, sf):
+    """The split with one source behind a closed gate and another behind an open one."""
+    m = B.raw_manifest(spark, sf)
+    named = m.filter(F.col("source_path").isin("repo/src2", "repo/src3")).select("source_path", "label", "dataset").distinct()
+    gates = named.select(F.col("source_path").alias("gate"), (F.col("source_path") == "repo/src3").alias("include"), F.lit("val_stress").alias("dest"),
+                         F.when(F.col("label") == 0, "real").otherwise("fake").alias("side"), F.col("dataset").alias("name"))
+    out = P.assign(m, cliques(spark), held(spark, sf), seed=B.SEED, val_id_frac=0.2, val_cal_frac=0.4, gates=gates)
+    return out.select("image_id", "split_unit", "split")
+
+
 @query("split_summary", "WITH " + SPLIT + """ SELECT split, category, count(*) n, count(DISTINCT dataset) datasets, round(avg(label),6) p_fake,
  count(*) FILTER (WHERE label=0) real_rows, count(DISTINCT label) labels FROM s GROUP BY GROUPING SETS ((split),(split,category))""")
 def _(spark, sf):

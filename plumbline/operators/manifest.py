@@ -137,14 +137,22 @@ def names_from_spec(specs: DataFrame) -> DataFrame:
             .select("split", "side", F.explode("names").alias("name")))
 
 
-def gated_holdouts(holdouts: DataFrame, gates: DataFrame) -> DataFrame:
-    """Holdouts plus the names of every closed gate. ``gates(gate, include, dest, side, name)``."""
-    closed = gates.filter(~F.col("include")).select(F.col("dest").alias("split"), "side", "name")
-    return holdouts.select("split", "side", "name").unionByName(closed).distinct()
+# Splits that a closed gate may park its names in, the first where it names none.
+PARKS = ("val_xgen", "val_stress", "test")
+
 
+def parked_names(gates: DataFrame) -> DataFrame:
+    """(split, side, name) of every closed gate. ``gates(gate, include, dest, side, name)``; a gate that isn't said to be
+    included is closed, one without a destination parks in val_xgen, and any other destination than PARKS is an error."""
+    dest = F.coalesce("dest", F.lit(PARKS[0]))
+    wrong = F.raise_error(F.concat(F.lit("gate "), F.coalesce("gate", F.lit("")), F.lit(" parks in "), dest)).cast("string")
+    closed = gates.filter(~F.coalesce("include", F.lit(False)))
+    return closed.select(F.when(dest.isin(*PARKS), dest).otherwise(wrong).alias("split"), "side", "name")
 
-def illegal_gates(gates: DataFrame) -> DataFrame:
-    return gates.filter(~F.col("include") & ~F.col("dest").isin("val_xgen", "val_stress", "test"))
+
+def gated_holdouts(holdouts: DataFrame, gates: DataFrame) -> DataFrame:
+    """Holdouts plus the names of every closed gate."""
+    return holdouts.select("split", "side", "name").unionByName(parked_names(gates)).distinct()
 
 
 def origin_overlap(probes: DataFrame, train: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import ranking as R
 from plumbline.functions import scalar as S
 from plumbline.functions.lookup import small_join
+from plumbline.operators import manifest as M
 from plumbline.operators import units as U
 
 # Splits that may share sources form one family.
@@ -114,9 +115,15 @@ def cap_train(rows: DataFrame, cap: int, seed: int, exempt: Sequence[str] = ())
 
 
 def assign(rows: DataFrame, cliques: DataFrame, holdouts: DataFrame, *, seed: int = 34, val_id_frac: float = 0.06,
-           val_cal_frac: float = 0.0, per_dataset_cap: int | None = None, cap_exempt: Sequence[str] = ()) -> DataFrame:
-    """Units, held-out units, val_id and val_cal carve, cap. A unit named for two splits is an error."""
+           val_cal_frac: float = 0.0, per_dataset_cap: int | None = None, cap_exempt: Sequence[str] = (), gates: DataFrame | None = None) -> DataFrame:
+    """Units, held-out units, val_id and val_cal carve, cap. A unit named for two splits is an error.
+
+    ``gates(gate, include, dest, side, name)`` keep names out of train: closed gates hold theirs out in the split they park in, whole units
+    as ever; a gate that parks in train or a carved split is an error.
+    """
     units = U.split_units(rows, cliques)
+    if gates is not None:
+        holdouts = holdouts.select("split", "name").unionByName(M.parked_names(gates).select("split", "name")).distinct()
     chosen = U.designate(units, holdouts)
     split = F.when(F.col("n_splits") > 1, F.raise_error(F.concat(
         F.lit("split unit named for two splits: "), F.col("split_unit"))).cast("string")).otherwise(F.col("split"))

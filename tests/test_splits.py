@@ -89,3 +89,20 @@ def test_position_blocks(spark):
                                 F.lit("").alias("source_file"), F.lit(-1).cast("bigint").alias("file_index"))
     b = P.block_keys(m).toPandas().sort_values("image_id").block.astype(int).tolist()
     assert b == [i // 12 for i in range(200)]
+
+
+def test_gates(spark):
+    from plumbline.operators import manifest as M
+    rows = spark.createDataFrame([(f"{d}/{k}", d, f"p/{d}", f"{d}#{k % 3}", k, k % 2) for d in "abcd" for k in range(12)],
+                                 "image_id string, dataset string, source_path string, source_file string, file_index long, label int")
+    cliques = spark.createDataFrame([("c", "a"), ("c", "b")], "clique_id string, name string")
+    holdouts = spark.createDataFrame([("test", "d")], "split string, name string")
+    schema = "gate string, include boolean, dest string, side string, name string"
+    gates = spark.createDataFrame([("g", False, None, "fake", "a"), ("open", True, "train", "fake", "c"), ("h", False, "test", "real", "gone")], schema)
+    got = {(r.dataset, r.split) for r in P.assign(rows, cliques, holdouts, gates=gates).select("dataset", "split").distinct().collect()}
+    assert got - {("c", "val_id")} == {("a", "val_xgen"), ("b", "val_xgen"), ("c", "train"), ("d", "test")}  # a closed gate takes the whole unit
+    wrong = spark.createDataFrame([("g", False, "train", "fake", "a")], schema)
+    with pytest.raises(Exception, match="gate g parks in train"):
+        P.assign(rows, cliques, holdouts, gates=wrong).collect()
+    with pytest.raises(Exception, match="parks in"):
+        M.gated_holdouts(holdouts.withColumn("side", F.lit("fake")), wrong).collect()
