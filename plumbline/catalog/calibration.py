@@ -12,7 +12,7 @@ from plumbline.operators import sampling as W
 from plumbline.catalog.base import r6, registrar
 from plumbline.catalog.evaluation import both_views, composed, fused_scored, provenance_rows, SHARES
 from plumbline.catalog.evaluation import BAL, MCC, WEIGHTED, conf, quality
-from plumbline.catalog.sqltext import fused, sigmoid
+from plumbline.catalog.sqltext import frac, fused, sigmoid
 from plumbline.session import cut_lineage
 
 Q, SQL, query = registrar()
@@ -204,6 +204,26 @@ def _(spark, sf):
     return K.recommend(K.operating_points(scenario_rows(spark, sf)), "clean").select(r6("t"), r6("p_min"), r6("p_max"), r6("min_gain"))
 
 
+def _drawn(y, lo, hi, pool, p):
+    """Slots lo to hi drawn from a pool: the row whose place by hash is the slot's own hashed choice."""
+    tag = f"{B.SEED}|{y}|', CAST({lo} AS BIGINT), '"
+    return f"""SELECT {y} y, slot, {p} p FROM (SELECT slot, least(CAST(floor({frac('slot', tag)}*(SELECT count(*) FROM {pool})) AS BIGINT),(SELECT count(*) FROM {pool})-1) at_ FROM nn, unnest(range(CAST({lo} AS BIGINT), CAST({hi} AS BIGINT))) t(slot)) s
+ JOIN (SELECT p, row_number() OVER (ORDER BY {frac('vec_id', tag)}, vec_id)-1 at_ FROM {pool}, nn) r USING (at_)"""
+
+
+_HIDDEN = f"""WITH {fused()}, own AS (SELECT vec_id, y, {sigmoid('d')} p FROM sc), own1 AS (SELECT * FROM own WHERE y=1), own0 AS (SELECT * FROM own WHERE y=0), wrong AS (SELECT * FROM own WHERE y=1 AND p<0.5),
+ nn AS (SELECT count(*) FILTER (WHERE y=1) n1, count(*) FILTER (WHERE y=0) n0, round_even(count(*) FILTER (WHERE y=1)*0.1::DOUBLE,0) w1, round_even(count(*) FILTER (WHERE y=0)*0.1::DOUBLE,0) w0 FROM own)
+ SELECT y, slot, round(p,6) p_fake FROM ({_drawn(1, 0, 'w1', 'wrong', 'p')} UNION ALL {_drawn(1, 'w1', 'n1', 'own1', 'p')} UNION ALL {_drawn(0, 0, 'w0', 'wrong', '1-p')} UNION ALL {_drawn(0, 'w0', 'n0', 'own0', 'p')})"""
+
+
+@query("scenario_pool", _HIDDEN)
+def _(spark, sf):
+    """The hidden class of the inverted scenario: every draw of it."""
+    own = fused_scored(spark, sf).select("vec_id", "y", F.col("p").alias("p_fake"))
+    pool = K.scenario_pool(own, 0.1, B.SEED, own.filter("y = 1").count(), own.filter("y = 0").count(), own.filter("y = 1 and p_fake < 0.5"))
+    return pool.select("y", "slot", r6("p_fake"))
+
+
 @query("scenario_points")
 def _(spark, sf):
     """Scenario pools beside the plain one: a clean and an inverted hidden class as large as the table."""
