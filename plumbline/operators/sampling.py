@@ -111,8 +111,8 @@ def cell_weights(rows: DataFrame, *, gamma: float = 0.5, kind_balance: dict[str,
 
     if kind_balance:
         kb = {k: float(kind_balance.get(k, 0.0)) for k in S.KINDS}
-        if min(kb.values()) < 0 or sum(kb.values()) <= 0:
-            raise ValueError(f"kind_balance must be non-negative with a positive sum: {kind_balance}")
+        if any(v < 0 for v in kb.values()) or not any(kb.values()):
+            raise ValueError(f"shares of kinds can't be below zero or all zero; got {kind_balance}")
         mass = F.lit(0.0)
         for k, v in kb.items():
             mass = F.when(F.col("kind") == k, F.lit(v)).otherwise(mass)

@@ -22,6 +22,7 @@ SCHEDULABLE = ("codec_jpeg_p", "codec_double_p", "codec_jpeg_q", "codec_webp_q",
                "view_arms", "view_b")
 
 
+# The defaults of the plan.
 @dataclass(frozen=True)
 class ViewPlan:
     codec: bool = True
