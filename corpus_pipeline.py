@@ -16,27 +16,32 @@ from plumbline.session import ensure_checkpoint_dir
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that the quality classifier, fitted on the labels, rejects."""
+    """Without documents that the quality classifier, fitted on the labels, rejects. Null and empty texts are scored by their
+    statistics; repeated rows share a fate; without labelled rows of both classes all stay. An empty table stays empty."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, the one with the largest id; null counts as the empty text, and of rows that
+    repeat the id that stays one is left. An empty table stays empty."""
     return exact_dedup.drop_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: a Jaccard similarity of 0.8 or more in shingles of five words."""
+    """One document of each component of near copies: a Jaccard similarity of 0.8 or more in shingles of five words. The smallest id
+    stays with all its rows; rows without words or without an id stay. An empty table stays empty."""
     return near_dedup.drop_near_copies(docs, size=5, share=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents of which a twentieth or more are words of benchmark windows."""
+    """Without documents of which a twentieth or more are words of benchmark windows. Null and empty texts have no words and stay;
+    repeated rows share a fate; without a benchmark all stay. An empty table stays empty."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the target mix of sources takes, with ``mix_repeats``."""
+    """The documents that the target mix of sources takes, with ``mix_repeats``. Texts without words are not taken; a null source is a
+    source; rows that repeat an id are taken together. An empty table stays empty."""
     return mixing.mix(docs)
 
 
