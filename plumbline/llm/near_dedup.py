@@ -2,7 +2,7 @@
 
 A text's set holds its distinct shingles of ``size`` words, and two sets are alike from a Jaccard similarity of ``share``
 percent on; SHINGLE and SHARE are op1's contract. ``CHUNKS`` chunks of ``WIDTH`` 16-bit minhashes make the indexed
-signature. Two signatures that differ in at most CHUNKS * (ERRORS + 1) - 1 of them agree, by the pigeonhole principle,
+signature; distances count minhashes, not bits. Two signatures that differ in at most CHUNKS * (ERRORS + 1) - 1 of them agree, by the pigeonhole principle,
 in some chunk but for ERRORS places, so every chunk is indexed once for each choice of places left out: all pairs
 within that distance meet under a key. At a similarity of 0.85 two minhashes differ with probability 0.15, and a
 pair meets under no key with probability 7e-6; at 0.80 with 2e-4.
