@@ -120,12 +120,13 @@ def error_probe(rows: DataFrame, numeric: Sequence[str] = A.NUMERIC, categorical
 
 
 def error_rows(scored: DataFrame, splits: Sequence[str], least: int = 30) -> DataFrame:
-    """Ledger rows of ``error_probe`` (S8) for splits with ``least`` right and wrong rows or more."""
-    cols = {f"wrong_{s}": f"_{s}" for s in splits}
+    """Ledger rows of ``error_probe`` (S8): one for all rows, and one for each split with ``least`` right and wrong rows or more."""
+    cols = {"wrong": "wrong", **{f"wrong_{s}": f"_{s}" for s in splits}}
     own = scored.select("*", *[F.when(F.col("split") == s, F.col("wrong")).alias(f"_{s}") for s in splits])
-    res = A.probe_results(own, {k: f"`{c}`" for k, c in cols.items()}).withColumn("split", F.expr("substr(probe, 7)"))
-    size = scored.groupBy("split").agg(F.count(F.lit(1)).alias("_n"), F.sum("wrong").alias("_w"), F.avg(F.col("wrong").cast("double")).alias("error_rate"))
-    res = res.join(size, "split").filter((F.col("_w") >= least) & (F.col("_n") - F.col("_w") >= least))
+    res = A.probe_results(own, cols).withColumn("split", F.when(F.col("probe") == "wrong", "all").otherwise(F.expr("substr(probe, 7)")))
+    numbers = (F.count(F.lit(1)).alias("_n"), F.sum("wrong").alias("_w"), F.avg(F.col("wrong").cast("double")).alias("error_rate"))
+    size = scored.groupBy("split").agg(*numbers).unionByName(scored.groupBy(F.lit("all").alias("split")).agg(*numbers))
+    res = res.join(size, "split").filter((F.col("split") == "all") | (F.col("_w") >= least) & (F.col("_n") - F.col("_w") >= least))
     return measured(res, "slices", "S8_error_predictability", "auc", A.probe_bucket("error_pred_auc"), split=F.col("split"), metrics=["error_rate", "coverage"])
 
 
